@@ -56,7 +56,9 @@ def returned_units(sold: Column | str, returns_rate: Column | str) -> Column:
 
 
 def discounted_price(price: Column | str, discount: Column | str) -> Column:
-    return F.round(_col(price) * (1 - _col(discount)), 2)
+    """Rounded as money: half up on six decimals, free of binary noise."""
+    exact = (_col(price) * (1 - _col(discount))).cast("decimal(18,6)")
+    return F.round(exact, 2).cast("double")
 
 
 def weeks_of_inventory(inventory: Column | str, sold: Column | str, eps: float = INVENTORY_EPS) -> Column:

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kpiloom.operators.growth import add_holdout, add_position, series, series_features
@@ -91,7 +92,7 @@ def additive_backtest(
     angle = F.col("Week_Index") * (2 * math.pi / SEASON_WEEKS)
     waves = {f"{name}_{i}": f(angle * i) for i in range(1, order + 1) for name, f in (("sin", F.sin), ("cos", F.cos))}
     spend = F.coalesce(F.col("Marketing_Spend"), F.lit(0.0))
-    largest = F.max(spend).over(series([key], "Date").rowsBetween(-(2**31), 2**31))
+    largest = F.max(spend).over(W.partitionBy(key))
     data = weekly.withColumns(
         {
             **waves,
@@ -194,8 +195,6 @@ def sarima_forecast(y: np.ndarray, w: np.ndarray, lags: Sequence[int], horizon:
 def add_cv_folds(df: DataFrame, keys: Sequence[str], order: str, folds: int, name: str = "fold") -> DataFrame:
     """Expanding-window folds per series: fold i tests on its own block and
     trains on all earlier rows; the first block has no fold number."""
-    from pyspark.sql import Window as W
-
     position = F.row_number().over(series(keys, order)) - 1
     n = F.count(F.lit(1)).over(W.partitionBy(*keys))
     counted = df.withColumns({"_pos": position, "_n": n}).withColumn("_size", F.floor(F.col("_n") / (folds + 1)))

@@ -109,6 +109,15 @@ def running_base(df: DataFrame, keys: Sequence[str], order: str, step: str, name
     return df.withColumn(name, F.coalesce(F.sum(step).over(before), F.lit(0.0)))
 
 
+def add_target(
+    weekly: DataFrame, key: str = "Product_ID", value: str = "Sales_Units", uplift: float = 1.05
+) -> DataFrame:
+    """Integer target per entity on every row: ``rollup.weekly_targets`` without
+    a second pass, on the partitioning that the other windows use."""
+    mean = F.avg(value).over(W.partitionBy(key))
+    return weekly.withColumn("Weekly_Target", F.bround(mean * uplift, 0).cast("long"))
+
+
 def weekly_metrics(
     fact: DataFrame,
     key: str = "Product_ID",
@@ -116,14 +125,9 @@ def weekly_metrics(
     uplift: float = 1.05,
     changes: Sequence[str] = ("Sales_Units", "Revenue", "Lead_Time_days", "Efficiency_u_per_h"),
 ) -> DataFrame:
-    """The product-week table with target, rolling means and WoW changes.
-
-    The target is a window mean over the same partitioning, so the whole table
-    takes one exchange.
-    """
-    target = F.bround(F.avg("Sales_Units").over(W.partitionBy(key)) * uplift, 0).cast("long")
+    """The product-week table with target, rolling means and WoW changes: one exchange."""
     out = add_rolling(
-        fact.withColumn("Weekly_Target", target),
+        add_target(fact, key, uplift=uplift),
         [key],
         date,
         {

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kpiloom.functions import week_end
@@ -66,14 +67,18 @@ def resample_weekly(
     df: DataFrame, keys: Sequence[str], date: str, value: str, name: str | None = None
 ) -> DataFrame:
     """Weekly sums with Sunday labels; empty weeks between the first and the
-    last of an entity count as 0."""
+    last of an entity count as 0.
+
+    Each week expands up to the next known one, so the gaps are filled without
+    building a calendar and joining it back.
+    """
     name = name or value
-    binned = df.withColumn("Week_End", week_end(date)).groupBy(*keys, "Week_End").agg(F.sum(value).alias(name))
-    spans = binned.groupBy(*keys).agg(F.min("Week_End").alias("_lo"), F.max("Week_End").alias("_hi"))
-    spine = spans.select(
-        *keys, F.explode(F.sequence("_lo", "_hi", F.make_dt_interval(F.lit(7)))).alias("Week_End")
-    )
-    return align_to_spine(binned, spine, [*keys, "Week_End"])
+    binned = df.groupBy(*keys, week_end(date).alias("_week")).agg(F.sum(value).alias("_sum"))
+    following = F.lead("_week").over(W.partitionBy(*keys).orderBy("_week"))
+    spans = binned.withColumn("_until", F.coalesce(F.date_sub(following, 7), F.col("_week")))
+    filled = spans.withColumn("Week_End", F.explode(F.sequence("_week", "_until", F.make_dt_interval(F.lit(7)))))
+    amount = F.when(F.col("Week_End") == F.col("_week"), F.coalesce("_sum", F.lit(0))).otherwise(0)
+    return filled.select(*keys, "Week_End", amount.alias(name))
 
 
 def future_weeks(

@@ -6,7 +6,7 @@ read are checkpointed once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
@@ -14,9 +14,8 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiloom.operators.stats import standardise
@@ -29,18 +28,33 @@ def _vectors(df: DataFrame, features: Sequence[str], fill: bool = False) -> Data
     return VectorAssembler(inputCols=list(features), outputCol="_x").transform(data)
 
 
-def fit_kmeans(df: DataFrame, features: Sequence[str], k: int = 3, starts: int = 10, seed: int = 42) -> KMeansModel:
-    """Best of ``starts`` random starts by within-cluster cost."""
-    models = [
-        KMeans(k=k, seed=seed + i, featuresCol="_x", predictionCol="cluster").fit(df) for i in range(starts)
-    ]
+def _spread(df: DataFrame) -> DataFrame:
+    """Even partitions, written once: the fits below pass over them many times."""
+    return checkpointed(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _in_parallel(spark: SparkSession, run: Callable, settings: Sequence, workers: int) -> list:
+    """Independent fits as concurrent Spark jobs."""
+    with ThreadPoolExecutor(max_workers=workers) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(run), settings))
+
+
+def fit_kmeans(
+    df: DataFrame, k: int = 3, starts: int = 10, seed: int = 42, parallelism: int = 4
+) -> KMeansModel:
+    """Best of ``starts`` random starts by within-cluster cost, on the ``_x`` vectors."""
+
+    def run(i: int) -> KMeansModel:
+        return KMeans(k=k, seed=seed + i, featuresCol="_x", predictionCol="cluster").fit(df)
+
+    models = _in_parallel(df.sparkSession, run, range(starts), parallelism)
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
 def cluster(df: DataFrame, features: Sequence[str], k: int = 3, starts: int = 10, seed: int = 42) -> DataFrame:
     """Add ``cluster``: unscaled features, nulls as 0, clusters numbered by their first feature's centre."""
-    data = checkpointed(_vectors(df, features, fill=True))
-    model = fit_kmeans(data, features, k, starts, seed)
+    data = _spread(_vectors(df, features, fill=True))
+    model = fit_kmeans(data, k, starts, seed)
     centres = model.clusterCenters()
     ranked = sorted(range(len(centres)), key=lambda i: tuple(centres[i]))
     number = F.lit(None).cast("long")
@@ -53,7 +67,7 @@ def forest_regression(
     df: DataFrame, target: str, features: Sequence[str], trees: int = 100, depth: int = 10, seed: int = 42
 ) -> DataFrame:
     """Random forest over all rows: adds ``pred``."""
-    data = checkpointed(_vectors(df.dropna(subset=[target]), features))
+    data = _spread(_vectors(df.dropna(subset=[target]), features))
     model = _forest(target, trees, depth, seed).fit(data)
     return model.transform(data).drop("_x")
 
@@ -62,7 +76,7 @@ def forest_importances(
     df: DataFrame, target: str, features: Sequence[str], trees: int = 100, depth: int = 10, seed: int = 42
 ) -> DataFrame:
     """Feature importances of the same forest, one row per feature."""
-    data = _vectors(df.dropna(subset=[target]), features)
+    data = _spread(_vectors(df.dropna(subset=[target]), features))
     model = _forest(target, trees, depth, seed).fit(data)
     rows = [(f, float(w)) for f, w in zip(features, model.featureImportances.toArray(), strict=True)]
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
@@ -76,6 +90,7 @@ def _forest(target: str, trees: int, depth: int, seed: int) -> RandomForestRegre
         numTrees=trees,
         maxDepth=depth,
         featureSubsetStrategy="all",
+        maxMemoryInMB=1024,
         seed=seed,
     )
 
@@ -94,7 +109,7 @@ def lag_forest_backtest(
     all entities together and evaluated on the test rows."""
     scaled = standardise(split, list(features), ~F.col(is_test))
     inputs = [f"{f}_std" for f in features]
-    data = checkpointed(scaled.select(*keep, target, is_test, *inputs))
+    data = _spread(scaled.select(*keep, target, is_test, *inputs))
     assembler = VectorAssembler(inputCols=inputs, outputCol="_x")
     model = Pipeline(stages=[assembler, _forest(target, trees, depth, seed)]).fit(data.where(~F.col(is_test)))
     out = model.transform(data.where(F.col(is_test)))
@@ -123,7 +138,7 @@ def boosted_search(
     Boosting is sequential, so one fit with the largest tree count holds all
     smaller ones; their errors are read off per iteration.
     """
-    data = checkpointed(_vectors(df.select(*features, F.col(target).cast("double").alias("_y"), fold), features))
+    data = _spread(_vectors(df.select(*features, F.col(target).cast("double").alias("_y"), fold), features))
     folds = [r[0] for r in data.where(F.col(fold).isNotNull()).select(fold).distinct().orderBy(fold).collect()]
 
     def run(setting: tuple[int, float, int]) -> list[tuple]:
@@ -137,8 +152,7 @@ def boosted_search(
         return [(depth, n, rate, int(i), float(losses[min(n, len(losses)) - 1])) for n in trees]
 
     settings = list(product(depths, rates, folds))
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        rows = [row for part in pool.map(inheritable_thread_target(df.sparkSession)(run), settings) for row in part]
+    rows = [row for part in _in_parallel(df.sparkSession, run, settings, parallelism) for row in part]
     scores = df.sparkSession.createDataFrame(rows, "depth int, trees int, rate double, fold int, mse double")
     return scores.groupBy("depth", "trees", "rate").agg(F.avg("mse").alias("mse")).orderBy("mse", "depth", "trees", "rate")
 
@@ -155,12 +169,8 @@ def boosted_backtest(
     is_test: str = "is_test",
 ) -> DataFrame:
     """Boosted trees with one setting: fitted on train rows, evaluated on test rows."""
-    data = checkpointed(_vectors(split.withColumn("_y", F.col(target).cast("double")), features))
+    data = _spread(_vectors(split.withColumn("_y", F.col(target).cast("double")), features))
     model = GBTRegressor(
         featuresCol="_x", labelCol="_y", predictionCol="pred", maxDepth=depth, maxIter=trees, stepSize=rate, seed=seed
     ).fit(data.where(~F.col(is_test)))
     return model.transform(data.where(F.col(is_test))).select(*keep, F.col("_y").alias("actual"), "pred")
-
-
-def vector_column(df: DataFrame, vector: str, name: str) -> DataFrame:
-    return df.withColumn(name, vector_to_array(vector))

@@ -8,10 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kpiloom.session import checkpointed
+
 CELLS = 4096
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], cells: int = CELLS) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Sequence[float],
+    cells: int = CELLS,
+    limits: DataFrame | None = None,
+) -> DataFrame:
     """Linear-interpolated quantiles: one row per (metric, p).
 
     Two counting passes narrow the range that holds each wanted rank, from
@@ -19,13 +27,17 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     the map side, so each pass shuffles at most ``cells`` rows per metric and
     task. Only the distinct values inside the last cells are sorted. Every
     table that is broadcast has a row bound set by ``columns`` and ``probs``.
+    ``limits`` (metric, lo, hi, n) saves a pass when it is already known.
     """
     values = df.select(
         F.inline(
             F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns])
         )
     ).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    limits = values.groupBy("metric").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"))
+    if limits is None:
+        limits = checkpointed(
+            values.groupBy("metric").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"))
+        )
 
     prob = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
     spots = limits.select("metric", "n", prob.alias("p")).withColumn("h", F.col("p") * (F.col("n") - 1))
@@ -67,16 +79,3 @@ def _find(cells: DataFrame, wanted: DataFrame, keys: list[str], cell: str) -> Da
     w = wanted if "full_rank" in wanted.columns else wanted.withColumn("full_rank", F.col("rank"))
     hit = cells.join(F.broadcast(w), keys).where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("after")))
     return hit.select(*keys, cell, (F.col("rank") - F.col("before")).alias("rank"), "full_rank")
-
-
-def approximate_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = 1000
-) -> DataFrame:
-    """Sketched quantiles in one pass, in the same shape."""
-    sketch = df.agg(*[F.percentile_approx(c, list(probs), accuracy).alias(c) for c in columns])
-    pairs = [
-        F.struct(F.lit(c).alias("metric"), F.lit(float(p)).alias("p"), F.col(c)[i].cast("double").alias("value"))
-        for c in columns
-        for i, p in enumerate(probs)
-    ]
-    return sketch.select(F.inline(F.array(*pairs)))

@@ -15,36 +15,44 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiloom.operators.quantiles import approximate_quantiles, exact_quantiles
+from kpiloom.operators.quantiles import exact_quantiles
+from kpiloom.session import checkpointed
 
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def describe(df: DataFrame, columns: Sequence[str], method: str = "exact") -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str], method: str = "exact", accuracy: int = 1000) -> DataFrame:
     """count, mean, std, min, quartiles and max: one row per metric.
 
-    ``method="approximate"`` replaces the exact quartiles with a one-pass sketch.
+    ``method="approximate"`` takes the quartiles from a sketch in the same pass
+    as the moments; the exact ones need three more passes.
     """
-    moments = df.agg(
-        *[
-            F.struct(
-                F.lit(c).alias("metric"),
-                F.count(c).alias("count"),
-                F.avg(c).alias("mean"),
-                F.stddev_samp(c).alias("std"),
-                F.min(c).cast("double").alias("min"),
-                F.max(c).cast("double").alias("max"),
-            ).alias(c)
-            for c in columns
+    names = [f"p{round(p * 100)}" for p in QUARTILES]
+
+    def profile(c: str) -> Column:
+        parts = [
+            F.lit(c).alias("metric"),
+            F.count(c).alias("count"),
+            F.avg(c).alias("mean"),
+            F.stddev_samp(c).alias("std"),
+            F.min(c).cast("double").alias("min"),
+            F.max(c).cast("double").alias("max"),
         ]
-    ).select(F.inline(F.array(*columns)))
-    quantiles = (exact_quantiles if method == "exact" else approximate_quantiles)(df, columns, QUARTILES)
-    wide = quantiles.groupBy("metric").agg(
-        *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"p{round(p * 100)}") for p in QUARTILES]
-    )
-    return moments.join(F.broadcast(wide), "metric", "left").select(
-        "metric", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
-    )
+        if method == "approximate":
+            sketch = F.percentile_approx(c, list(QUARTILES), accuracy)
+            parts += [sketch[i].cast("double").alias(name) for i, name in enumerate(names)]
+        return F.struct(*parts).alias(c)
+
+    moments = df.agg(*[profile(c) for c in columns]).select(F.inline(F.array(*columns)))
+    if method != "approximate":
+        moments = checkpointed(moments)
+        limits = moments.select("metric", F.col("min").alias("lo"), F.col("max").alias("hi"), F.col("count").alias("n"))
+        quantiles = exact_quantiles(df, columns, QUARTILES, limits=limits)
+        wide = quantiles.groupBy("metric").agg(
+            *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for p, n in zip(QUARTILES, names, strict=True)]
+        )
+        moments = moments.join(F.broadcast(wide), "metric", "left")
+    return moments.select("metric", "count", "mean", "std", "min", *names, "max")
 
 
 def guarded_corr(a: Column | str, b: Column | str) -> Column:

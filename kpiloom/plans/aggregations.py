@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from kpiloom.functions import campaign_roi, weeks_of_inventory
 from kpiloom.operators import rollup as R
 from kpiloom.operators import stats
-from kpiloom.operators.growth import long_enough
-from kpiloom.operators.joins import add_first_period
-from kpiloom.operators.reports import cohort_sums, dashboard
+from kpiloom.operators.growth import first_of_group, long_enough
+from kpiloom.operators.reports import cohort_sums
 from kpiloom.plans.fact import order_lines, product_week
 from kpiloom.plans.registry import query
 from kpiloom.plans.shared import (
@@ -19,6 +18,7 @@ from kpiloom.plans.shared import (
     monthly_products,
     product_revenue,
     rollup_sql,
+    written_fact,
     yearly_products,
 )
 from kpiloom.sources import table
@@ -177,8 +177,9 @@ def filtered_month(spark: SparkSession, d: str) -> DataFrame:
     lines = order_lines(
         spark, d, ["Ship_Date", "Category", "Region", "Revenue", "Profit", "Efficiency_Rate", "Lead_Time_Days"]
     )
-    money, work = dashboard(lines, "STANDARD", "EUROPE", "Ship_Date")
-    return money.join(work, "Month")
+    picked = lines.where((F.col("Category") == "STANDARD") & (F.col("Region") == "EUROPE"))
+    measures = {"Revenue": "sum", "Profit": "sum", "Efficiency_Rate": "mean", "Lead_Time_Days": "mean"}
+    return R.calendar_rollup(picked, "Month", measures, date="Ship_Date")
 
 
 # --- product-week rollups ---------------------------------------------------
@@ -272,7 +273,7 @@ def two_level_month(spark: SparkSession, d: str) -> DataFrame:
        FROM pw GROUP BY 1""",
 )
 def weekly_target(spark: SparkSession, d: str) -> DataFrame:
-    fact = product_week(spark, d, ["Sales_Units"])
+    fact = written_fact(spark, d, ["Sales_Units"])
     rounded = R.weekly_targets(fact).withColumnRenamed("Weekly_Target", "half_even")
     cut = R.weekly_targets(fact, rounding="truncate").withColumnRenamed("Weekly_Target", "truncated")
     return rounded.join(cut, "Product_ID")
@@ -454,7 +455,7 @@ def customer_cohorts(spark: SparkSession, d: str) -> DataFrame:
     orders = R.calendar_rollup(
         table(spark, d, "orders"), "Month", {"o_totalprice": "sum"}, ["o_custkey"], date="o_orderdate"
     )
-    known = add_first_period(orders, "o_custkey", "Month", "Acquisition_Month")
+    known = first_of_group(orders, ["o_custkey"], "Month", "Acquisition_Month")
     return cohort_sums(known, "Acquisition_Month", "Month", "o_totalprice")
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from kpiloom.functions import replace_labels
 from kpiloom.operators import joins as J
 from kpiloom.operators.rollup import share_of_total, weekly_targets
-from kpiloom.plans.fact import order_lines, product_week
+from kpiloom.plans.fact import order_lines
 from kpiloom.plans.projections import NAME_LABELS
 from kpiloom.plans.registry import query
-from kpiloom.plans.shared import TOP_PRODUCTS, TOP_SQL, product_revenue, top_products_year
+from kpiloom.plans.shared import TOP_PRODUCTS, TOP_SQL, product_revenue, top_products, written_fact
 from kpiloom.sources import table
 
 
@@ -22,7 +22,7 @@ from kpiloom.sources import table
        SELECT Product_ID, "Date", Sales_Units, Weekly_Target FROM pw LEFT JOIN t USING (Product_ID)""",
 )
 def target_join(spark: SparkSession, d: str) -> DataFrame:
-    fact = product_week(spark, d, ["Sales_Units"])
+    fact = written_fact(spark, d, ["Sales_Units"])
     return J.add_lookup(fact, weekly_targets(fact), "Product_ID")
 
 
@@ -35,7 +35,7 @@ def target_join(spark: SparkSession, d: str) -> DataFrame:
        ) AS promo USING (Product_ID, "Date")""",
 )
 def align_to_spine(spark: SparkSession, d: str) -> DataFrame:
-    fact = product_week(spark, d, ["Sales_Units", "On_Promo"])
+    fact = written_fact(spark, d, ["Sales_Units", "On_Promo"])
     promo = fact.where("On_Promo").select(
         "Product_ID", "Date", F.lit(1).alias("promo_weeks"), F.col("Sales_Units").alias("promo_units")
     )
@@ -48,8 +48,8 @@ def align_to_spine(spark: SparkSession, d: str) -> DataFrame:
     f'SELECT Product_ID, "Date", Revenue FROM pw WHERE Product_ID IN ({TOP_SQL})',
 )
 def top_semi_join(spark: SparkSession, d: str) -> DataFrame:
-    fact = product_week(spark, d, ["Revenue"])
-    return J.keep_top(fact, top_products_year(spark, d), "Product_ID", "Revenue", TOP_PRODUCTS)
+    fact = written_fact(spark, d, ["Year", "Revenue"])
+    return J.keep_top(fact, top_products(fact), "Product_ID", "Revenue", TOP_PRODUCTS)
 
 
 @query(
@@ -62,7 +62,7 @@ def top_semi_join(spark: SparkSession, d: str) -> DataFrame:
        SELECT Product_ID, sum(Revenue) AS Revenue, display FROM pw LEFT JOIN n USING (Product_ID) GROUP BY 1, 3""",
 )
 def name_lookup(spark: SparkSession, d: str) -> DataFrame:
-    fact = product_week(spark, d, ["Product_Name", "Revenue"])
+    fact = written_fact(spark, d, ["Product_Name", "Revenue"])
     totals = fact.groupBy("Product_ID").agg(F.sum("Revenue").alias("Revenue"))
     names = fact.groupBy("Product_ID").agg(F.min_by("Product_Name", "Date").alias("Product_Name"))
     display = names.select("Product_ID", replace_labels("Product_Name", NAME_LABELS).alias("display"))
@@ -111,8 +111,8 @@ def event_gap_fill(spark: SparkSession, d: str) -> DataFrame:
        LEFT JOIN pw ON pw.Product_ID = p.Product_ID AND pw."Date" = c."Date" """,
 )
 def calendar_grid(spark: SparkSession, d: str) -> DataFrame:
-    fact = product_week(spark, d, ["Sales_Units"])
-    first, last = J.bounds(order_lines(spark, d, ["Date"]), "Date")
+    fact = written_fact(spark, d, ["Sales_Units"])
+    first, last = J.bounds(fact, "Date")
     grid = J.calendar_grid(fact.select("Product_ID").distinct(), first, last)
     return J.align_to_spine(fact, grid, ["Product_ID", "Date"])
 
@@ -139,7 +139,7 @@ def scalar_share(spark: SparkSession, d: str) -> DataFrame:
        FROM f LEFT JOIN y USING (Product_ID, Week_Index)""",
 )
 def future_calendar(spark: SparkSession, d: str) -> DataFrame:
-    fact = product_week(spark, d, ["Week_Index", "Marketing_Spend", "On_Promo"])
+    fact = written_fact(spark, d, ["Week_Index", "Marketing_Spend", "On_Promo"])
     future = J.future_weeks(fact, ["Product_ID"], 12)
     last_year = fact.withColumns(
         {"Week_Index": F.col("Week_Index") + 52, "On_Promo": F.col("On_Promo").cast("long")}

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiloom import functions as K
-from kpiloom.operators.growth import add_growth
-from kpiloom.operators.joins import add_first_period
-from kpiloom.operators.rollup import latest_year_table, rollup, weekly_targets
+from kpiloom.operators.growth import add_growth, add_target, first_of_group
+from kpiloom.operators.rollup import latest_year_table, rollup
 from kpiloom.plans.fact import order_lines, product_name, product_week
 from kpiloom.plans.fact_sql import FIRST_WEEK
 from kpiloom.plans.registry import query
@@ -287,8 +286,8 @@ def profit(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "k5_profit_margin",
-    "Product_ID:s Date:d Profit_Margin:4",
-    """SELECT Product_ID, "Date", CASE WHEN Revenue > 0 THEN Profit / Revenue ELSE 0 END AS Profit_Margin FROM pw""",
+    "Product_ID:s Date:d Profit_Margin:6",
+    """SELECT Product_ID, "Date", round(CASE WHEN Revenue > 0 THEN Profit / Revenue ELSE 0 END, 4) AS Profit_Margin FROM pw""",
 )
 def profit_margin(spark: SparkSession, d: str) -> DataFrame:
     fact = product_week(spark, d, ["Profit", "Revenue"])
@@ -324,7 +323,7 @@ def good_returned_units(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "k8_discounted_price",
     "p_partkey:i price:2",
-    "SELECT p_partkey, p_retailprice * (1 - p_size / 100) AS price FROM part",
+    "SELECT p_partkey, round(CAST(p_retailprice * (1 - p_size / 100) AS DECIMAL(18, 6)), 2) AS price FROM part",
 )
 def discounted_price(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
@@ -333,9 +332,9 @@ def discounted_price(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "k9_weeks_of_inventory",
-    "Product_ID:s Date:d weeks:6 weeks_unguarded:2",
+    "Product_ID:s Date:d weeks:6 weeks_unguarded:4",
     """SELECT Product_ID, "Date", Inventory / (NULLIF(Sales_Units, 0) + 1e-6) AS weeks,
-         Inventory / (Sales_Units + 1e-6) AS weeks_unguarded FROM pw""",
+         round(Inventory / (Sales_Units + 1e-6), 2) AS weeks_unguarded FROM pw""",
 )
 def weeks_of_inventory(spark: SparkSession, d: str) -> DataFrame:
     fact = product_week(spark, d, ["Inventory", "Sales_Units"])
@@ -366,7 +365,7 @@ def fill_rate(spark: SparkSession, d: str) -> DataFrame:
 )
 def target_achieved(spark: SparkSession, d: str) -> DataFrame:
     fact = product_week(spark, d, ["Sales_Units"])
-    return fact.join(weekly_targets(fact), "Product_ID", "left").withColumns(
+    return add_target(fact).withColumns(
         {
             "plain": K.target_achieved("Sales_Units", "Weekly_Target", 0),
             "guarded": K.target_achieved("Sales_Units", "Weekly_Target"),
@@ -376,8 +375,8 @@ def target_achieved(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "k12_acquisition_cost",
-    "Product_ID:s Month:d cost:2",
-    """SELECT Product_ID, "Month", sum(Marketing_Spend) / (sum(Acquisition) + 1e-6) AS cost FROM pw GROUP BY 1, 2""",
+    "Product_ID:s Month:d cost:4",
+    """SELECT Product_ID, "Month", round(sum(Marketing_Spend) / (sum(Acquisition) + 1e-6), 2) AS cost FROM pw GROUP BY 1, 2""",
 )
 def acquisition_cost(spark: SparkSession, d: str) -> DataFrame:
     fact = product_week(spark, d, ["Month", "Marketing_Spend", "Acquisition"])
@@ -399,7 +398,7 @@ def weeks_since_acquisition(spark: SparkSession, d: str) -> DataFrame:
         "o_custkey", K.week_index("o_orderdate", FIRST_WEEK).alias("week")
     )
     per_week = orders.groupBy("o_custkey", "week").agg(F.count(F.lit(1)).alias("orders"))
-    known = add_first_period(per_week, "o_custkey", "week", "start")
+    known = first_of_group(per_week, ["o_custkey"], "week", "start")
     return known.groupBy(K.weeks_since("week", "start").alias("weeks")).agg(
         F.count(F.lit(1)).alias("customers"), F.sum("orders").alias("orders")
     )

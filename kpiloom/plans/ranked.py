@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiloom.operators.growth import add_holdout, add_position
-from kpiloom.operators.joins import keep_top
 from kpiloom.operators.ranking import top_n
 from kpiloom.operators.reports import alerts, stack_models
 from kpiloom.operators.rollup import latest_year_table
@@ -15,14 +14,14 @@ from kpiloom.plans.fact import product_week
 from kpiloom.plans.registry import query
 from kpiloom.plans.shared import (
     ALERT_SQL,
-    SUMMARY_MEASURES,
     TOP_PRODUCTS,
     TOP_SQL,
-    monthly_products,
     product_revenue,
-    top_products_year,
+    top_monthly,
+    written_fact,
     yearly_products,
 )
+from kpiloom.plans.shared import top_products as latest_products
 
 
 @query(
@@ -41,7 +40,8 @@ def multi_key_sort(spark: SparkSession, d: str) -> DataFrame:
         WHERE "Year" = (SELECT max("Year") FROM pw) AND Product_ID IN ({TOP_SQL}) GROUP BY 1""",
 )
 def top_products(spark: SparkSession, d: str) -> DataFrame:
-    return top_n(top_products_year(spark, d), "Revenue", TOP_PRODUCTS, "Product_ID")
+    fact = written_fact(spark, d, ["Year", "Revenue"])
+    return top_n(latest_products(fact), "Revenue", TOP_PRODUCTS, "Product_ID")
 
 
 LARGEST_SQL = "SELECT Product_ID, sum(Revenue) AS Revenue FROM pw GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT"
@@ -111,7 +111,6 @@ def model_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("u2_alert_rules", "Product_ID:s Month:d rule:s pct:6 line:s", ALERT_SQL)
 def alert_rules(spark: SparkSession, d: str) -> DataFrame:
-    monthly = monthly_products(spark, d, SUMMARY_MEASURES)
-    return alerts(keep_top(monthly, top_products_year(spark, d), "Product_ID", "Revenue", TOP_PRODUCTS))
+    return alerts(top_monthly(spark, d))
 
 

@@ -17,18 +17,23 @@ from kpiloom.plans.models import customer_features
 from kpiloom.plans.registry import query
 from kpiloom.plans.shared import (
     ALERT_SQL,
-    SUMMARY_MEASURES,
     SUMMARY_SQL,
     TOP_PRODUCTS,
     TOP_SQL,
     monthly_products,
     product_revenue,
     rollup_sql,
-    top_products_year,
+    top_monthly,
+    top_products,
+    written_fact,
 )
 from kpiloom.plans.windowed import PARETO_SQL, WATERFALL_SQL, change_sql, rolling_sql, waterfall_table
 
 
+# The calendar of the test tables, for the checking SQL; the query reads it from the data.
+MONTHS = [f"{m // 12:04d}-{m % 12 + 1:02d}" for m in range(1995 * 12, 2001 * 12 + 10)]
+
+
 @query(
     "r1_month_matrix",
     None,
@@ -37,8 +42,8 @@ from kpiloom.plans.windowed import PARETO_SQL, WATERFALL_SQL, change_sql, rollin
             round(coalesce({change_sql('Sales_Units', 1, 'Month')}, 0), 6) + CAST(0 AS DOUBLE) AS pct
           FROM ({rollup_sql(['Product_ID', 'Product_Name', 'Month'], {'Sales_Units': 'sum'})}) AS m
         )
-        SELECT Product_Name, coalesce(COLUMNS(* EXCLUDE (Product_Name)), 0) FROM (
-          PIVOT g ON label USING max(pct) GROUP BY Product_Name)""",
+        SELECT Product_Name, {', '.join(f"coalesce(max(pct) FILTER (label = '{m}'), 0) AS \"{m}\"" for m in MONTHS)}
+        FROM g GROUP BY 1""",
 )
 def month_matrix(spark: SparkSession, d: str) -> DataFrame:
     monthly = monthly_products(spark, d, {"Sales_Units": "sum"}, ["Product_Name"])
@@ -53,7 +58,7 @@ PERIODS = range(0, 86)
 
 @query(
     "r2_cohort_matrix",
-    "Acquisition_Month:d " + " ".join(f"period_{p}:2" for p in PERIODS),
+    "Acquisition_Month:d " + " ".join(f"period_{p}:4" for p in PERIODS),
     "SELECT Acquisition_Month, "
     + ", ".join(f"avg(n_sales) FILTER (Cohort_Period = {p}) AS period_{p}" for p in PERIODS)
     + f" FROM ({COHORT_SQL}) AS c GROUP BY 1",
@@ -97,11 +102,6 @@ def waterfall(spark: SparkSession, d: str) -> DataFrame:
     return waterfall_table(spark, d)
 
 
-def top_monthly(spark: SparkSession, d: str) -> DataFrame:
-    monthly = monthly_products(spark, d, SUMMARY_MEASURES)
-    return keep_top(monthly, top_products_year(spark, d), "Product_ID", "Revenue", TOP_PRODUCTS)
-
-
 @query(
     "r7_monthly_summary",
     "Product_ID:s Month:d Sales_Units:2 Revenue:4 MoM_Sales_pct:6 YoY_Sales_pct:6 MoM_LeadTime_pct:6 MoM_Eff_pct:6 "
@@ -148,8 +148,9 @@ def full_fact(spark: SparkSession, d: str) -> DataFrame:
 )
 def top_series(spark: SparkSession, d: str) -> DataFrame:
     measures = {"Sales_Units": "sum", "Efficiency_u_per_h": "mean"}
-    quarterly = rollup(product_week(spark, d, ["Quarter", *measures]), ["Product_ID", "Quarter"], measures)
-    top = keep_top(quarterly, top_products_year(spark, d), "Product_ID", "Revenue", TOP_PRODUCTS)
+    fact = written_fact(spark, d, ["Quarter", "Year", "Revenue", *measures])
+    quarterly = rollup(fact, ["Product_ID", "Quarter"], measures)
+    top = keep_top(quarterly, top_products(fact), "Product_ID", "Revenue", TOP_PRODUCTS)
     return G.add_growth(top, ["Product_ID"], "Quarter", {"QoQ_Sales_pct": ("Sales_Units", 1)})
 
 

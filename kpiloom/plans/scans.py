@@ -7,20 +7,12 @@ from pyspark.sql import functions as F
 
 from kpiloom.functions import month_start
 from kpiloom.operators.growth import monthly_summary
-from kpiloom.operators.joins import keep_top
 from kpiloom.operators.reports import alerts, stack_models
 from kpiloom.operators.rollup import calendar_rollup, rollup
 from kpiloom.operators.stats import forecast_metrics
 from kpiloom.plans.fact import order_lines, product_week
 from kpiloom.plans.registry import query
-from kpiloom.plans.shared import (
-    ALERT_SQL,
-    SUMMARY_MEASURES,
-    SUMMARY_SQL,
-    TOP_PRODUCTS,
-    monthly_products,
-    top_products_year,
-)
+from kpiloom.plans.shared import ALERT_SQL, SUMMARY_SQL, top_monthly
 from kpiloom.session import scratch_path
 from kpiloom.sources import read_csv, read_fact_csv, table, write_alerts, write_csv, write_per_entity
 
@@ -91,8 +83,7 @@ def file_per_entity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _summary(spark: SparkSession, d: str) -> DataFrame:
-    monthly = monthly_products(spark, d, SUMMARY_MEASURES)
-    return monthly_summary(keep_top(monthly, top_products_year(spark, d), "Product_ID", "Revenue", TOP_PRODUCTS))
+    return monthly_summary(top_monthly(spark, d))
 
 
 @query(
@@ -104,7 +95,7 @@ def _summary(spark: SparkSession, d: str) -> DataFrame:
 )
 def alert_text(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "alerts_txt")
-    write_alerts(alerts(_summary(spark, d)), path)
+    write_alerts(alerts(top_monthly(spark, d)), path)
     return spark.read.text(path)
 
 

@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kpiloom.operators.joins import keep_top
 from kpiloom.operators.rollup import AGGREGATES, calendar_rollup, latest_period, rollup
 from kpiloom.plans.fact import product_week
+from kpiloom.session import checkpointed
 
 TOP_PRODUCTS = 6
 SUMMARY_MEASURES = {
@@ -18,6 +20,12 @@ SUMMARY_MEASURES = {
 }
 
 
+def written_fact(spark: SparkSession, d: str, columns: Sequence[str]) -> DataFrame:
+    """The product-week fact, written once: for queries that read it more than
+    once, so that the raw tables are scanned and joined a single time."""
+    return checkpointed(product_week(spark, d, columns))
+
+
 def monthly_products(spark: SparkSession, d: str, measures: dict[str, str], keys: Sequence[str] = ()) -> DataFrame:
     """Product-month rollup of the product-week fact."""
     fact = product_week(spark, d, ["Month", *keys, *measures])
@@ -25,13 +33,21 @@ def monthly_products(spark: SparkSession, d: str, measures: dict[str, str], keys
 
 
 def yearly_products(spark: SparkSession, d: str, measures: dict[str, str], keys: Sequence[str] = ()) -> DataFrame:
+    """Product-year rollup, written once: the latest year is found in a second pass."""
     fact = product_week(spark, d, ["Year", *keys, *measures])
-    return rollup(fact, ["Product_ID", "Year", *keys], measures)
+    return checkpointed(rollup(fact, ["Product_ID", "Year", *keys], measures))
+
+
+def top_products(fact: DataFrame) -> DataFrame:
+    """Revenue per product in the latest year of the fact."""
+    return latest_period(rollup(fact, ["Product_ID", "Year"], {"Revenue": "sum"}), "Year")
 
 
-def top_products_year(spark: SparkSession, d: str) -> DataFrame:
-    """Revenue per product in the latest year."""
-    return latest_period(yearly_products(spark, d, {"Revenue": "sum"}), "Year")
+def top_monthly(spark: SparkSession, d: str) -> DataFrame:
+    """Product-month rollup of the latest year's top products."""
+    fact = written_fact(spark, d, ["Month", "Year", *SUMMARY_MEASURES])
+    monthly = rollup(fact, ["Product_ID", "Month"], SUMMARY_MEASURES)
+    return keep_top(monthly, top_products(fact), "Product_ID", "Revenue", TOP_PRODUCTS)
 
 
 def product_revenue(spark: SparkSession, d: str) -> DataFrame:

@@ -18,6 +18,7 @@ from kpiloom.plans.shared import (
     monthly_products,
     product_revenue,
     rollup_sql,
+    written_fact,
 )
 
 
@@ -74,8 +75,8 @@ _periodic("w1_year_growth", "Year", "i", {"YoY_Sales_pct": 1})
         ) SELECT *, {change_sql('Sales_Units', 1, 'Date')} AS WoW FROM g""",
 )
 def densified_wow(spark: SparkSession, d: str) -> DataFrame:
-    fact = product_week(spark, d, ["Sales_Units"])
-    first, last = bounds(order_lines(spark, d, ["Date"]), "Date")
+    fact = written_fact(spark, d, ["Sales_Units"])
+    first, last = bounds(fact, "Date")
     grid = calendar_grid(fact.select("Product_ID").distinct(), first, last)
     dense = align_to_spine(fact, grid, ["Product_ID", "Date"])
     return G.add_growth(dense, ["Product_ID"], "Date", {"WoW": ("Sales_Units", 1)})
