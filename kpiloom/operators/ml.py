@@ -29,10 +29,15 @@ def _vectors(df: DataFrame, features: Sequence[str], fill: bool = False) -> Data
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Even partitions, written once: the fits below pass over them many times."""
+    """Even partitions, written once, for the tree fits: many passes, much work per row."""
     return checkpointed(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def _balanced(df: DataFrame) -> DataFrame:
+    """Partitions of the advised size, written once: many light passes."""
+    return checkpointed(df.hint("rebalance"))
+
+
 def _in_parallel(spark: SparkSession, run: Callable, settings: Sequence, workers: int) -> list:
     """Independent fits as concurrent Spark jobs."""
     with ThreadPoolExecutor(max_workers=workers) as pool:
@@ -53,7 +58,7 @@ def fit_kmeans(
 
 def cluster(df: DataFrame, features: Sequence[str], k: int = 3, starts: int = 10, seed: int = 42) -> DataFrame:
     """Add ``cluster``: unscaled features, nulls as 0, clusters numbered by their first feature's centre."""
-    data = _spread(_vectors(df, features, fill=True))
+    data = _balanced(_vectors(df, features, fill=True))
     model = fit_kmeans(data, k, starts, seed)
     centres = model.clusterCenters()
     ranked = sorted(range(len(centres)), key=lambda i: tuple(centres[i]))

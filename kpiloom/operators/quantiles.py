@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kpiloom.session import checkpointed
 
 CELLS = 4096
+DIRECT_ROWS = 1_000_000
 
 
 def exact_quantiles(
@@ -19,15 +20,18 @@ def exact_quantiles(
     probs: Sequence[float],
     cells: int = CELLS,
     limits: DataFrame | None = None,
+    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Linear-interpolated quantiles: one row per (metric, p).
 
-    Two counting passes narrow the range that holds each wanted rank, from
-    [min, max] to 1/cells and then to 1/cells^2 of it. Counts are combined on
-    the map side, so each pass shuffles at most ``cells`` rows per metric and
-    task. Only the distinct values inside the last cells are sorted. Every
-    table that is broadcast has a row bound set by ``columns`` and ``probs``.
-    ``limits`` (metric, lo, hi, n) saves a pass when it is already known.
+    Up to ``direct_rows`` values per column, the distinct values are counted
+    and ranked directly. Beyond that, two counting passes first narrow the
+    range that holds each wanted rank, from [min, max] to 1/cells and then to
+    1/cells^2 of it. Counts are combined on the map side, so such a pass
+    shuffles at most ``cells`` rows per metric and task, and only the distinct
+    values inside the last cells are sorted. Every table that is broadcast has
+    a row bound set by ``columns`` and ``probs``. ``limits`` (metric, lo, hi, n)
+    saves a pass when it is already known; it must be a written table.
     """
     values = df.select(
         F.inline(
@@ -38,23 +42,16 @@ def exact_quantiles(
         limits = checkpointed(
             values.groupBy("metric").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"))
         )
-
     prob = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
     spots = limits.select("metric", "n", prob.alias("p")).withColumn("h", F.col("p") * (F.col("n") - 1))
-    wanted = spots.select("metric", F.explode(F.array(F.floor("h"), F.ceil("h"))).alias("rank")).distinct()
+    ranks = spots.select("metric", F.explode(F.array(F.floor("h"), F.ceil("h"))).alias("rank")).distinct()
+    wanted = ranks.withColumn("full_rank", F.col("rank"))
 
-    place = F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * cells, F.lit(0.0))
-    last = F.lit(cells - 1).cast("long")
-    outer = F.least(F.floor(place), last)
-    placed = values.join(F.broadcast(limits.drop("n")), "metric").select(
-        "metric", "v", outer.alias("c1"), F.least(F.floor((place - outer) * cells), last).alias("c2")
-    )
-
-    first = _find(_counted(placed, ["metric"], "c1"), wanted, ["metric"], "c1")
-    inside = placed.join(F.broadcast(first.select("metric", "c1").distinct()), ["metric", "c1"])
-    second = _find(_counted(inside, ["metric", "c1"], "c2"), first, ["metric", "c1"], "c2")
-    inmost = inside.join(F.broadcast(second.select("metric", "c1", "c2").distinct()), ["metric", "c1", "c2"])
-    found = _find(_counted(inmost, ["metric", "c1", "c2"], "v"), second, ["metric", "c1", "c2"], "v")
+    most = limits.agg(F.max("n")).first()[0] or 0
+    if most <= direct_rows:
+        found = _find(_counted(values, ["metric"], "v"), wanted, ["metric"], "v")
+    else:
+        found = _narrowed(values, limits, wanted, cells)
 
     at = found.groupBy("metric", "full_rank").agg(F.max("v").alias("v"))
     low = at.select("metric", F.col("full_rank").alias("r0"), F.col("v").alias("v0"))
@@ -67,6 +64,21 @@ def exact_quantiles(
     )
 
 
+def _narrowed(values: DataFrame, limits: DataFrame, wanted: DataFrame, cells: int) -> DataFrame:
+    """The wanted ranks' values by way of two nested grids of cells."""
+    place = F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * cells, F.lit(0.0))
+    last = F.lit(cells - 1).cast("long")
+    outer = F.least(F.floor(place), last)
+    placed = values.join(F.broadcast(limits.drop("n")), "metric").select(
+        "metric", "v", outer.alias("c1"), F.least(F.floor((place - outer) * cells), last).alias("c2")
+    )
+    first = _find(_counted(placed, ["metric"], "c1"), wanted, ["metric"], "c1")
+    inside = placed.join(F.broadcast(first.select("metric", "c1").distinct()), ["metric", "c1"])
+    second = _find(_counted(inside, ["metric", "c1"], "c2"), first, ["metric", "c1"], "c2")
+    inmost = inside.join(F.broadcast(second.select("metric", "c1", "c2").distinct()), ["metric", "c1", "c2"])
+    return _find(_counted(inmost, ["metric", "c1", "c2"], "v"), second, ["metric", "c1", "c2"], "v")
+
+
 def _counted(rows: DataFrame, keys: list[str], cell: str) -> DataFrame:
     """Rows per cell, and rows before it within ``keys``."""
     counts = rows.groupBy(*keys, cell).agg(F.count(F.lit(1)).alias("cnt"))
@@ -76,6 +88,7 @@ def _counted(rows: DataFrame, keys: list[str], cell: str) -> DataFrame:
 
 def _find(cells: DataFrame, wanted: DataFrame, keys: list[str], cell: str) -> DataFrame:
     """The cell of each wanted rank, with the rank counted from the cell's start."""
-    w = wanted if "full_rank" in wanted.columns else wanted.withColumn("full_rank", F.col("rank"))
-    hit = cells.join(F.broadcast(w), keys).where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("after")))
+    hit = cells.join(F.broadcast(wanted), keys).where(
+        (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("after"))
+    )
     return hit.select(*keys, cell, (F.col("rank") - F.col("before")).alias("rank"), "full_rank")

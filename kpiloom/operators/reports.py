@@ -67,7 +67,7 @@ def profit_steps(expenses: str = "Expenses") -> dict[str, Column]:
 
 
 def alerts(
-    monthly: DataFrame, key: str = "Product_ID", month: str = "Month", threshold: float = 0.10
+    monthly: DataFrame, key: str = "Product_ID", month: str = "Month", threshold: float = 0.10, language: str = "en"
 ) -> DataFrame:
     """Lead time up, or efficiency down, in the last month by more than the threshold."""
     change = last_change(
@@ -78,18 +78,33 @@ def alerts(
         F.struct(F.lit("Efficiency").alias("rule"), F.col("eff_pct").alias("pct"), (F.col("eff_pct") < -threshold).alias("hit")),
     )
     fired = change.select(key, month, F.inline(rules)).where("hit").drop("hit")
-    return fired.withColumn("line", alert_line(key))
+    return fired.withColumn("line", alert_line(key, language))
 
 
-# Wording of the alert lines.
-LEAD_TIME_TEXT = "Alert: lead time increase for product "
-EFFICIENCY_TEXT = "Alert: efficiency decrease for product "
-LAST_MONTH_TEXT = " in the last month: "
+# Wording of the alert lines, by language.
+ALERT_TEXTS = {
+    "en": {
+        "Lead_Time": "ALERT: Lead Time increase for product {key} in last month: {pct}%",
+        "Efficiency": "ALERT: Efficiency drop for product {key} in last month: {pct}%",
+    },
+    "fa": {
+        "Lead_Time": "هشدار: افزایش Lead Time برای محصول {key} در ماه اخیر: {pct}%",
+        "Efficiency": "هشدار: کاهش Efficiency برای محصول {key} در ماه اخیر: {pct}%",
+    },
+}
 
 
-def alert_line(key: str) -> Column:
-    head = F.when(F.col("rule") == "Lead_Time", LEAD_TIME_TEXT).otherwise(EFFICIENCY_TEXT)
-    return F.concat(head, F.col(key), F.lit(LAST_MONTH_TEXT), percent_text("pct"), F.lit("%"))
+def alert_line(key: str, language: str = "en") -> Column:
+    texts = ALERT_TEXTS[language]
+    template = F.when(F.col("rule") == "Lead_Time", texts["Lead_Time"]).otherwise(texts["Efficiency"])
+    return F.replace(F.replace(template, F.lit("{key}"), F.col(key)), F.lit("{pct}"), percent_text("pct"))
+
+
+def ordered_alerts(fired: DataFrame, totals: DataFrame, key: str, measure: str) -> DataFrame:
+    """Alerts in the order of the entities' measure, lead time first. The rows
+    are at most two per top entity."""
+    ranked = fired.join(totals.select(key, F.col(measure).alias("_rank")), key, "left")
+    return ranked.orderBy(F.desc("_rank"), key, F.desc("rule")).drop("_rank")
 
 
 def stack_models(tables: Mapping[str, DataFrame], column: str = "Model") -> DataFrame:

@@ -9,9 +9,8 @@ import math
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,18 +142,27 @@ def trend_backtest(split: DataFrame, key: str, position: str, value: str, is_tes
 
 
 def ols(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
-    """Multiple regression by normal equations: one row per term.
+    """Multiple regression: one row per term.
 
-    One distributed pass sums the Gramian; the driver solves a system whose
-    size is the number of features.
+    One aggregate takes the means and all pairwise covariances of the complete
+    rows, in generated code and combined on the map side; the driver solves a
+    system whose size is the number of features.
     """
-    data = VectorAssembler(inputCols=list(features), outputCol="_x").transform(
-        df.select(*features, F.col(target).cast("double").alias("_y")).dropna()
+    names = [*features, target]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    row = (
+        df.dropna(subset=names)
+        .agg(*[F.avg(c) for c in names], *[F.covar_samp(names[i], names[j]) for i, j in pairs])
+        .first()
     )
-    model = LinearRegression(featuresCol="_x", labelCol="_y", solver="normal", regParam=0.0).fit(data)
-    terms = [("intercept", float(model.intercept))] + [
-        (f, float(c)) for f, c in zip(features, model.coefficients, strict=True)
-    ]
+    means, spread = np.array(row[: len(names)], float), np.zeros((len(names), len(names)))
+    for (i, j), value in zip(pairs, row[len(names) :], strict=True):
+        spread[i, j] = spread[j, i] = np.nan if value is None else value
+    if np.isnan(spread).any():
+        raise ValueError("a regression needs at least two complete rows")
+    weights = np.linalg.lstsq(spread[:-1, :-1], spread[:-1, -1], rcond=None)[0]
+    terms = [("intercept", float(means[-1] - means[:-1] @ weights))]
+    terms += [(f, float(w)) for f, w in zip(features, weights, strict=True)]
     return df.sparkSession.createDataFrame(terms, "term string, coefficient double")
 
 

@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 
 from kpiloom.functions import month_start
 from kpiloom.operators.growth import monthly_summary
-from kpiloom.operators.reports import alerts, stack_models
+from kpiloom.operators.reports import alerts, ordered_alerts, stack_models
 from kpiloom.operators.rollup import calendar_rollup, rollup
 from kpiloom.operators.stats import forecast_metrics
 from kpiloom.plans.fact import order_lines, product_week
 from kpiloom.plans.registry import query
-from kpiloom.plans.shared import ALERT_SQL, SUMMARY_SQL, top_monthly
+from kpiloom.plans.shared import (
+    ALERT_SQL,
+    SUMMARY_MEASURES,
+    SUMMARY_SQL,
+    monthly_of_top,
+    top_monthly,
+    top_products,
+    written_fact,
+)
 from kpiloom.session import scratch_path
 from kpiloom.sources import read_csv, read_fact_csv, table, write_alerts, write_csv, write_per_entity
 
@@ -91,11 +99,13 @@ def _summary(spark: SparkSession, d: str) -> DataFrame:
     "value:s",
     f"""WITH a AS ({ALERT_SQL})
         SELECT line AS value FROM a
-        UNION ALL SELECT 'No major alert found.' WHERE NOT EXISTS (SELECT 1 FROM a)""",
+        UNION ALL SELECT 'No critical alerts detected.' WHERE NOT EXISTS (SELECT 1 FROM a)""",
 )
 def alert_text(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "alerts_txt")
-    write_alerts(alerts(top_monthly(spark, d)), path)
+    fact = written_fact(spark, d, ["Month", "Year", *SUMMARY_MEASURES])
+    fired = alerts(monthly_of_top(fact))
+    write_alerts(ordered_alerts(fired, top_products(fact), "Product_ID", "Revenue"), path)
     return spark.read.text(path)
 
 

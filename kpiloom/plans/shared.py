@@ -45,7 +45,10 @@ def top_products(fact: DataFrame) -> DataFrame:
 
 def top_monthly(spark: SparkSession, d: str) -> DataFrame:
     """Product-month rollup of the latest year's top products."""
-    fact = written_fact(spark, d, ["Month", "Year", *SUMMARY_MEASURES])
+    return monthly_of_top(written_fact(spark, d, ["Month", "Year", *SUMMARY_MEASURES]))
+
+
+def monthly_of_top(fact: DataFrame) -> DataFrame:
     monthly = rollup(fact, ["Product_ID", "Month"], SUMMARY_MEASURES)
     return keep_top(monthly, top_products(fact), "Product_ID", "Revenue", TOP_PRODUCTS)
 
@@ -103,12 +106,12 @@ FROM (
 
 ALERT_SQL = f"""
 SELECT Product_ID, "Month", 'Lead_Time' AS rule, lt_pct AS pct,
-  'Alert: lead time increase for product ' || Product_ID || ' in the last month: '
+  'ALERT: Lead Time increase for product ' || Product_ID || ' in last month: '
     || printf('%.1f', lt_pct * 100) || '%' AS line
 FROM ({LAST_CHANGE_SQL}) AS a WHERE lt_pct > 0.10 AND Product_ID IN ({TOP_SQL})
 UNION ALL
 SELECT Product_ID, "Month", 'Efficiency', eff_pct,
-  'Alert: efficiency decrease for product ' || Product_ID || ' in the last month: '
+  'ALERT: Efficiency drop for product ' || Product_ID || ' in last month: '
     || printf('%.1f', eff_pct * 100) || '%'
 FROM ({LAST_CHANGE_SQL}) AS b WHERE eff_pct < -0.10 AND Product_ID IN ({TOP_SQL})"""
 

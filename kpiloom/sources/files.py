@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NOTHING_FOUND = "No major alert found."
+# The line written when there is no alert, by language.
+NOTHING_FOUND = {"en": "No critical alerts detected.", "fa": "هشدار مهمی یافت نشد."}
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | None = None) -> DataFrame:
@@ -41,7 +42,7 @@ def write_per_entity(df: DataFrame, path: str, key: str, fmt: str = "parquet", m
     (out.option("header", True) if fmt == "csv" else out).format(fmt).save(path)
 
 
-def alert_lines(alerts: DataFrame, line: str = "line", nothing: str = NOTHING_FOUND) -> DataFrame:
+def alert_lines(alerts: DataFrame, line: str = "line", nothing: str = NOTHING_FOUND["en"]) -> DataFrame:
     """The alert texts, or one row saying that there are none."""
     spark = alerts.sparkSession
     lines = alerts.select(F.col(line).alias("value"))
@@ -50,5 +51,8 @@ def alert_lines(alerts: DataFrame, line: str = "line", nothing: str = NOTHING_FO
     return lines.unionAll(fallback)
 
 
-def write_alerts(alerts: DataFrame, path: str, line: str = "line", mode: str = "errorifexists") -> None:
-    alert_lines(alerts, line).write.mode(mode).text(path)
+def write_alerts(
+    alerts: DataFrame, path: str, line: str = "line", mode: str = "errorifexists", language: str = "en"
+) -> None:
+    """Alert lines as one text file, in the given order: a few lines per top entity."""
+    alert_lines(alerts, line, NOTHING_FOUND[language]).coalesce(1).write.mode(mode).text(path)

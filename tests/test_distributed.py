@@ -22,22 +22,23 @@ COLUMNS = {
 }
 
 
-@pytest.mark.parametrize("cells", [4, 4096])
-def test_quantiles_match_numpy(spark, cells):
+@pytest.mark.parametrize(("cells", "direct_rows"), [(4, 0), (4096, 0), (4096, 1_000_000)])
+def test_quantiles_match_numpy(spark, cells, direct_rows):
     df = spark.createDataFrame(pd.DataFrame(COLUMNS))
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = {(r["metric"], r["p"]): r["value"] for r in exact_quantiles(df, list(COLUMNS), probs, cells).collect()}
+    got = {(r["metric"], r["p"]): r["value"] for r in exact_quantiles(df, list(COLUMNS), probs, cells, None, direct_rows).collect()}
     assert len(got) == len(COLUMNS) * len(probs)
     for name, values in COLUMNS.items():
         for p in probs:
             assert got[name, p] == pytest.approx(np.quantile(values, p), rel=1e-9, abs=1e-9), (name, p)
 
 
+@pytest.mark.parametrize("direct_rows", [0, 100])
 @pytest.mark.parametrize("n", [1, 2, 3, 7])
-def test_quantiles_of_few_rows_and_nulls(spark, n):
+def test_quantiles_of_few_rows_and_nulls(spark, n, direct_rows):
     values = [float(i * i) for i in range(n)]
     df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
-    got = {r["p"]: r["value"] for r in exact_quantiles(df, ["v"], [0.25, 0.5, 0.75]).collect()}
+    got = {r["p"]: r["value"] for r in exact_quantiles(df, ["v"], [0.25, 0.5, 0.75], direct_rows=direct_rows).collect()}
     assert got == {p: pytest.approx(np.quantile(values, p)) for p in (0.25, 0.5, 0.75)}
 
 

@@ -37,7 +37,18 @@ def test_alert_file_says_when_nothing_is_found(spark, tmp_path):
     write_alerts(RP.alerts(months(spark)), found)
     assert spark.read.text(found).count() == 2
     write_alerts(RP.alerts(months(spark).where("Product_ID = 'B'")), none)
-    assert [r[0] for r in spark.read.text(none).collect()] == ["No major alert found."]
+    assert [r[0] for r in spark.read.text(none).collect()] == ["No critical alerts detected."]
+
+
+def test_alert_order_and_language(spark, tmp_path):
+    more = months(spark).union(months(spark).where("Product_ID = 'A'").withColumn("Product_ID", F.lit("Z")))
+    totals = spark.createDataFrame([("A", 1.0), ("Z", 9.0)], "Product_ID string, Revenue double")
+    path = str(tmp_path / "fa")
+    write_alerts(RP.ordered_alerts(RP.alerts(more, language="fa"), totals, "Product_ID", "Revenue"), path, language="fa")
+    lines = [r[0] for r in spark.read.text(path).collect()]
+    assert [("Z" in x, "Lead Time" in x) for x in lines] == [(True, True), (True, False), (False, True), (False, False)]
+    # Fixed value: a published line.
+    assert lines[0] == "هشدار: افزایش Lead Time برای محصول Z در ماه اخیر: 21.7%"
 
 
 def test_month_matrix_covers_the_calendar(spark):
