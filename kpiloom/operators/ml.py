@@ -29,8 +29,11 @@ def _vectors(df: DataFrame, features: Sequence[str], fill: bool = False) -> Data
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Even partitions, written once, for the tree fits: many passes, much work per row."""
-    return checkpointed(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """Even partitions, written once, for the tree fits: many passes, much work
+    per row. The session's shuffle setting sizes them, within a few per core."""
+    spark = df.sparkSession
+    setting = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return checkpointed(df.repartition(min(setting, 4 * spark.sparkContext.defaultParallelism)))
 
 
 def _balanced(df: DataFrame) -> DataFrame:
@@ -143,7 +146,7 @@ def boosted_search(
     Boosting is sequential, so one fit with the largest tree count holds all
     smaller ones; their errors are read off per iteration.
     """
-    data = _spread(_vectors(df.select(*features, F.col(target).cast("double").alias("_y"), fold), features))
+    data = _balanced(_vectors(df.select(*features, F.col(target).cast("double").alias("_y"), fold), features))
     folds = [r[0] for r in data.where(F.col(fold).isNotNull()).select(fold).distinct().orderBy(fold).collect()]
 
     def run(setting: tuple[int, float, int]) -> list[tuple]:
@@ -174,7 +177,7 @@ def boosted_backtest(
     is_test: str = "is_test",
 ) -> DataFrame:
     """Boosted trees with one setting: fitted on train rows, evaluated on test rows."""
-    data = _spread(_vectors(split.withColumn("_y", F.col(target).cast("double")), features))
+    data = _balanced(_vectors(split.withColumn("_y", F.col(target).cast("double")), features))
     model = GBTRegressor(
         featuresCol="_x", labelCol="_y", predictionCol="pred", maxDepth=depth, maxIter=trees, stepSize=rate, seed=seed
     ).fit(data.where(~F.col(is_test)))

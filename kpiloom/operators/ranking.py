@@ -26,11 +26,11 @@ def running_total(
     spread by the further order columns), checkpointed once so that every pass
     sees the same partitions, and summed per partition; a row's total is the
     sum of the partitions before its own plus the total within it. The offsets
-    have one row per partition.
+    have one row per partition. Without ``partitions`` adaptive execution merges
+    small neighbours, which keeps the order.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = checkpointed(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    spread = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    ranged = checkpointed(spread.withColumn("_part", F.spark_partition_id()))
     sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))

@@ -161,10 +161,13 @@ def customer_features(spark: SparkSession, d: str) -> DataFrame:
     return customer.join(orders, "o_custkey", "left")
 
 
+def clustered_customers(spark: SparkSession, d: str) -> DataFrame:
+    return ml.cluster(customer_features(spark, d), ["Revenue", "Orders", "c_acctbal"])
+
+
 @query("m9_customer_clusters", "cluster:i customers:i Revenue:2")
 def customer_clusters(spark: SparkSession, d: str) -> DataFrame:
-    clustered = ml.cluster(customer_features(spark, d), ["Revenue", "Orders", "c_acctbal"])
-    return clustered.groupBy("cluster").agg(
+    return clustered_customers(spark, d).groupBy("cluster").agg(
         F.count(F.lit(1)).alias("customers"), F.avg("Revenue").alias("Revenue")
     )
 
@@ -175,7 +178,7 @@ PROFIT_FEATURES = ["Downtime_hours", "Marketing_Spend", "Raw_Material_Cost", "Ef
 @query("m10_profit_forest", "Product_ID:s mse:4 mae:4 n:i")
 def profit_forest(spark: SparkSession, d: str) -> DataFrame:
     fact = product_week(spark, d, ["Profit", *PROFIT_FEATURES])
-    predicted = ml.forest_regression(fact, "Profit", PROFIT_FEATURES)
+    predicted = ml.forest_regression(fact, "Profit", PROFIT_FEATURES, depth=6)
     return stats.forecast_metrics(predicted, ["Product_ID"], "Profit")
 
 

@@ -13,7 +13,7 @@ from kpiloom.operators.ranking import pareto, pareto_crossing, pareto_set
 from kpiloom.operators.rollup import rollup
 from kpiloom.plans.aggregations import COHORT_SQL, customer_cohorts
 from kpiloom.plans.fact import order_lines, product_week
-from kpiloom.plans.models import customer_features
+from kpiloom.plans.models import clustered_customers
 from kpiloom.plans.registry import query
 from kpiloom.plans.shared import (
     ALERT_SQL,
@@ -154,6 +154,18 @@ def top_series(spark: SparkSession, d: str) -> DataFrame:
     return G.add_growth(top, ["Product_ID"], "Quarter", {"QoQ_Sales_pct": ("Sales_Units", 1)})
 
 
+LEAD_TIMES = {"Lead_Time_days": "mean", "Efficiency_u_per_h": "mean"}
+
+
+@query(
+    "r10_top_lead_time",
+    "Product_ID:s Month:d Lead_Time_days:6 Efficiency_u_per_h:6",
+    f"SELECT * FROM ({rollup_sql(['Product_ID', 'Month'], LEAD_TIMES)}) AS m WHERE Product_ID IN ({TOP_SQL})",
+)
+def top_lead_time(spark: SparkSession, d: str) -> DataFrame:
+    return top_monthly(spark, d)
+
+
 @query(
     "r11_scatter_points",
     "Raw_Material_Cost:2 Profit:4 Category:s",
@@ -200,13 +212,12 @@ def wow_function(spark: SparkSession, d: str) -> DataFrame:
     return product_week(spark, d, ["Sales_Units"]).transform(G.wow, ["Product_ID"], "Sales_Units", "WoW")
 
 
-def dashboard_tables(spark: SparkSession, d: str, category: str, region: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Monthly money, monthly operations and customer features for one pick."""
+def dashboard_tables(spark: SparkSession, d: str, category: str, region: str) -> tuple[DataFrame, DataFrame]:
+    """Monthly money and monthly operations for one pick."""
     lines = order_lines(
         spark, d, ["Ship_Date", "Category", "Region", "Revenue", "Profit", "Efficiency_Rate", "Lead_Time_Days"]
     )
-    money, work = RP.dashboard(lines, category, region, "Ship_Date")
-    return money, work, customer_features(spark, d)
+    return RP.dashboard(lines, category, region, "Ship_Date")
 
 
 DASHBOARD_SQL = """SELECT date_trunc('month', Ship_Date) AS "Month", sum(Revenue) AS Revenue, sum(Profit) AS Profit,
@@ -222,3 +233,8 @@ def dashboard_money(spark: SparkSession, d: str) -> DataFrame:
 @query("v4_dashboard_operations", "Month:d Efficiency_Rate:6 Lead_Time_Days:6", DASHBOARD_SQL)
 def dashboard_operations(spark: SparkSession, d: str) -> DataFrame:
     return dashboard_tables(spark, d, "PROMO", "AMERICA")[1]
+
+
+@query("v4_dashboard_clusters", "o_custkey:i Revenue:2 Orders:i c_acctbal:2 cluster:i")
+def dashboard_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clustered_customers(spark, d)

@@ -58,7 +58,7 @@ def test_describe_sketch_is_close(spark):
     assert got["p50"] == pytest.approx(np.quantile(COLUMNS["uniform"], 0.5), abs=0.5)
 
 
-@pytest.mark.parametrize("partitions", [1, 7])
+@pytest.mark.parametrize("partitions", [None, 1, 7])
 def test_running_total_with_ties(spark, partitions):
     data = [(f"P{i:03d}", float(100 if i % 3 == 0 else i)) for i in range(200)]
     df = spark.createDataFrame(data, "id string, v double").repartition(5)

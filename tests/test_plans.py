@@ -26,7 +26,7 @@ def scans(plan: str, column_prefix: str) -> list[str]:
 
 
 PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas", "MapInPandas")
-BUILT_IN = [n for n in QUERIES if not n.startswith(("m", "p4_anomaly", "a35"))]
+BUILT_IN = [n for n in QUERIES if not n.startswith(("m", "p4_anomaly", "a35", "v4_dashboard_clusters"))]
 
 
 @pytest.mark.parametrize("name", BUILT_IN)
