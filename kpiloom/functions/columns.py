@@ -44,7 +44,7 @@ def week_index(d: Column | str, origin: Column | str) -> Column:
 
 
 def cohort_period(month: Column | str, cohort: Column | str) -> Column:
-    """30-day periods between two month starts (the reference's definition)."""
+    """30-day periods between two month starts (the published definition)."""
     return F.floor(F.date_diff(_col(month), _col(cohort)) / 30).cast("long")
 
 

@@ -80,16 +80,6 @@ def forest_regression(
     return model.transform(data).drop("_x")
 
 
-def forest_importances(
-    df: DataFrame, target: str, features: Sequence[str], trees: int = 100, depth: int = 10, seed: int = 42
-) -> DataFrame:
-    """Feature importances of the same forest, one row per feature."""
-    data = _spread(_vectors(df.dropna(subset=[target]), features))
-    model = _forest(target, trees, depth, seed).fit(data)
-    rows = [(f, float(w)) for f, w in zip(features, model.featureImportances.toArray(), strict=True)]
-    return df.sparkSession.createDataFrame(rows, "feature string, importance double")
-
-
 def _forest(target: str, trees: int, depth: int, seed: int) -> RandomForestRegressor:
     return RandomForestRegressor(
         featuresCol="_x",
@@ -182,3 +172,23 @@ def boosted_backtest(
         featuresCol="_x", labelCol="_y", predictionCol="pred", maxDepth=depth, maxIter=trees, stepSize=rate, seed=seed
     ).fit(data.where(~F.col(is_test)))
     return model.transform(data.where(F.col(is_test))).select(*keep, F.col("_y").alias("actual"), "pred")
+
+
+def tuned_backtest(
+    split: DataFrame,
+    features: Sequence[str],
+    target: str,
+    keep: Sequence[str],
+    fold: str = "fold",
+    depths: Sequence[int] = GRID_DEPTHS,
+    trees: Sequence[int] = GRID_TREES,
+    rates: Sequence[float] = GRID_RATES,
+    is_test: str = "is_test",
+) -> DataFrame:
+    """Search the grid on the folds of the train rows, then evaluate the best
+    setting on the test rows."""
+    data = checkpointed(split)
+    best = boosted_search(data.where(~F.col(is_test)), features, target, fold, depths, trees, rates).first()
+    return boosted_backtest(
+        data, features, target, keep, best["depth"], best["trees"], best["rate"], is_test=is_test
+    )

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,15 +34,10 @@ def exact_quantiles(
     a row bound set by ``columns`` and ``probs``. ``limits`` (metric, lo, hi, n)
     saves a pass when it is already known; it must be a written table.
     """
-    values = df.select(
-        F.inline(
-            F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in columns])
-        )
-    ).where(F.col("v").isNotNull() & ~F.isnan("v"))
     if limits is None:
-        limits = checkpointed(
-            values.groupBy("metric").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n"))
-        )
+        limits = checkpointed(column_limits(df, columns))
+    names = F.array(*[F.lit(c) for c in columns])
+    limits = limits.withColumn("metric", (F.array_position(names, F.col("metric")) - 1).cast("int"))
     prob = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
     spots = limits.select("metric", "n", prob.alias("p")).withColumn("h", F.col("p") * (F.col("n") - 1))
     ranks = spots.select("metric", F.explode(F.array(F.floor("h"), F.ceil("h"))).alias("rank")).distinct()
@@ -49,9 +45,10 @@ def exact_quantiles(
 
     most = limits.agg(F.max("n")).first()[0] or 0
     if most <= direct_rows:
+        values = _stacked([_known(df, i, c) for i, c in enumerate(columns)])
         found = _find(_counted(values, ["metric"], "v"), wanted, ["metric"], "v")
     else:
-        found = _narrowed(values, limits, wanted, cells)
+        found = _narrowed(df, columns, limits, wanted, cells)
 
     at = found.groupBy("metric", "full_rank").agg(F.max("v").alias("v"))
     low = at.select("metric", F.col("full_rank").alias("r0"), F.col("v").alias("v0"))
@@ -60,25 +57,68 @@ def exact_quantiles(
         spots.withColumns({"r0": F.floor("h"), "r1": F.ceil("h")})
         .join(F.broadcast(low), ["metric", "r0"])
         .join(F.broadcast(high), ["metric", "r1"])
+        .withColumn("metric", names[F.col("metric")])
         .select("metric", "p", (F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("h") - F.col("r0"))).alias("value"))
     )
 
 
-def _narrowed(values: DataFrame, limits: DataFrame, wanted: DataFrame, cells: int) -> DataFrame:
-    """The wanted ranks' values by way of two nested grids of cells."""
-    place = F.coalesce(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")) * cells, F.lit(0.0))
+def column_limits(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Smallest, largest and number of known values: one row per column, one pass."""
+
+    def limit(c: str) -> Column:
+        v = F.col(c).cast("double")
+        known = F.when(~F.isnan(v), v)
+        return F.struct(
+            F.lit(c).alias("metric"), F.min(known).alias("lo"), F.max(known).alias("hi"), F.count(known).alias("n")
+        )
+
+    row = df.agg(*[limit(c).alias(f"m{i}") for i, c in enumerate(columns)])
+    return row.select(F.inline(F.array(*row.columns)))
+
+
+def _known(df: DataFrame, number: int, column: str) -> DataFrame:
+    """Known values of one column, under its number. Each column is a scan of
+    its own, so nothing is expanded per row and a columnar file is read once over."""
+    v = F.col(column).cast("double")
+    return df.select(F.lit(number).alias("metric"), v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+
+
+def _stacked(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _narrowed(df: DataFrame, columns: Sequence[str], limits: DataFrame, wanted: DataFrame, cells: int) -> DataFrame:
+    """The wanted ranks' values by way of two nested grids of cells. The cells
+    found by a pass, a few rows, are written so that the next one only reads them."""
+    grid = _per_metric(limits, columns, lambda mine: F.max(F.when(mine, F.struct("lo", "hi"))))
     last = F.lit(cells - 1).cast("long")
-    outer = F.least(F.floor(place), last)
-    placed = values.join(F.broadcast(limits.drop("n")), "metric").select(
-        "metric", "v", outer.alias("c1"), F.least(F.floor((place - outer) * cells), last).alias("c2")
-    )
-    first = _find(_counted(placed, ["metric"], "c1"), wanted, ["metric"], "c1")
-    inside = placed.join(F.broadcast(first.select("metric", "c1").distinct()), ["metric", "c1"])
-    second = _find(_counted(inside, ["metric", "c1"], "c2"), first, ["metric", "c1"], "c2")
-    inmost = inside.join(F.broadcast(second.select("metric", "c1", "c2").distinct()), ["metric", "c1", "c2"])
+
+    def placed(i: int, column: str) -> DataFrame:
+        lo, hi = (grid.getField(f"m{i}").getField(end) for end in ("lo", "hi"))
+        place = F.coalesce(F.try_divide(F.col("v") - lo, hi - lo) * cells, F.lit(0.0))
+        outer = F.least(F.floor(place), last)
+        inner = F.least(F.floor((place - outer) * cells), last)
+        return _known(df, i, column).select("metric", "v", outer.alias("c1"), inner.alias("c2"))
+
+    def within(found: DataFrame, cell: Column) -> list[DataFrame]:
+        """Rows in the cells that hold a wanted rank: a few cells per column."""
+        hits = _per_metric(found, columns, lambda mine: F.collect_set(F.when(mine, cell)))
+        return [part.where(F.array_contains(hits.getField(f"m{i}"), cell)) for i, part in enumerate(parts)]
+
+    parts = [placed(i, c) for i, c in enumerate(columns)]
+    first = checkpointed(_find(_counted(_stacked(parts), ["metric"], "c1"), wanted, ["metric"], "c1"))
+    inside = _stacked(within(first, F.col("c1")))
+    second = checkpointed(_find(_counted(inside, ["metric", "c1"], "c2"), first, ["metric", "c1"], "c2"))
+    inmost = _stacked(within(second, F.col("c1") * cells + F.col("c2")))
     return _find(_counted(inmost, ["metric", "c1", "c2"], "v"), second, ["metric", "c1", "c2"], "v")
 
 
+def _per_metric(table: DataFrame, columns: Sequence[str], aggregate: Callable[[Column], Column]) -> Column:
+    """A scalar struct with one aggregate per column of a (metric, ...) table."""
+    row = table.agg(*[aggregate(F.col("metric") == i).alias(f"m{i}") for i in range(len(columns))])
+    return row.select(F.struct(*row.columns)).scalar()
+
+
 def _counted(rows: DataFrame, keys: list[str], cell: str) -> DataFrame:
     """Rows per cell, and rows before it within ``keys``."""
     counts = rows.groupBy(*keys, cell).agg(F.count(F.lit(1)).alias("cnt"))

@@ -90,7 +90,7 @@ def measure_columns(measures: Mapping[str, str]) -> list[Column]:
 
 
 def rollup(df: DataFrame, keys: Sequence[str], measures: Mapping[str, str]) -> DataFrame:
-    """Group by ``keys``; rows with a null key are dropped, as in the reference."""
+    """Group by ``keys``; rows with a null key are dropped."""
     kept = df.dropna(subset=list(keys)) if keys else df
     return kept.groupBy(*keys).agg(*measure_columns(measures))
 

@@ -222,8 +222,11 @@ def boosted_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query("m13_boosted_backtest", "Product_ID:s rmse:3 mae:3 mape_pct:3 n:i")
 def boosted_backtest(spark: SparkSession, d: str) -> DataFrame:
-    predicted = ml.boosted_backtest(
-        lag_split(spark, d), LAG_INPUTS, "Sales_Units", ["Product_ID", "Date"], depth=4, trees=20
+    split = checkpointed(lag_split(spark, d))
+    train = FC.add_cv_folds(split.where("NOT is_test"), ["Product_ID"], "Date", 4)
+    both = train.unionByName(split.where("is_test").withColumn("fold", F.lit(None).cast("long")))
+    predicted = ml.tuned_backtest(
+        both, LAG_INPUTS, "Sales_Units", ["Product_ID", "Date"], depths=(4,), trees=(5, 10), rates=(0.3,)
     )
     return stats.forecast_metrics(predicted, ["Product_ID"])
 
