@@ -40,8 +40,12 @@ def cohort_sums(
     return sums.withColumn("Cohort_Period", cohort_period(month, cohort) if period is None else period)
 
 
-def cohort_matrix(sums: DataFrame, cohort: str, periods: Sequence[int]) -> DataFrame:
-    """Mean of the sums per cohort and period: two months can share a 30-day period."""
+def cohort_matrix(sums: DataFrame, cohort: str, periods: Sequence[int] | None = None) -> DataFrame:
+    """Mean of the sums per cohort and period: two months can share a 30-day
+    period. Without ``periods`` all up to the last one present are shown."""
+    if periods is None:
+        last = sums.agg(F.max("Cohort_Period")).first()[0]
+        periods = range(0 if last is None else last + 1)
     wide = sums.groupBy(cohort).pivot("Cohort_Period", list(periods)).agg(F.avg("n_sales"))
     return wide.select(cohort, *[F.col(str(p)).alias(f"period_{p}") for p in periods])
 

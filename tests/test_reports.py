@@ -68,6 +68,7 @@ def test_cohort_matrix_averages_months_of_one_period(spark):
     )
     sums = RP.cohort_sums(df, "cohort", "Month", "v")
     assert rows(RP.cohort_matrix(sums, "cohort", [0, 1, 2])) == [(dt.date(2022, 1, 1), 1.0, 2.5, None)]
+    assert rows(RP.cohort_matrix(sums, "cohort")) == [(dt.date(2022, 1, 1), 1.0, 2.5)]
 
 
 def test_waterfall_bases(spark):
