@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from kpiloom.llm.common import table
 from kpiloom.llm.exact import exact_dedup
+from kpiloom.llm.mixing import mix
+from kpiloom.llm.packing import pack
+from kpiloom.llm.quality import score_quality
 from kpiloom.llm.simhash import near_duplicates
 from kpiloom.llm.tokens import count_tokens
 from kpiloom.llm.urlrules import Rule, judge_urls
+from kpiloom.llm.warc import archive_round_trip
 
 #: The rules of the URL filter.
 URL_RULES = (
@@ -41,11 +45,32 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label="quality", threshold=0.3)
+
+
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    return mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3).drop("copies")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the address of every page."""
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    spec = Path(vocabulary("byte_bpe_50k.json")).read_text()
+    return pack(table(spark, sf_dir, "documents"), spec, capacity=2048)
+
+
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back."""
+    return archive_round_trip(table(spark, sf_dir, "pages"), shortest=1000)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole document under the word-end vocabulary."""
     spec = Path(vocabulary("word_bpe_49k.json")).read_text()
@@ -53,7 +78,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_neardup, op2_exact_dedup, op6_url_filter, op10_token_counts)
+    f.__name__: f for f in (
+        op1_simhash_neardup,
+        op2_exact_dedup,
+        op3_quality_classifier,
+        op4_source_mix,
+        op6_url_filter,
+        op7_best_fit_packing,
+        op9_warc_round_trip,
+        op10_token_counts,
+    )
 }
 
 ORACLES: dict[str, str] = {
@@ -87,4 +121,14 @@ WITH rules(rule, verdict, host, path) AS (VALUES
 )
 SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdict
 FROM p LEFT JOIN b ON p.host = b.host AND p.path = b.path""",
+    "op9_warc_round_trip": """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+  SELECT payload_digest, max(page_id) AS response FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN response IS DISTINCT FROM page_id AND response IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN response IS DISTINCT FROM page_id THEN response END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)""",
 }
