@@ -10,7 +10,7 @@ texts in all partitions.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from operator import eq
 from zlib import crc32
 
@@ -240,9 +240,10 @@ def score_quality(
     threshold: float = 0.3,
     train_docs: DataFrame | None = None,
     fit_rows: int = FIT_ROWS,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per row of ``docs``: its id, ``held_out``, ``score`` (0 to 1),
-    ``predicted`` (1 from ``threshold`` on).
+    ``predicted`` (1 from ``threshold`` on), and the columns named in ``carry``.
 
     Labels come from rows that are not held out, and texts for them from
     ``train_docs`` (``docs`` when None). Null texts score as empty ones, and
@@ -253,6 +254,15 @@ def score_quality(
     machine = fit(train_docs if train_docs is not None else docs, labels, id, text, n_chars, label, fit_rows)
     held = docs.sparkSession.sparkContext.broadcast(machine.packed())
 
+    source = docs.select(
+        F.col(f"`{id}`").alias("id"),
+        held_out(F.col(f"`{id}`")).alias("held_out"),
+        F.col(f"`{text}`").alias("text"),
+        _length(docs, n_chars),
+        *[F.col(f"`{c}`").alias(f"carried_{i}") for i, c in enumerate(carry)],
+    )
+    out = StructType([source.schema["id"], source.schema["held_out"], StructField("score", DoubleType()), *source.schema.fields[4:]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Machine.unpacked(*held.value)
         for batch in batches:
@@ -260,10 +270,8 @@ def score_quality(
             for body, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 at, value = hashed_words(body or "")
                 scores.append(model.score(*model.vector(at, value, np.array(statistics(body or "", n)))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), *batch.columns[4:]], names=out.names)
 
-    source = docs.select(
-        F.col(f"`{id}`").alias("id"), held_out(F.col(f"`{id}`")).alias("held_out"), F.col(f"`{text}`").alias("text"), _length(docs, n_chars)
-    )
-    scored = source.mapInArrow(run, StructType([source.schema["id"], source.schema["held_out"], StructField("score", DoubleType())]))
-    return scored.select(F.col("id").alias(id), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = source.mapInArrow(run, out)
+    carried = [F.col(f"carried_{i}").alias(c) for i, c in enumerate(carry)]
+    return scored.select(F.col("id").alias(id), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *carried)

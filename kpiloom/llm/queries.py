@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from kpiloom.llm.common import table
 from kpiloom.llm.exact import exact_dedup
+from kpiloom.llm.licenses import NOTICES, scan_licenses
 from kpiloom.llm.mixing import mix
 from kpiloom.llm.packing import pack
 from kpiloom.llm.quality import score_quality
 from kpiloom.llm.simhash import near_duplicates
 from kpiloom.llm.tokens import count_tokens
+from kpiloom.llm.topk import top_k
 from kpiloom.llm.urlrules import Rule, judge_urls
 from kpiloom.llm.warc import archive_round_trip
 
@@ -55,6 +57,12 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3).drop("copies")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents."""
+    found = scan_licenses(table(spark, sf_dir, "documents"), NOTICES, threshold=0.8)
+    return found.withColumn("dice", F.round("dice", 6))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the address of every page."""
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
@@ -66,6 +74,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), spec, capacity=2048)
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best neighbours of every fiftieth vector among all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to WARC archives and read back."""
     return archive_round_trip(table(spark, sf_dir, "pages"), shortest=1000)
@@ -83,13 +97,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_exact_dedup,
         op3_quality_classifier,
         op4_source_mix,
+        op5_license_scan,
         op6_url_filter,
         op7_best_fit_packing,
+        op8_exact_topk,
         op9_warc_round_trip,
         op10_token_counts,
     )
 }
 
+_NOTICES = ", ".join(f"('{name}', '{text}')" for name, text in NOTICES.items())
+_WORDS = (
+    r"list_filter(string_split(regexp_replace(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    r"'abcdefghijklmnopqrstuvwxyz'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
+)
+
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": r"""
 WITH d AS (
@@ -102,6 +124,21 @@ WITH d AS (
   FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id ASC NULLS LAST)
 )
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r""",
+    "op5_license_scan": rf"""
+WITH t AS (
+  SELECT license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pairs
+  FROM (SELECT license, {_WORDS.format(text="notice")} AS w FROM (VALUES {_NOTICES}) AS v(license, notice)) AS n
+), lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS segment FROM documents
+  UNION ALL SELECT doc_id, text FROM documents WHERE contains(text, chr(10))
+), d AS (
+  SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pairs
+  FROM (SELECT doc_id, {_WORDS.format(text="segment")} AS w FROM lines) AS n
+)
+SELECT doc_id, license, round(max(dice), 6) AS dice, count(*) AS segments FROM (
+  SELECT doc_id, license, 2 * len(list_intersect(d.pairs, t.pairs)) / CAST(len(d.pairs) + len(t.pairs) AS DOUBLE) AS dice
+  FROM d JOIN t ON len(d.pairs) BETWEEN len(t.pairs) / 2.0 AND len(t.pairs) * 2
+) AS p WHERE dice >= 0.8 GROUP BY doc_id, license""",
     "op6_url_filter": r"""
 WITH rules(rule, verdict, host, path) AS (VALUES
   ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'),
@@ -121,6 +158,18 @@ WITH rules(rule, verdict, host, path) AS (VALUES
 )
 SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdict
 FROM p LEFT JOIN b ON p.host = b.host AND p.path = b.path""",
+    "op8_exact_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op9_warc_round_trip": """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
