@@ -32,7 +32,7 @@ def text_digest(text: str | Column) -> Column:
 
 
 def _words(digests: np.ndarray) -> np.ndarray:
-    return digests.view("<u8").reshape(len(digests), -1)
+    return np.ascontiguousarray(digests).view("<u8")
 
 
 def _hash(words: np.ndarray, level: int, size: int) -> np.ndarray:

@@ -28,8 +28,11 @@ WORD_BITS = 14
 STEPS = 10
 
 RANK = 4
+
+#: Passes over the rows; more where they make fewer updates than these.
 EPOCHS = 8
 BATCH = 256
+UPDATES = 240
 RATE = 0.05
 DECAY = 1e-4
 
@@ -122,8 +125,8 @@ class Machine:
 def fit_machine(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]) -> Machine:
     """Fit by Adam on the logistic loss; rows hold word buckets, word values,
     statistics and the label. One class only, or no rows: a constant score."""
-    stats = np.array([r[2] for r in rows]).reshape(len(rows), -1)
     n_stats = len(statistics("", None))
+    stats = np.array([r[2] for r in rows]).reshape(len(rows), n_stats)
     labels = np.array([r[3] for r in rows], np.float64)
     cuts = np.quantile(stats, np.arange(1, STEPS) / STEPS, axis=0).T if len(rows) else np.zeros((n_stats, STEPS - 1))
     size = (1 << WORD_BITS) + n_stats * STEPS
@@ -136,7 +139,7 @@ def fit_machine(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]) -> M
         return machine
     vectors = [machine.vector(*r[:3]) for r in rows]
     first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-UPDATES * BATCH // len(rows)))):
         order = draw.permutation(len(rows))
         for k in range(0, len(order), BATCH):
             part = order[k : k + BATCH]

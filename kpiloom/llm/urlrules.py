@@ -88,10 +88,12 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", defaul
     rows get ``default``.
     """
     made = ("host", "path", "rule", "verdict")
-    kept = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c not in made])
-    parsed = kept.select(*[F.col(f"`{c}`") for c in kept.columns], host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    kept = [c for c in pages.columns if c not in made]
+    address = F.col(f"`{url}`")
+    parsed = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), host_of(address).alias("host"), path_of(address).alias("path"))
+    given = [F.col(f"row.`{c}`") for c in kept]
     if not rules:
-        return parsed.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+        return parsed.select(*given, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     small = len(rules) <= BROADCAST_RULES
     listed = rules_table(pages.sparkSession, rules)
     urls = parsed.select("host", "path").distinct()
@@ -104,7 +106,9 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", defaul
         .agg(F.max(F.struct(F.length("rule").alias("n"), F.col("rule"), F.col("verdict"))).alias("best"))
     )
     return parsed.join(decided, ["host", "path"], "left").select(
-        *[F.col(f"`{c}`") for c in parsed.columns],
+        *given,
+        "host",
+        "path",
         F.col("best.rule").alias("rule"),
         F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
     )
