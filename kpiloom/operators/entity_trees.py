@@ -1,0 +1,270 @@
+"""Tree regressions fitted for each entity by itself.
+
+A group is one entity's calendar series, so a task holds a few hundred rows
+whatever the size of the raw tables; Spark deals the entities out. The trees
+are plain arrays, grown best split first.
+"""
+
+from __future__ import annotations
+
+import heapq
+from collections.abc import Sequence
+from itertools import product
+from typing import NamedTuple
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# The searched grid and the smallest leaf of the published boosting.
+GRID_LEAVES = (31, 63)
+GRID_TREES = (100, 300)
+GRID_RATES = (0.05, 0.1)
+LEAF_ROWS = 20
+
+
+class Tree(NamedTuple):
+    feature: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(x), np.int64)
+        while True:
+            inner = np.flatnonzero(self.feature[node] >= 0)
+            if not len(inner):
+                return self.value[node]
+            at = node[inner]
+            below = x[inner, self.feature[at]] <= self.cut[at]
+            node[inner] = np.where(below, self.left[at], self.right[at])
+
+
+def best_split(x: np.ndarray, y: np.ndarray, leaf_rows: int) -> tuple[float, int, float] | None:
+    """(gain in squared error, feature, cut) of the best split with at least
+    ``leaf_rows`` rows on both sides."""
+    n = len(y)
+    if n < 2 * leaf_rows:
+        return None
+    order = np.argsort(x, axis=0, kind="stable")
+    values = np.take_along_axis(x, order, axis=0)
+    sums = np.cumsum(y[order], axis=0)
+    k = np.arange(1, n)[:, None]
+    gain = sums[:-1] ** 2 / k + (sums[-1] - sums[:-1]) ** 2 / (n - k) - sums[-1] ** 2 / n
+    gain[(values[:-1] == values[1:]) | (k < leaf_rows) | (n - k < leaf_rows)] = -1.0
+    at = int(gain.argmax())
+    row, feature = divmod(at, x.shape[1])
+    if gain[row, feature] <= 1e-12:
+        return None
+    low, high = float(values[row, feature]), float(values[row + 1, feature])
+    middle = low + (high - low) / 2
+    return float(gain[row, feature]), feature, middle if low <= middle < high else low
+
+
+def grow_tree(x: np.ndarray, y: np.ndarray, leaves: int | None = None, leaf_rows: int = 1) -> Tree:
+    """Least-squares tree, the split with the largest gain first, up to ``leaves``."""
+    feature, cut, left, right, value = [-1], [0.0], [-1], [-1], [float(y.mean())]
+    queue: list[tuple] = []
+
+    def offer(node: int, rows: np.ndarray) -> None:
+        found = best_split(x[rows], y[rows], leaf_rows)
+        if found:
+            heapq.heappush(queue, (-found[0], node, found[1], found[2], rows))
+
+    offer(0, np.arange(len(y)))
+    grown = 1
+    while queue and (leaves is None or grown < leaves):
+        _, node, f, c, rows = heapq.heappop(queue)
+        below = x[rows, f] <= c
+        feature[node], cut[node], left[node], right[node] = f, c, len(value), len(value) + 1
+        for part in (rows[below], rows[~below]):
+            feature.append(-1)
+            cut.append(0.0)
+            left.append(-1)
+            right.append(-1)
+            value.append(float(y[part].mean()))
+            offer(len(value) - 1, part)
+        grown += 1
+    return Tree(np.array(feature), np.array(cut), np.array(left), np.array(right), np.array(value))
+
+
+def forest_predict(x: np.ndarray, y: np.ndarray, new: np.ndarray, trees: int, seed: int) -> np.ndarray:
+    """Mean of unpruned trees on bootstrap samples. All trees grow together,
+    level by level, until their leaves cannot be split."""
+    n, width = x.shape
+    rows = np.random.default_rng(seed).integers(0, n, (trees, n)).ravel()
+    node = np.repeat(np.arange(trees), n)
+    asked, at = np.tile(np.arange(len(new)), trees), np.repeat(np.arange(trees), len(new))
+    ranks = np.argsort(np.argsort(x, axis=0, kind="stable"), axis=0, kind="stable")
+    out, nodes = np.zeros(len(new)), trees
+    while len(at):
+        counts, sums = np.bincount(node, minlength=nodes), np.bincount(node, y[rows], nodes)
+        gain, feature, cut = np.full(nodes, 1e-9), np.full(nodes, -1), np.zeros(nodes)
+        for f in range(width):
+            order = np.argsort(node * n + ranks[rows, f])
+            owner, value, target = node[order], x[rows[order], f], y[rows[order]]
+            begin = np.concatenate([[0], np.cumsum(counts)])[:-1]
+            left = np.arange(len(order)) - begin[owner] + 1
+            total = np.cumsum(target)
+            below = total - (total[begin] - target[begin])[owner]
+            rest = counts[owner] - left
+            found = below**2 / left + (sums[owner] - below) ** 2 / np.maximum(rest, 1) - sums[owner] ** 2 / counts[owner]
+            found[(rest == 0) | (value >= np.append(value[1:], np.inf))] = -1.0
+            best = np.maximum.reduceat(found, begin)
+            where = np.flatnonzero(found == best[owner])
+            first = where[np.unique(owner[where], return_index=True)[1]]
+            better = best > gain
+            low, high = value[first[better]], value[first[better] + 1]
+            middle = low + (high - low) / 2
+            gain[better], feature[better] = best[better], f
+            cut[better] = np.where((low <= middle) & (middle < high), middle, low)
+        ended = feature[at] < 0
+        np.add.at(out, asked[ended], sums[at[ended]] / counts[at[ended]])
+        asked, at = asked[~ended], at[~ended]
+        split = feature >= 0
+        child = 2 * (np.cumsum(split) - 1)
+        nodes = 2 * int(split.sum())
+        rows, node = rows[split[node]], node[split[node]]
+        node = child[node] + (x[rows, feature[node]] > cut[node])
+        at = child[at] + (new[asked, feature[at]] > cut[at])
+    return out / trees
+
+
+def boosted_path(
+    x: np.ndarray, y: np.ndarray, new: np.ndarray, leaves: int, rate: float, trees: Sequence[int], leaf_rows: int
+) -> tuple[dict[int, np.ndarray], int]:
+    """Predictions after each of the tree counts, and the most leaves of a tree."""
+    fitted, ahead, out, most = np.full(len(y), y.mean()), np.full(len(new), y.mean()), {}, 0
+    for n in range(1, max(trees) + 1):
+        tree = grow_tree(x, y - fitted, leaves, leaf_rows)
+        most = max(most, int((tree.feature < 0).sum()))
+        fitted = fitted + rate * tree.predict(x)
+        ahead = ahead + rate * tree.predict(new)
+        if n in trees:
+            out[n] = ahead.copy()
+    return out, most
+
+
+def boosted_grid(
+    x: np.ndarray, y: np.ndarray, fold: np.ndarray, leaves: Sequence[int], trees: Sequence[int], rates: Sequence[float], leaf_rows: int
+) -> list[tuple[int, int, float, float]]:
+    """Mean squared error over the expanding folds of every setting. One path
+    serves all tree counts, and a larger leaf count than any tree reached gives
+    the same trees."""
+    folds = sorted({int(f) for f in fold[~np.isnan(fold)]})
+    errors: dict[tuple, list[float]] = {}
+    for rate, i in product(rates, folds):
+        train, test = np.isnan(fold) | (fold < i), fold == i
+        paths, reached, tried = {}, 0, 0
+        for limit in sorted(leaves):
+            if reached >= tried:
+                paths, reached = boosted_path(x[train], y[train], x[test], limit, rate, trees, leaf_rows)
+            tried = limit
+            for n, predicted in paths.items():
+                errors.setdefault((limit, n, rate), []).append(float(np.mean((predicted - y[test]) ** 2)))
+    return [(limit, n, rate, float(np.mean(e))) for (limit, n, rate), e in sorted(errors.items())]
+
+
+def forest_backtest(
+    split: DataFrame,
+    key: str,
+    features: Sequence[str],
+    target: str,
+    order: str,
+    trees: int = 200,
+    seed: int = 42,
+    is_test: str = "is_test",
+) -> DataFrame:
+    """Random forest per entity on its standardised train rows, evaluated on its
+    test rows: key, order, actual, pred."""
+    features = list(features)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, test = _matrix(pdf.sort_values(order), features, target, is_test)
+        centre, spread = x[~test].mean(axis=0), x[~test].std(axis=0)
+        x = (x - centre) / np.where(spread > 0, spread, 1.0)
+        return _scored(pdf.sort_values(order), key, order, test, y, forest_predict(x[~test], y[~test], x[test], trees, seed))
+
+    return _per_entity(split, key, order, [target, is_test, *features], fit)
+
+
+def boosted_search(
+    folded: DataFrame,
+    key: str,
+    features: Sequence[str],
+    target: str,
+    order: str,
+    fold: str = "fold",
+    leaves: Sequence[int] = GRID_LEAVES,
+    trees: Sequence[int] = GRID_TREES,
+    rates: Sequence[float] = GRID_RATES,
+    leaf_rows: int = LEAF_ROWS,
+) -> DataFrame:
+    """Mean squared error over the entity's folds for every grid setting."""
+    features = list(features)
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        x, y = pdf[features].to_numpy(float), pdf[target].to_numpy(float)
+        rows = boosted_grid(x, y, pdf[fold].to_numpy(float), leaves, trees, rates, leaf_rows)
+        out = pd.DataFrame(rows, columns=["leaves", "trees", "rate", "mse"])
+        out.insert(0, key, pdf[key].iloc[0])
+        out["folds"] = int(pdf[fold].nunique())
+        return out
+
+    kind = dict(folded.dtypes)[key]
+    needed = folded.select(key, order, target, F.col(fold).cast("double").alias(fold), *features)
+    return _dealt(needed, key).groupBy(key).applyInPandas(search, f"{key} {kind}, leaves int, trees int, rate double, mse double, folds int")
+
+
+def boosted_backtest(
+    split: DataFrame,
+    key: str,
+    features: Sequence[str],
+    target: str,
+    order: str,
+    fold: str = "fold",
+    leaves: Sequence[int] = GRID_LEAVES,
+    trees: Sequence[int] = GRID_TREES,
+    rates: Sequence[float] = GRID_RATES,
+    leaf_rows: int = LEAF_ROWS,
+    is_test: str = "is_test",
+) -> DataFrame:
+    """Boosted trees per entity: the grid is searched on the folds of its train
+    rows, the best setting is fitted on all of them and evaluated on the test
+    rows. Ties go to fewer leaves, fewer trees, the lower rate."""
+    features = list(features)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        x, y, test = _matrix(pdf, features, target, is_test)
+        rows = boosted_grid(x[~test], y[~test], pdf.loc[~test, fold].to_numpy(float), leaves, trees, rates, leaf_rows)
+        limit, n, rate, _ = min(rows, key=lambda r: (r[3], *r[:3])) if rows else (min(leaves), min(trees), min(rates), 0.0)
+        paths, _ = boosted_path(x[~test], y[~test], x[test], limit, rate, (n,), leaf_rows)
+        return _scored(pdf, key, order, test, y, paths[n])
+
+    return _per_entity(split.withColumn(fold, F.col(fold).cast("double")), key, order, [target, is_test, fold, *features], fit)
+
+
+def _matrix(pdf: pd.DataFrame, features: list[str], target: str, is_test: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return pdf[features].to_numpy(float), pdf[target].to_numpy(float), pdf[is_test].to_numpy(bool)
+
+
+def _scored(pdf: pd.DataFrame, key: str, order: str, test: np.ndarray, y: np.ndarray, predicted: np.ndarray) -> pd.DataFrame:
+    out = pdf.loc[test, [key, order]].copy()
+    out["actual"], out["pred"] = y[test], predicted
+    return out
+
+
+def _per_entity(df: DataFrame, key: str, order: str, columns: Sequence[str], fit) -> DataFrame:
+    types = dict(df.dtypes)
+    schema = f"{key} {types[key]}, {order} {types[order]}, actual double, pred double"
+    return _dealt(df.select(key, order, *columns), key).groupBy(key).applyInPandas(fit, schema)
+
+
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    """Entities over all partitions of the session's setting: the rows are few,
+    and adaptive execution would merge them, but each entity is long work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from kpiloom.operators.growth import add_holdout, add_position, series, series_features
 from kpiloom.operators.rollup import regrid_weekly
 
+# Regressors, weekly aggregates and lag features of the published backtests.
 REGRESSORS = ("On_Promo", "Marketing_Spend", "Price_per_Unit", "Inventory", "Lead_Time_days")
 REGRID = {
     "Sales_Units": "sum",
@@ -51,8 +52,10 @@ def entity_ols(
     order: str,
     ridge: float = 0.0,
     is_test: str = "is_test",
+    fitted: bool = False,
 ) -> DataFrame:
-    """Least squares per entity on its train rows, evaluated on its test rows."""
+    """Least squares per entity on its train rows, evaluated on its test rows,
+    or with ``fitted`` on its train rows."""
     features = list(features)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -64,9 +67,10 @@ def entity_ols(
             a = np.vstack([a, math.sqrt(ridge) * np.eye(a.shape[1])])
             b = np.concatenate([b, np.zeros(a.shape[1])])
         weights = np.linalg.lstsq(a, b, rcond=None)[0]
-        out = pdf.loc[test, [key, order]].copy()
-        out["actual"] = y[test]
-        out["pred"] = (x[test] - centre) @ weights + level
+        shown = ~test if fitted else test
+        out = pdf.loc[shown, [key, order]].copy()
+        out["actual"] = y[shown]
+        out["pred"] = (x[shown] - centre) @ weights + level
         return out
 
     types = dict(split.dtypes)
@@ -75,34 +79,51 @@ def entity_ols(
     return needed.groupBy(key).applyInPandas(fit, schema)
 
 
+def regression_split(
+    fact: DataFrame, key: str = "Product_ID", horizon: int = 12, min_rows: int = 30, include_current: bool = True
+) -> DataFrame:
+    """Features of the 15-feature regression, last ``horizon`` weeks flagged."""
+    features = weekly_features(fact, key, include_current=include_current)
+    return add_holdout(features, [key], "Date", horizon, min_rows)
+
+
 def regression_backtest(
     fact: DataFrame, key: str = "Product_ID", horizon: int = 12, min_rows: int = 30, include_current: bool = True
 ) -> DataFrame:
     """15-feature regression per entity, last ``horizon`` weeks held out."""
-    features = weekly_features(fact, key, include_current=include_current)
-    split = add_holdout(features, [key], "Date", horizon, min_rows)
+    split = regression_split(fact, key, horizon, min_rows, include_current)
     return entity_ols(split, key, [*LAG_FEATURES, *REGRESSORS], "Sales_Units", "Week_Index")
 
 
-def additive_backtest(
-    fact: DataFrame, key: str = "Product_ID", horizon: int = 12, min_rows: int = 40, order: int = 10, ridge: float = 1e-3
-) -> DataFrame:
-    """Linear trend, yearly Fourier terms and regressors, with a hold-out."""
+def additive_split(
+    fact: DataFrame, key: str = "Product_ID", horizon: int = 12, min_rows: int = 40, order: int = 10
+) -> tuple[DataFrame, list[str]]:
+    """Linear trend, yearly Fourier terms and regressors with a hold-out, and the
+    names of these features. Spend is scaled by its largest value in the train
+    rows."""
     weekly = regrid_weekly(fact, [key, "Week_Index", "Date"], REGRID)
     angle = F.col("Week_Index") * (2 * math.pi / SEASON_WEEKS)
     waves = {f"{name}_{i}": f(angle * i) for i in range(1, order + 1) for name, f in (("sin", F.sin), ("cos", F.cos))}
     spend = F.coalesce(F.col("Marketing_Spend"), F.lit(0.0))
-    largest = F.max(spend).over(W.partitionBy(key))
     data = weekly.withColumns(
         {
             **waves,
             "trend": F.col("Week_Index") / 100.0,
             "promo": F.coalesce(F.col("On_Promo").cast("double"), F.lit(0.0)),
-            "spend": F.coalesce(F.try_divide(spend, largest), F.lit(0.0)),
         }
     )
     split = add_holdout(data, [key], "Date", horizon, min_rows)
-    return entity_ols(split, key, ["trend", *waves, "promo", "spend"], "Sales_Units", "Week_Index", ridge)
+    largest = F.max(F.when(~F.col("is_test"), spend)).over(W.partitionBy(key))
+    split = split.withColumn("spend", F.coalesce(F.try_divide(spend, largest), F.lit(0.0)))
+    return split, ["trend", *waves, "promo", "spend"]
+
+
+def additive_backtest(
+    fact: DataFrame, key: str = "Product_ID", horizon: int = 12, min_rows: int = 40, order: int = 10, ridge: float = 1e-3
+) -> DataFrame:
+    """Ridge regression per entity on the features of ``additive_split``."""
+    split, features = additive_split(fact, key, horizon, min_rows, order)
+    return entity_ols(split, key, features, "Sales_Units", "Week_Index", ridge)
 
 
 def seasonal_differences(

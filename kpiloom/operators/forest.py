@@ -35,25 +35,20 @@ def draw_samples(
 ) -> DataFrame:
     """About two samples' worth of rows per tree, chosen by a hash of the row key.
 
-    With many rows each row is tried for one tree only, so the trees' samples
-    are disjoint and no row is expanded; with few rows every tree draws from
-    all of them.
+    Every row is drawn ``2 * trees * sample / n`` times, the fraction by chance,
+    and each draw picks a tree; a row counts once per tree. The expanded rows
+    are the samples', whatever the size of the table.
     """
     rows = df.select(
         F.xxhash64(*row_key, F.lit(seed)).alias("h"),
         F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x"),
     )
-    n = df.count()
-
-    def chance(*keys: object):
-        return F.pmod(F.xxhash64(*keys), F.lit(HASH_RANGE)) / HASH_RANGE
-
-    if n > 2 * trees * sample:
-        kept = rows.where(chance("h", F.lit(1)) < 2.0 * trees * sample / n)
-        kept = kept.withColumn("tree", F.pmod(F.xxhash64("h", F.lit(2)), F.lit(trees)))
-    else:
-        kept = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        kept = kept.where(chance("h", "tree") < 2.0 * sample / max(n, 1))
+    times = 2.0 * trees * sample / max(df.count(), 1)
+    chance = F.pmod(F.xxhash64("h", F.lit(1)), F.lit(HASH_RANGE)) / HASH_RANGE
+    draws = F.lit(int(times)) + (chance < times - int(times)).cast("int")
+    drawn = rows.withColumn("draws", draws).where("draws > 0")
+    picks = F.transform(F.sequence(F.lit(1), "draws"), lambda k: F.pmod(F.xxhash64("h", F.lit(2), k), F.lit(trees)))
+    kept = drawn.select("h", "x", F.explode(F.array_distinct(picks)).alias("tree"))
     return kept.select(F.col("tree").cast("long").alias("tree"), F.xxhash64("h", "tree").alias("h"), "x")
 
 

@@ -1,4 +1,4 @@
-"""Clustering and tree regressions with Spark ML.
+"""Clustering and pooled forests with Spark ML.
 
 All fits are distributed over the rows of the table. Inputs that several fits
 read are checkpointed once.
@@ -8,17 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from itertools import product
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.operators.stats import standardise
 from kpiloom.session import checkpointed
 
 
@@ -28,16 +25,9 @@ def _vectors(df: DataFrame, features: Sequence[str], fill: bool = False) -> Data
     return VectorAssembler(inputCols=list(features), outputCol="_x").transform(data)
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Even partitions, written once, for the tree fits: many passes, much work
-    per row. The session's shuffle setting sizes them, within a few per core."""
-    spark = df.sparkSession
-    setting = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return checkpointed(df.repartition(min(setting, 4 * spark.sparkContext.defaultParallelism)))
-
-
 def _balanced(df: DataFrame) -> DataFrame:
-    """Partitions of the advised size, written once: many light passes."""
+    """Even partitions of the advised size, which adaptive execution can split,
+    written once: every fit makes many passes."""
     return checkpointed(df.hint("rebalance"))
 
 
@@ -48,15 +38,20 @@ def _in_parallel(spark: SparkSession, run: Callable, settings: Sequence, workers
 
 
 def fit_kmeans(
-    df: DataFrame, k: int = 3, starts: int = 10, seed: int = 42, parallelism: int = 4
+    df: DataFrame, k: int = 3, starts: int = 10, seed: int = 42, iterations: int = 300, parallelism: int = 4
 ) -> KMeansModel:
-    """Best of ``starts`` random starts by within-cluster cost, on the ``_x`` vectors."""
+    """Best of ``starts`` random starts by within-cluster cost, on the ``_x``
+    vectors; a start ends when the centres settle, or after ``iterations``."""
 
     def run(i: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed + i, featuresCol="_x", predictionCol="cluster").fit(df)
+        return KMeans(k=k, seed=seed + i, maxIter=iterations, featuresCol="_x", predictionCol="cluster").fit(df)
 
-    models = _in_parallel(df.sparkSession, run, range(starts), parallelism)
-    return min(models, key=lambda m: m.summary.trainingCost)
+    df.persist()  # all starts read the same vectors
+    try:
+        models = _in_parallel(df.sparkSession, run, range(starts), parallelism)
+        return min(models, key=lambda m: m.summary.trainingCost)
+    finally:
+        df.unpersist()
 
 
 def cluster(df: DataFrame, features: Sequence[str], k: int = 3, starts: int = 10, seed: int = 42) -> DataFrame:
@@ -72,123 +67,21 @@ def cluster(df: DataFrame, features: Sequence[str], k: int = 3, starts: int = 10
 
 
 def forest_regression(
-    df: DataFrame, target: str, features: Sequence[str], trees: int = 100, depth: int = 10, seed: int = 42
+    df: DataFrame, target: str, features: Sequence[str], trees: int = 100, depth: int = 30, bins: int = 32, seed: int = 42
 ) -> DataFrame:
-    """Random forest over all rows: adds ``pred``."""
-    data = _spread(_vectors(df.dropna(subset=[target]), features))
-    model = _forest(target, trees, depth, seed).fit(data)
-    return model.transform(data).drop("_x")
-
-
-def _forest(target: str, trees: int, depth: int, seed: int) -> RandomForestRegressor:
-    return RandomForestRegressor(
+    """Random forest pooled over all rows: adds ``pred``. The default depth is
+    the deepest that Spark grows, more than a leaf of one row needs in practice;
+    a feature is cut at ``bins`` quantiles."""
+    data = _balanced(_vectors(df.dropna(subset=[target]), features))
+    model = RandomForestRegressor(
         featuresCol="_x",
         labelCol=target,
         predictionCol="pred",
         numTrees=trees,
         maxDepth=depth,
+        maxBins=bins,
         featureSubsetStrategy="all",
         maxMemoryInMB=1024,
         seed=seed,
-    )
-
-
-def lag_forest_backtest(
-    split: DataFrame,
-    features: Sequence[str],
-    target: str,
-    keep: Sequence[str],
-    trees: int = 200,
-    depth: int = 10,
-    seed: int = 42,
-    is_test: str = "is_test",
-) -> DataFrame:
-    """Random forest on standardised lag features, fitted on the train rows of
-    all entities together and evaluated on the test rows."""
-    scaled = standardise(split, list(features), ~F.col(is_test))
-    inputs = [f"{f}_std" for f in features]
-    data = _spread(scaled.select(*keep, target, is_test, *inputs))
-    assembler = VectorAssembler(inputCols=inputs, outputCol="_x")
-    model = Pipeline(stages=[assembler, _forest(target, trees, depth, seed)]).fit(data.where(~F.col(is_test)))
-    out = model.transform(data.where(F.col(is_test)))
-    return out.select(*keep, F.col(target).cast("double").alias("actual"), "pred")
-
-
-# The searched grid. Depth stands for the leaf count (2^5, 2^6).
-GRID_DEPTHS = (5, 6)
-GRID_TREES = (100, 300)
-GRID_RATES = (0.05, 0.1)
-
-
-def boosted_search(
-    df: DataFrame,
-    features: Sequence[str],
-    target: str,
-    fold: str = "fold",
-    depths: Sequence[int] = GRID_DEPTHS,
-    trees: Sequence[int] = GRID_TREES,
-    rates: Sequence[float] = GRID_RATES,
-    parallelism: int = 4,
-    seed: int = 42,
-) -> DataFrame:
-    """Mean MSE over expanding folds for every grid setting, best first.
-
-    Boosting is sequential, so one fit with the largest tree count holds all
-    smaller ones; their errors are read off per iteration.
-    """
-    data = _balanced(_vectors(df.select(*features, F.col(target).cast("double").alias("_y"), fold), features))
-    folds = [r[0] for r in data.where(F.col(fold).isNotNull()).select(fold).distinct().orderBy(fold).collect()]
-
-    def run(setting: tuple[int, float, int]) -> list[tuple]:
-        depth, rate, i = setting
-        train = data.where(F.col(fold).isNull() | (F.col(fold) < i))
-        test = data.where(F.col(fold) == i)
-        model = GBTRegressor(
-            featuresCol="_x", labelCol="_y", maxDepth=depth, maxIter=max(trees), stepSize=rate, seed=seed
-        ).fit(train)
-        losses = model.evaluateEachIteration(test, "squared")
-        return [(depth, n, rate, int(i), float(losses[min(n, len(losses)) - 1])) for n in trees]
-
-    settings = list(product(depths, rates, folds))
-    rows = [row for part in _in_parallel(df.sparkSession, run, settings, parallelism) for row in part]
-    scores = df.sparkSession.createDataFrame(rows, "depth int, trees int, rate double, fold int, mse double")
-    return scores.groupBy("depth", "trees", "rate").agg(F.avg("mse").alias("mse")).orderBy("mse", "depth", "trees", "rate")
-
-
-def boosted_backtest(
-    split: DataFrame,
-    features: Sequence[str],
-    target: str,
-    keep: Sequence[str],
-    depth: int = 5,
-    trees: int = 100,
-    rate: float = 0.1,
-    seed: int = 42,
-    is_test: str = "is_test",
-) -> DataFrame:
-    """Boosted trees with one setting: fitted on train rows, evaluated on test rows."""
-    data = _balanced(_vectors(split.withColumn("_y", F.col(target).cast("double")), features))
-    model = GBTRegressor(
-        featuresCol="_x", labelCol="_y", predictionCol="pred", maxDepth=depth, maxIter=trees, stepSize=rate, seed=seed
-    ).fit(data.where(~F.col(is_test)))
-    return model.transform(data.where(F.col(is_test))).select(*keep, F.col("_y").alias("actual"), "pred")
-
-
-def tuned_backtest(
-    split: DataFrame,
-    features: Sequence[str],
-    target: str,
-    keep: Sequence[str],
-    fold: str = "fold",
-    depths: Sequence[int] = GRID_DEPTHS,
-    trees: Sequence[int] = GRID_TREES,
-    rates: Sequence[float] = GRID_RATES,
-    is_test: str = "is_test",
-) -> DataFrame:
-    """Search the grid on the folds of the train rows, then evaluate the best
-    setting on the test rows."""
-    data = checkpointed(split)
-    best = boosted_search(data.where(~F.col(is_test)), features, target, fold, depths, trees, rates).first()
-    return boosted_backtest(
-        data, features, target, keep, best["depth"], best["trees"], best["rate"], is_test=is_test
-    )
+    ).fit(data)
+    return model.transform(data).drop("_x")

@@ -2,133 +2,144 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
+import math
+from collections.abc import Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kpiloom.session import checkpointed
+#: Accuracy of the sketch that places the bounds around a rank.
+ACCURACY = 10_000
 
-CELLS = 4096
-DIRECT_ROWS = 1_000_000
+#: Distinct values between two bounds that one task ranks.
+MOST = 100_000
+
+
+@dataclass(frozen=True)
+class Spot:
+    """A wanted quantile and the values between which it is known to lie:
+    ``before`` rows are below ``low``, ``inside`` rows from there to ``high``."""
+
+    column: int
+    p: float
+    first: int
+    second: int
+    weight: float
+    low: float
+    high: float
+    before: int
+    inside: int
+    distinct: int
+
+    def holds(self) -> bool:
+        return self.before <= self.first and self.second < self.before + self.inside
+
+
+def known(c: str | Column) -> Column:
+    """The value as a double; NaN counts as missing."""
+    v = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.when(~F.isnan(v), v)
 
 
 def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    cells: int = CELLS,
-    limits: DataFrame | None = None,
-    direct_rows: int = DIRECT_ROWS,
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY, most: int = MOST
 ) -> DataFrame:
-    """Linear-interpolated quantiles: one row per (metric, p).
-
-    Up to ``direct_rows`` values per column, the distinct values are counted
-    and ranked directly. Beyond that, two counting passes first narrow the
-    range that holds each wanted rank, from [min, max] to 1/cells and then to
-    1/cells^2 of it. Counts are combined on the map side, so such a pass
-    shuffles at most ``cells`` rows per metric and task, and only the distinct
-    values inside the last cells are sorted. Every table that is broadcast has
-    a row bound set by ``columns`` and ``probs``. ``limits`` (metric, lo, hi, n)
-    saves a pass when it is already known; it must be a written table.
+    """Linear-interpolated quantiles: one row per (metric, p); columns without
+    known values give none.
+
+    Each pass reads all columns once. The first counts; then a mergeable sketch
+    of the values between the bounds, and a count of the rows below and between
+    the ones it proposes, narrow them some ``accuracy``-fold, until they hold
+    at most about ``most`` distinct values. Those are counted on the map side
+    and ranked. Bounds follow the ranks and not the range, so that a heavy tail
+    does not widen them; bounds that turn out to miss a rank are not taken.
+    The driver sees a few numbers per column and quantile.
     """
-    if limits is None:
-        limits = checkpointed(column_limits(df, columns))
-    names = F.array(*[F.lit(c) for c in columns])
-    limits = limits.withColumn("metric", (F.array_position(names, F.col("metric")) - 1).cast("int"))
-    prob = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
-    spots = limits.select("metric", "n", prob.alias("p")).withColumn("h", F.col("p") * (F.col("n") - 1))
-    ranks = spots.select("metric", F.explode(F.array(F.floor("h"), F.ceil("h"))).alias("rank")).distinct()
-    wanted = ranks.withColumn("full_rank", F.col("rank"))
-
-    most = limits.agg(F.max("n")).first()[0] or 0
-    if most <= direct_rows:
-        values = _stacked([_known(df, i, c) for i, c in enumerate(columns)])
-        found = _find(_counted(values, ["metric"], "v"), wanted, ["metric"], "v")
-    else:
-        found = _narrowed(df, columns, limits, wanted, cells)
-
-    at = found.groupBy("metric", "full_rank").agg(F.max("v").alias("v"))
-    low = at.select("metric", F.col("full_rank").alias("r0"), F.col("v").alias("v0"))
-    high = at.select("metric", F.col("full_rank").alias("r1"), F.col("v").alias("v1"))
-    return (
-        spots.withColumns({"r0": F.floor("h"), "r1": F.ceil("h")})
-        .join(F.broadcast(low), ["metric", "r0"])
-        .join(F.broadcast(high), ["metric", "r1"])
-        .withColumn("metric", names[F.col("metric")])
-        .select("metric", "p", (F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("h") - F.col("r0"))).alias("value"))
-    )
-
-
-def column_limits(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Smallest, largest and number of known values: one row per column, one pass."""
-
-    def limit(c: str) -> Column:
-        v = F.col(c).cast("double")
-        known = F.when(~F.isnan(v), v)
-        return F.struct(
-            F.lit(c).alias("metric"), F.min(known).alias("lo"), F.max(known).alias("hi"), F.count(known).alias("n")
-        )
-
-    row = df.agg(*[limit(c).alias(f"m{i}") for i, c in enumerate(columns)])
-    return row.select(F.inline(F.array(*row.columns)))
-
-
-def _known(df: DataFrame, number: int, column: str) -> DataFrame:
-    """Known values of one column, under its number. Each column is a scan of
-    its own, so nothing is expanded per row and a columnar file is read once over."""
-    v = F.col(column).cast("double")
-    return df.select(F.lit(number).alias("metric"), v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-
-
-def _stacked(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionAll, parts)
-
-
-def _narrowed(df: DataFrame, columns: Sequence[str], limits: DataFrame, wanted: DataFrame, cells: int) -> DataFrame:
-    """The wanted ranks' values by way of two nested grids of cells. The cells
-    found by a pass, a few rows, are written so that the next one only reads them."""
-    grid = _per_metric(limits, columns, lambda mine: F.max(F.when(mine, F.struct("lo", "hi"))))
-    last = F.lit(cells - 1).cast("long")
-
-    def placed(i: int, column: str) -> DataFrame:
-        lo, hi = (grid.getField(f"m{i}").getField(end) for end in ("lo", "hi"))
-        place = F.coalesce(F.try_divide(F.col("v") - lo, hi - lo) * cells, F.lit(0.0))
-        outer = F.least(F.floor(place), last)
-        inner = F.least(F.floor((place - outer) * cells), last)
-        return _known(df, i, column).select("metric", "v", outer.alias("c1"), inner.alias("c2"))
-
-    def within(found: DataFrame, cell: Column) -> list[DataFrame]:
-        """Rows in the cells that hold a wanted rank: a few cells per column."""
-        hits = _per_metric(found, columns, lambda mine: F.collect_set(F.when(mine, cell)))
-        return [part.where(F.array_contains(hits.getField(f"m{i}"), cell)) for i, part in enumerate(parts)]
-
-    parts = [placed(i, c) for i, c in enumerate(columns)]
-    first = checkpointed(_find(_counted(_stacked(parts), ["metric"], "c1"), wanted, ["metric"], "c1"))
-    inside = _stacked(within(first, F.col("c1")))
-    second = checkpointed(_find(_counted(inside, ["metric", "c1"], "c2"), first, ["metric", "c1"], "c2"))
-    inmost = _stacked(within(second, F.col("c1") * cells + F.col("c2")))
-    return _find(_counted(inmost, ["metric", "c1", "c2"], "v"), second, ["metric", "c1", "c2"], "v")
-
-
-def _per_metric(table: DataFrame, columns: Sequence[str], aggregate: Callable[[Column], Column]) -> Column:
-    """A scalar struct with one aggregate per column of a (metric, ...) table."""
-    row = table.agg(*[aggregate(F.col("metric") == i).alias(f"m{i}") for i in range(len(columns))])
-    return row.select(F.struct(*row.columns)).scalar()
-
-
-def _counted(rows: DataFrame, keys: list[str], cell: str) -> DataFrame:
-    """Rows per cell, and rows before it within ``keys``."""
-    counts = rows.groupBy(*keys, cell).agg(F.count(F.lit(1)).alias("cnt"))
-    upto = W.partitionBy(*keys).orderBy(cell).rowsBetween(W.unboundedPreceding, 0)
-    return counts.withColumn("after", F.sum("cnt").over(upto)).withColumn("before", F.col("after") - F.col("cnt"))
-
-
-def _find(cells: DataFrame, wanted: DataFrame, keys: list[str], cell: str) -> DataFrame:
-    """The cell of each wanted rank, with the rank counted from the cell's start."""
-    hit = cells.join(F.broadcast(wanted), keys).where(
-        (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("after"))
-    )
-    return hit.select(*keys, cell, (F.col("rank") - F.col("before")).alias("rank"), "full_rank")
+    values = df.select(*[known(c).alias(f"v{i}") for i, c in enumerate(columns)])
+    spots = _narrowed(values, _whole(values, len(columns), probs), accuracy, most)
+    schema = "metric string, p double, value double"
+    if not spots:
+        return df.sparkSession.createDataFrame([], schema)
+    return _ranked(values, spots, columns)
+
+
+def _whole(values: DataFrame, columns: int, probs: Sequence[float]) -> list[Spot]:
+    """Every spot between the smallest and the largest value."""
+    row = values.agg(
+        *[f(f"v{i}").alias(f"{name}{i}") for i in range(columns) for name, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
+    ).first()
+    spots = []
+    for i in range(columns):
+        n = row[f"n{i}"]
+        for p in probs if n else ():
+            h = p * (n - 1)
+            spots.append(Spot(i, float(p), math.floor(h), math.ceil(h), h - math.floor(h), row[f"lo{i}"], row[f"hi{i}"], 0, n, n))
+    return spots
+
+
+def _inside(spot: Spot) -> Column:
+    v = F.col(f"v{spot.column}")
+    return F.when((v >= F.lit(spot.low)) & (v <= F.lit(spot.high)), v)
+
+
+def _narrowed(values: DataFrame, spots: list[Spot], accuracy: int, most: int) -> list[Spot]:
+    """Narrow the bounds of all spots until few distinct values are left."""
+    open_ = [k for k, s in enumerate(spots) if s.low < s.high]
+    while open_:
+        proposed = _sketched(values, [spots[k] for k in open_], accuracy)
+        counted = _counted(values, proposed)
+        left = []
+        for k, spot in zip(open_, counted):
+            narrower = spot.holds() and spot.inside < spots[k].inside
+            if narrower:
+                spots[k] = spot
+            if narrower and spot.distinct > most and spot.low < spot.high:
+                left.append(k)
+        open_ = left
+    return spots
+
+
+def _sketched(values: DataFrame, spots: list[Spot], accuracy: int) -> list[Spot]:
+    """Bounds from a sketch of the rows inside, two of its errors apart."""
+    sketches, sides = [], []
+    for k, s in enumerate(spots):
+        margin = 2.0 / accuracy
+        a = (s.first - s.before) / s.inside - margin
+        b = (s.second + 1 - s.before) / s.inside + margin
+        sides.append((a > 0, b < 1))
+        sketches.append(F.percentile_approx(_inside(s), [max(a, 0.0), min(b, 1.0)], accuracy).alias(f"q{k}"))
+    row = values.agg(*sketches).first()
+    return [
+        replace(s, low=row[f"q{k}"][0] if lower else s.low, high=row[f"q{k}"][1] if upper else s.high)
+        for k, (s, (lower, upper)) in enumerate(zip(spots, sides))
+    ]
+
+
+def _counted(values: DataFrame, spots: list[Spot]) -> list[Spot]:
+    """Rows below and between the bounds, and about how many distinct values."""
+    parts = []
+    for k, s in enumerate(spots):
+        parts += [
+            F.count_if(F.col(f"v{s.column}") < F.lit(s.low)).alias(f"b{k}"),
+            F.count(_inside(s)).alias(f"n{k}"),
+            F.approx_count_distinct(_inside(s)).alias(f"d{k}"),
+        ]
+    row = values.agg(*parts).first()
+    return [replace(s, before=row[f"b{k}"], inside=row[f"n{k}"], distinct=row[f"d{k}"]) for k, s in enumerate(spots)]
+
+
+def _ranked(values: DataFrame, spots: list[Spot], columns: Sequence[str]) -> DataFrame:
+    """Rank the distinct values between the bounds, and interpolate."""
+    spark = values.sparkSession
+    hits = F.array(*[F.struct(F.lit(k).alias("spot"), _inside(s).alias("v")) for k, s in enumerate(spots)])
+    inside = values.select(F.explode(F.filter(hits, lambda h: h["v"].isNotNull())).alias("h")).select("h.spot", "h.v")
+    counted = inside.groupBy("spot", "v").agg(F.count(F.lit(1)).alias("n"))
+    upto = W.partitionBy("spot").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    rows = [(k, columns[s.column], s.p, s.first - s.before, s.second - s.before, s.weight) for k, s in enumerate(spots)]
+    wanted = spark.createDataFrame(rows, "spot int, metric string, p double, r0 long, r1 long, weight double")
+    places = counted.withColumn("after", F.sum("n").over(upto)).join(F.broadcast(wanted), "spot")
+    at = lambda rank: F.min(F.when(F.col("after") > F.col(rank), F.col("v")))
+    found = places.groupBy("spot", "metric", "p", "weight").agg(at("r0").alias("v0"), at("r1").alias("v1"))
+    return found.select("metric", "p", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("weight")).alias("value"))

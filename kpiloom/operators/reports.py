@@ -13,15 +13,25 @@ from kpiloom.operators.growth import last_change, running_base
 from kpiloom.operators.rollup import calendar_rollup
 
 
-def month_labels(df: DataFrame, month: str = "Month") -> list[str]:
-    """All calendar months between the first and the last, from one row."""
+def month_labels(df: DataFrame, month: str = "Month", whole_years: bool = False) -> list[str]:
+    """All calendar months between the first and the last, or of their years,
+    from one row."""
     span = df.agg(F.min(month).alias("lo"), F.max(month).alias("hi")).first()
     if span is None or span["lo"] is None:
         return []
     lo, hi = (d.year * 12 + d.month - 1 for d in span)
+    if whole_years:
+        lo, hi = lo - lo % 12, hi - hi % 12 + 11
     return [f"{m // 12:04d}-{m % 12 + 1:02d}" for m in range(lo, hi + 1)]
 
 
+def require_unique_names(df: DataFrame, key: str, name: str) -> None:
+    """Raise when two entities share a name, under which a matrix would mix them."""
+    shared = df.groupBy(name).agg(F.count_distinct(key).alias("n")).where("n > 1").limit(3).collect()
+    if shared:
+        raise ValueError(f"several entities are named {', '.join(str(r[name]) for r in shared)}")
+
+
 def month_matrix(
     monthly: DataFrame, row: str, value: str, month: str = "Month", months: Sequence[str] | None = None, fill: float = 0.0
 ) -> DataFrame:
@@ -42,10 +52,10 @@ def cohort_sums(
 
 def cohort_matrix(sums: DataFrame, cohort: str, periods: Sequence[int] | None = None) -> DataFrame:
     """Mean of the sums per cohort and period: two months can share a 30-day
-    period. Without ``periods`` all up to the last one present are shown."""
+    period. Without ``periods`` whole dozens are shown, up to the last one present."""
     if periods is None:
         last = sums.agg(F.max("Cohort_Period")).first()[0]
-        periods = range(0 if last is None else last + 1)
+        periods = range(0 if last is None else (last // 12 + 1) * 12)
     wide = sums.groupBy(cohort).pivot("Cohort_Period", list(periods)).agg(F.avg("n_sales"))
     return wide.select(cohort, *[F.col(str(p)).alias(f"period_{p}") for p in periods])
 

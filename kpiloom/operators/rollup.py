@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +24,14 @@ GRAINS = {
     "Quarter_No": lambda d: F.quarter(d).cast("long"),
 }
 
+def _known(c: Column) -> Column:
+    """NaN counts as missing in sums and means."""
+    return F.when(~F.isnan(c), c)
+
+
 AGGREGATES = {
-    "sum": F.sum,
-    "mean": F.avg,
+    "sum": lambda c: F.sum(_known(c)),
+    "mean": lambda c: F.avg(_known(c)),
     "min": F.min,
     "max": F.max,
     "count": F.count,
@@ -32,56 +39,82 @@ AGGREGATES = {
 }
 
 # Measure -> aggregate of the published rollups.
-SUMS_OF_UNITS = dict.fromkeys(("Produced_Units", "Good_Units", "Sales_Units"), "sum")
 BASIC_MEASURES = {
-    **SUMS_OF_UNITS,
-    **dict.fromkeys(
-        ("Returned_Units", "Revenue", "COGS", "Expenses", "Profit", "Material_kg", "Customer_Acquisition"), "sum"
-    ),
-    **dict.fromkeys(("NPS", "Employee_Satisfaction"), "mean"),
+    "Produced_Units": "sum",
+    "Good_Units": "sum",
+    "Sales_Units": "sum",
+    "Returned_Units": "sum",
+    "Revenue": "sum",
+    "COGS": "sum",
+    "Expenses": "sum",
+    "Profit": "sum",
+    "Material_kg": "sum",
+    "Customer_Acquisition": "sum",
+    "NPS": "mean",
+    "Employee_Satisfaction": "mean",
     "Downtime_hours": "sum",
     "Defect_Rate": "mean",
 }
 RICH_MEASURES = {
-    **SUMS_OF_UNITS,
-    **dict.fromkeys(
-        (
-            "Returned_Units",
-            "Revenue",
-            "COGS",
-            "Marketing_Spend",
-            "Logistics_Cost",
-            "Other_Expenses",
-            "Profit",
-            "Raw_Material_Cost",
-            "Acquisition",
-        ),
-        "sum",
-    ),
-    **dict.fromkeys(("NPS", "Employee_Satisfaction"), "mean"),
+    "Produced_Units": "sum",
+    "Good_Units": "sum",
+    "Sales_Units": "sum",
+    "Returned_Units": "sum",
+    "Revenue": "sum",
+    "COGS": "sum",
+    "Marketing_Spend": "sum",
+    "Logistics_Cost": "sum",
+    "Other_Expenses": "sum",
+    "Profit": "sum",
+    "Raw_Material_Cost": "sum",
+    "Acquisition": "sum",
+    "NPS": "mean",
+    "Employee_Satisfaction": "mean",
     "Downtime_hours": "sum",
     "Defect_Rate": "mean",
     "Inventory": "mean",
     "Backorder": "sum",
 }
 OPERATIONS_MEASURES = {
-    **SUMS_OF_UNITS,
-    **dict.fromkeys(("Revenue", "COGS", "Profit"), "sum"),
-    **dict.fromkeys(("Lead_Time_days", "Efficiency_u_per_h", "Inventory"), "mean"),
+    "Produced_Units": "sum",
+    "Good_Units": "sum",
+    "Sales_Units": "sum",
+    "Revenue": "sum",
+    "COGS": "sum",
+    "Profit": "sum",
+    "Lead_Time_days": "mean",
+    "Efficiency_u_per_h": "mean",
+    "Inventory": "mean",
 }
 QUALITY_MEASURES = {
-    **OPERATIONS_MEASURES,
-    **dict.fromkeys(("Defect_Rate", "Downtime_hours"), "mean"),
+    "Produced_Units": "sum",
+    "Good_Units": "sum",
+    "Sales_Units": "sum",
+    "Revenue": "sum",
+    "COGS": "sum",
+    "Profit": "sum",
+    "Lead_Time_days": "mean",
+    "Efficiency_u_per_h": "mean",
+    "Inventory": "mean",
+    "Defect_Rate": "mean",
+    "Downtime_hours": "mean",
     "Raw_Material_Cost": "sum",
-    **dict.fromkeys(("Employee_Satisfaction", "NPS"), "mean"),
+    "Employee_Satisfaction": "mean",
+    "NPS": "mean",
 }
 SALES_MEASURES = {
-    **dict.fromkeys(("Sales_Units", "Revenue", "Profit"), "sum"),
-    **dict.fromkeys(("Lead_Time_days", "Defect_Rate"), "mean"),
+    "Sales_Units": "sum",
+    "Revenue": "sum",
+    "Profit": "sum",
+    "Lead_Time_days": "mean",
+    "Defect_Rate": "mean",
 }
 PERIOD_MEASURES = {
-    **dict.fromkeys(("Produced_Units", "Sales_Units", "Revenue"), "sum"),
-    **dict.fromkeys(("Lead_Time_days", "Efficiency_u_per_h"), "mean"),
+    "Produced_Units": "sum",
+    "Sales_Units": "sum",
+    "Revenue": "sum",
+    "Lead_Time_days": "mean",
+    "Efficiency_u_per_h": "mean",
 }
 
 
@@ -132,9 +165,13 @@ def weekly_targets(
     df: DataFrame, key: str = "Product_ID", value: str = "Sales_Units", uplift: float = 1.05, rounding: str = "half_even"
 ) -> DataFrame:
     """Integer target per entity: mean times uplift, half-even or truncated."""
+    return df.groupBy(key).agg(target_of(value, uplift, rounding).alias("Weekly_Target"))
+
+
+def target_of(value: str, uplift: float, rounding: str) -> Column:
+    """The target as an aggregate."""
     mean = F.avg(value) * uplift
-    whole = F.bround(mean, 0) if rounding == "half_even" else mean
-    return df.groupBy(key).agg(whole.cast("long").alias("Weekly_Target"))
+    return (F.bround(mean, 0) if rounding == "half_even" else mean).cast("long")
 
 
 def regrid_weekly(df: DataFrame, keys: Sequence[str], measures: Mapping[str, str]) -> DataFrame:
@@ -156,34 +193,30 @@ def mean_with_interval(df: DataFrame, key: str, value: str) -> DataFrame:
 def mean_with_bootstrap(
     df: DataFrame, key: str, value: str, row_key: Sequence[str], replicates: int = 1000, bags: int = 1000, seed: int = 42
 ) -> DataFrame:
-    """Mean per group with a bootstrap 95 % interval.
+    """Mean per group with a bootstrap 95 % interval over bags of rows.
 
     Rows fall into ``bags`` by a hash of their key, and are summed there on the
-    map side. Replicates then draw Poisson(1) weights per bag, also by hash, so
-    the work after the first shuffle depends on groups, bags and replicates
-    only, and a re-run gives the same interval.
+    map side. A replicate draws every bag, not every row, with a Poisson(1)
+    weight; a bag's weights depend on its number and the seed alone, so a re-run
+    gives the same interval. One task sees at most ``bags`` rows of a group.
     """
-    bag = F.pmod(F.xxhash64(*row_key, F.lit(seed)), F.lit(bags))
+    bag = F.pmod(F.xxhash64(*row_key, F.lit(seed)), F.lit(bags)).cast("long")
     bagged = (
         df.dropna(subset=[key])
         .withColumn("bag", bag)
         .groupBy(key, "bag")
-        .agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    )
-    u = (F.pmod(F.xxhash64("bag", "rep", F.lit(seed + 1)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    cumulative, term, weight = 0.0, 0.36787944117144233, F.lit(0)
-    for k in range(8):
-        cumulative += term
-        term /= k + 1
-        weight = weight + (u > cumulative).cast("int")
-    replicated = (
-        bagged.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-        .withColumn("w", weight)
-        .groupBy(key, "rep")
-        .agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("m"))
-    )
-    interval = replicated.groupBy(key).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
-    means = bagged.groupBy(key).agg(F.sum("n").alias("n"), F.try_divide(F.sum("s"), F.sum("n")).alias("mean"))
-    return means.join(interval, key).select(
-        key, "n", "mean", F.col("ci")[0].alias("low"), F.col("ci")[1].alias("high")
+        .agg(F.sum(value).cast("double").alias("s"), F.count(value).alias("n"))
     )
+
+    def interval(pdf: pd.DataFrame) -> pd.DataFrame:
+        weights = np.stack([np.random.default_rng([seed, b]).poisson(1.0, replicates) for b in pdf["bag"]])
+        sums, counts = pdf["s"].fillna(0.0).to_numpy(), pdf["n"].to_numpy()
+        rows = weights.T @ counts
+        means = (weights.T @ sums)[rows > 0] / rows[rows > 0]
+        low, high = np.quantile(means, (0.025, 0.975)) if len(means) else (None, None)
+        n = int(counts.sum())
+        row = {key: pdf[key].iloc[0], "n": n, "mean": sums.sum() / n if n else None, "low": low, "high": high}
+        return pd.DataFrame([row])
+
+    kind = dict(df.dtypes)[key]
+    return bagged.groupBy(key).applyInPandas(interval, f"`{key}` {kind}, n long, mean double, low double, high double")

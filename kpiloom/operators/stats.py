@@ -14,39 +14,38 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpiloom.operators.quantiles import exact_quantiles
-from kpiloom.session import checkpointed
+from kpiloom.operators.quantiles import exact_quantiles, known
 
 QUARTILES = (0.25, 0.5, 0.75)
 
 
 def describe(df: DataFrame, columns: Sequence[str], method: str = "exact", accuracy: int = 1000) -> DataFrame:
-    """count, mean, std, min, quartiles and max: one row per metric.
+    """count, mean, std, min, quartiles and max of the known values: one row per
+    metric. NaN counts as missing, as null does.
 
     ``method="approximate"`` takes the quartiles from a sketch in the same pass
-    as the moments; the exact ones need three more passes.
+    as the moments; the exact ones need a few more passes, all columns in each.
     """
     names = [f"p{round(p * 100)}" for p in QUARTILES]
 
     def profile(c: str) -> Column:
+        v = known(c)
         parts = [
             F.lit(c).alias("metric"),
-            F.count(c).alias("count"),
-            F.avg(c).alias("mean"),
-            F.stddev_samp(c).alias("std"),
-            F.min(c).cast("double").alias("min"),
-            F.max(c).cast("double").alias("max"),
+            F.count(v).alias("count"),
+            F.avg(v).alias("mean"),
+            F.stddev_samp(v).alias("std"),
+            F.min(v).alias("min"),
+            F.max(v).alias("max"),
         ]
         if method == "approximate":
-            sketch = F.percentile_approx(c, list(QUARTILES), accuracy)
-            parts += [sketch[i].cast("double").alias(name) for i, name in enumerate(names)]
+            sketch = F.percentile_approx(v, list(QUARTILES), accuracy)
+            parts += [sketch[i].alias(name) for i, name in enumerate(names)]
         return F.struct(*parts).alias(c)
 
     moments = df.agg(*[profile(c) for c in columns]).select(F.inline(F.array(*columns)))
     if method != "approximate":
-        moments = checkpointed(moments)
-        limits = moments.select("metric", F.col("min").alias("lo"), F.col("max").alias("hi"), F.col("count").alias("n"))
-        quantiles = exact_quantiles(df, columns, QUARTILES, limits=limits)
+        quantiles = exact_quantiles(df, columns, QUARTILES)
         wide = quantiles.groupBy("metric").agg(
             *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(n) for p, n in zip(QUARTILES, names, strict=True)]
         )
@@ -88,19 +87,34 @@ def correlation_by_group(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
-    """Counts of equal bins over [min, max]; the top edge belongs to the last bin."""
+    """Counts of equal bins over [min, max], empty ones included; a value on an
+    inner edge belongs to the bin above it, the top edge to the last bin.
+
+    The edges are computed once, and a value is placed by comparing it with
+    them, so that a bin holds exactly the values between the edges shown. When
+    all values are equal, the range is half a unit to either side of them.
+    """
     v = F.col(column)
-    known = df.where(v.isNotNull() & (F.abs(v) != float("inf")) & ~F.isnan(v))
-    limits = known.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"))).scalar()
-    lo, hi = limits.getField("lo"), limits.getField("hi")
-    place = F.coalesce(F.floor(F.try_divide((v - lo) * bins, hi - lo)), F.lit(0))
-    counted = known.groupBy(F.least(place, F.lit(bins - 1)).cast("long").alias("bin")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    finite = df.select(v.cast("double").alias("v")).where(v.isNotNull() & (F.abs(v) != float("inf")) & ~F.isnan(v))
+    row = finite.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    if row["lo"] is None:
+        return df.sparkSession.createDataFrame([], "bin long, low double, high double, n long")
+    lo, hi = (row["lo"], row["hi"]) if row["lo"] < row["hi"] else (row["lo"] - 0.5, row["hi"] + 0.5)
     width = (hi - lo) / bins
-    return counted.select(
-        "bin", (lo + F.col("bin") * width).alias("low"), (lo + (F.col("bin") + 1) * width).alias("high"), "n"
+    edges = [lo + i * width for i in range(bins)] + [hi]
+    guess = F.floor((F.col("v") - lo) / width).cast("int")
+    near = F.greatest(F.lit(0), F.least(guess, F.lit(bins - 1)))
+    table = F.array(*[F.lit(e) for e in edges])
+    placed = (
+        F.when(F.col("v") < table[near], near - 1)
+        .when((near < bins - 1) & (F.col("v") >= table[near + 1]), near + 1)
+        .otherwise(near)
     )
+    counted = finite.groupBy(placed.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    listed = df.sparkSession.createDataFrame(
+        [(i, edges[i], edges[i + 1]) for i in range(bins)], "bin long, low double, high double"
+    )
+    return listed.join(counted, "bin", "left").select("bin", "low", "high", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def simple_regression(df: DataFrame, y: str, x: str, keys: Sequence[str] = (), min_rows: int = 0) -> DataFrame:
@@ -240,19 +254,23 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     return math.exp(log_front) / a * (value - 1.0)
 
 
-def standardise(df: DataFrame, columns: Mapping[str, str] | Sequence[str], train: Column) -> DataFrame:
-    """Centre and scale by the train rows' mean and population deviation.
+def standardise(
+    df: DataFrame, columns: Mapping[str, str] | Sequence[str], train: Column, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Centre and scale by the train rows' mean and population deviation, per
+    group of ``keys`` or, without keys, pooled over all rows.
 
-    A constant column is only centred. Returns ``{column}_std`` (or the mapped
-    names) next to the inputs.
+    A constant column is only centred; a group without train rows gives null. Returns ``{column}_std`` (or the mapped names) next to the inputs.
     """
     names = dict(columns) if isinstance(columns, Mapping) else {c: f"{c}_std" for c in columns}
-    fitted = df.where(train).agg(
-        F.struct(
-            *[F.avg(c).alias(f"m_{c}") for c in names],
-            *[F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"s_{c}") for c in names],
-        )
-    ).scalar()
+    fits = [F.avg(c).alias(f"_m_{c}") for c in names]
+    fits += [F.coalesce(F.nullif(F.stddev_pop(c), F.lit(0.0)), F.lit(1.0)).alias(f"_s_{c}") for c in names]
+    if keys:
+        fitted = df.where(train).groupBy(*keys).agg(*fits)
+        joined = df.join(fitted, list(keys), "left")
+        scaled = {new: (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}") for c, new in names.items()}
+        return joined.withColumns(scaled).drop(*[f"_{x}_{c}" for c in names for x in "ms"])
+    pooled = df.where(train).agg(F.struct(*fits)).scalar()
     return df.withColumns(
-        {new: (F.col(c) - fitted.getField(f"m_{c}")) / fitted.getField(f"s_{c}") for c, new in names.items()}
+        {new: (F.col(c) - pooled.getField(f"_m_{c}")) / pooled.getField(f"_s_{c}") for c, new in names.items()}
     )

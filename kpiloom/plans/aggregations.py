@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from kpiloom.functions import campaign_roi, weeks_of_inventory
 from kpiloom.operators import rollup as R
 from kpiloom.operators import stats
-from kpiloom.operators.growth import first_of_group, long_enough
+from kpiloom.operators.forecast import REGRID
+from kpiloom.operators.growth import add_growth, first_of_group, long_enough
 from kpiloom.operators.reports import cohort_sums
 from kpiloom.plans.fact import order_lines, product_week
 from kpiloom.plans.registry import query
@@ -21,6 +22,7 @@ from kpiloom.plans.shared import (
     written_fact,
     yearly_products,
 )
+from kpiloom.session import checkpointed
 from kpiloom.sources import table
 
 MONEY = {
@@ -250,7 +252,7 @@ _yearly("a22_year_period", R.PERIOD_MEASURES)
         WHERE "Year" = (SELECT max("Year") FROM pw)""",
 )
 def latest_year_margin(spark: SparkSession, d: str) -> DataFrame:
-    return R.latest_year_table(yearly_products(spark, d, R.RICH_MEASURES, NAMED))
+    return R.latest_year_table(checkpointed(yearly_products(spark, d, R.RICH_MEASURES, NAMED)))
 
 
 TWO_LEVEL = {"Sales_Units": "sum", "Revenue": "sum", "Produced_Units": "sum"}
@@ -258,12 +260,14 @@ TWO_LEVEL = {"Sales_Units": "sum", "Revenue": "sum", "Produced_Units": "sum"}
 
 @query(
     "a24_two_level_month",
-    out_of("Month:d", TWO_LEVEL),
-    f"""SELECT "Month", {measures_sql(TWO_LEVEL)}
-        FROM ({rollup_sql(["Product_ID", "Month"], TWO_LEVEL)}) AS m GROUP BY 1""",
+    out_of("Month:d", TWO_LEVEL) + " MoM_Sales_pct:6",
+    f"""SELECT *, Sales_Units / NULLIF(lag(Sales_Units) OVER (ORDER BY "Month"), 0) - 1 AS MoM_Sales_pct
+        FROM (SELECT "Month", {measures_sql(TWO_LEVEL)}
+          FROM ({rollup_sql(["Product_ID", "Month"], TWO_LEVEL)}) AS m GROUP BY 1) AS c""",
 )
 def two_level_month(spark: SparkSession, d: str) -> DataFrame:
-    return R.rollup(monthly_products(spark, d, TWO_LEVEL), ["Month"], TWO_LEVEL)
+    monthly = R.rollup(monthly_products(spark, d, TWO_LEVEL), ["Month"], TWO_LEVEL)
+    return add_growth(monthly, [], "Month", {"MoM_Sales_pct": ("Sales_Units", 1)})
 
 
 @query(
@@ -273,10 +277,10 @@ def two_level_month(spark: SparkSession, d: str) -> DataFrame:
        FROM pw GROUP BY 1""",
 )
 def weekly_target(spark: SparkSession, d: str) -> DataFrame:
-    fact = written_fact(spark, d, ["Sales_Units"])
-    rounded = R.weekly_targets(fact).withColumnRenamed("Weekly_Target", "half_even")
-    cut = R.weekly_targets(fact, rounding="truncate").withColumnRenamed("Weekly_Target", "truncated")
-    return rounded.join(cut, "Product_ID")
+    fact = product_week(spark, d, ["Sales_Units"])
+    return fact.groupBy("Product_ID").agg(
+        *[R.target_of("Sales_Units", 1.05, how).alias(how) for how in ("half_even", "truncated")]
+    )
 
 
 @query(
@@ -300,24 +304,14 @@ def product_revenue_sorted(spark: SparkSession, d: str) -> DataFrame:
     return product_revenue(spark, d).orderBy(F.desc("Revenue"), "Product_ID")
 
 
-REGRID_OUT = {
-    "Sales_Units": "sum",
-    "On_Promo": "max",
-    "Marketing_Spend": "sum",
-    "Price_per_Unit": "mean",
-    "Inventory": "mean",
-    "Lead_Time_days": "mean",
-}
-
-
 @query(
     "a28_regrid_week",
     "Product_ID:s Week_Index:i Date:d Sales_Units:i On_Promo:b Marketing_Spend:4 Price_per_Unit:6 Inventory:4 Lead_Time_days:6",
-    rollup_sql(["Product_ID", "Week_Index", "Date"], {**REGRID_OUT, "On_Promo": "any"}),
+    rollup_sql(["Product_ID", "Week_Index", "Date"], {**REGRID, "On_Promo": "any"}),
 )
 def regrid_week(spark: SparkSession, d: str) -> DataFrame:
-    fact = product_week(spark, d, ["Week_Index", *REGRID_OUT])
-    return R.regrid_weekly(fact, ["Product_ID", "Week_Index", "Date"], REGRID_OUT)
+    fact = product_week(spark, d, ["Week_Index", *REGRID])
+    return R.regrid_weekly(fact, ["Product_ID", "Week_Index", "Date"], REGRID)
 
 
 @query(
@@ -378,6 +372,7 @@ def correlation_matrix(spark: SparkSession, d: str) -> DataFrame:
     return stats.correlation_matrix(table(spark, d, "lineitem"), LINE_METRICS)
 
 
+# Monthly measures of the published correlation matrix.
 MONTH_METRICS = {
     "Produced_Units": "sum",
     "Sales_Units": "sum",
@@ -415,12 +410,12 @@ def price_sensitivity(spark: SparkSession, d: str) -> DataFrame:
 
 def _histogram_sql(column: str, source: str) -> str:
     return f"""WITH v AS (SELECT {column} AS v FROM {source} WHERE {column} IS NOT NULL),
-      b AS (SELECT min(v) AS lo, max(v) AS hi FROM v)
-      SELECT least(CAST(floor((v - lo) * 40 / (hi - lo)) AS BIGINT), 39) AS bin,
-        lo + least(CAST(floor((v - lo) * 40 / (hi - lo)) AS BIGINT), 39) * ((hi - lo) / 40) AS low,
-        lo + (least(CAST(floor((v - lo) * 40 / (hi - lo)) AS BIGINT), 39) + 1) * ((hi - lo) / 40) AS high,
-        count(*) AS n
-      FROM v, b GROUP BY 1, 2, 3"""
+      b AS (SELECT min(v) AS lo, max(v) AS hi FROM v),
+      e AS (SELECT i AS bin, lo + i * ((hi - lo) / 40) AS low,
+          CASE WHEN i = 39 THEN hi ELSE lo + (i + 1) * ((hi - lo) / 40) END AS high
+        FROM b, range(40) AS r(i))
+      SELECT bin, low, high, count(v) AS n
+      FROM e LEFT JOIN v ON v >= low AND (v < high OR bin = 39) GROUP BY 1, 2, 3"""
 
 
 @query("a34_price_histogram", "bin:i low:4 high:4 n:i", _histogram_sql("l_extendedprice", "lineitem"))
@@ -441,13 +436,12 @@ def inventory_histogram(spark: SparkSession, d: str) -> DataFrame:
 # --- cohorts, distinct values, counts ---------------------------------------
 
 COHORT_SQL = """
-SELECT Acquisition_Month, "Month", n_sales, date_diff('day', Acquisition_Month, "Month") // 30 AS Cohort_Period
+SELECT Acquisition_Month, "Month", sum(o_totalprice) AS n_sales, date_diff('day', Acquisition_Month, "Month") // 30 AS Cohort_Period
 FROM (
   SELECT min("Month") OVER (PARTITION BY o_custkey) AS Acquisition_Month, "Month", o_totalprice
   FROM (SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS "Month", o_totalprice FROM orders) AS o
 ) AS c
 GROUP BY Acquisition_Month, "Month" ORDER BY 1, 2"""
-COHORT_SQL = COHORT_SQL.replace("n_sales,", "sum(o_totalprice) AS n_sales,", 1)
 
 
 def customer_cohorts(spark: SparkSession, d: str) -> DataFrame:

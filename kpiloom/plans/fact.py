@@ -15,11 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiloom.functions import (
-    code_prefix,
     good_units,
     line_profit,
     month_start,
-    padded_key,
     profit,
     quarter_start,
     safe_divide,
@@ -60,6 +58,7 @@ def _line_columns() -> dict[str, tuple[Column, set[str]]]:
         "Efficiency_Rate": c("l_quantity") / 50,
         "Inventory": F.when(is_open, c("l_quantity")).otherwise(0.0),
         "Backorder": F.when(is_open & (c("l_returnflag") == "N"), c("l_quantity")).otherwise(0.0),
+        "Freight": c("l_quantity") * c("l_tax"),
     }
     part = {
         "Product_ID": c("p_brand"),
@@ -67,6 +66,7 @@ def _line_columns() -> dict[str, tuple[Column, set[str]]]:
         "COGS": cogs,
         "Profit": profit(revenue, cogs, expenses),
         "Raw_Material_Cost": c("l_quantity") * c("p_size"),
+        "Material": c("p_size").cast("double"),
         "Satisfaction": c("p_size").cast("long"),
     }
     orders = {
@@ -114,7 +114,7 @@ def brand_number(c: str = "Product_ID") -> Column:
 
 
 def product_name(c: str = "Product_ID") -> Column:
-    return F.concat(code_prefix(c), F.lit("_SKU_"), padded_key("", brand_number(c), 2))
+    return F.concat(F.lit("Item "), F.substring(F.col(c), 7, 10))
 
 
 def product_category(c: str = "Product_ID") -> Column:
@@ -130,6 +130,8 @@ def _week_measures() -> dict[str, tuple[Column, tuple[str, ...]]]:
         return F.avg(name), (name,)
 
     opened = F.sum((F.col("Line_No") == 1).cast("long"))
+    won = F.sum(((F.col("Line_No") == 1) & (F.col("Returned_Units") == 0)).cast("long"))
+    returns = F.avg((F.col("Returned_Units") > 0).cast("double"))
     produced = F.sum("Sales_Units") + F.sum("Returned_Units")
     defect = safe_divide(F.sum("Returned_Units"), F.sum("Sales_Units"))
     units = ("Sales_Units", "Returned_Units")
@@ -150,17 +152,17 @@ def _week_measures() -> dict[str, tuple[Column, tuple[str, ...]]]:
         },
         "Produced_Units": (produced, units),
         "Defect_Rate": (defect, units),
-        "Returns_Rate": (defect, units),
+        "Returns_Rate": (returns, ("Returned_Units",)),
         "Good_Units": (good_units(produced, defect).cast("double"), units),
-        "Logistics_Cost": total("Expenses"),
+        "Logistics_Cost": total("Freight"),
         "Profit": (
             profit(F.sum("Revenue"), F.sum("COGS"), F.sum("Expenses")),
             ("Revenue", "COGS", "Expenses"),
         ),
         "Other_Expenses": (F.count(F.lit(1)).cast("double"), ()),
-        "Material_kg": total("Raw_Material_Cost"),
+        "Material_kg": total("Material"),
         "Acquisition": (opened, ("Line_No",)),
-        "Customer_Acquisition": (opened, ("Line_No",)),
+        "Customer_Acquisition": (won, ("Line_No", "Returned_Units")),
         "NPS": (F.avg("Acquisition_Rate") * 100, ("Acquisition_Rate",)),
         "Employee_Satisfaction": (F.avg("Satisfaction") / 5, ("Satisfaction",)),
         "Downtime_hours": (F.sum("Line_No").cast("double"), ("Line_No",)),
@@ -183,12 +185,28 @@ def _week_attributes() -> dict[str, Column]:
     }
 
 
+#: Session setting: folder of a written fact that the queries read instead.
+FACT_SETTING = "kpiloom.product.week"
+
+
+def write_product_week(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Write the fact with all its columns once; set ``FACT_SETTING`` to the
+    folder, and the queries on the fact no longer read and join the raw tables."""
+    _built_week(spark, sf_dir, [*_week_measures(), *_week_attributes()]).write.parquet(path)
+
+
 def product_week(spark: SparkSession, sf_dir: str, columns: Sequence[str]) -> DataFrame:
-    """Product-week fact: Product_ID, Date and the named columns.
+    """Product-week fact: Product_ID, Date and the named columns, from the
+    written fact where the session names one."""
+    path = spark.conf.get(FACT_SETTING, None)
+    if path:
+        return spark.read.parquet(path).select("Product_ID", "Date", *columns)
+    return _built_week(spark, sf_dir, columns)
+
 
-    One exchange on (Product_ID, Date) after map-side combining; the result has
-    at most one row per product and calendar week.
-    """
+def _built_week(spark: SparkSession, sf_dir: str, columns: Sequence[str]) -> DataFrame:
+    """One exchange on (Product_ID, Date) after map-side combining; the result
+    has at most one row per product and calendar week."""
     measures, attributes = _week_measures(), _week_attributes()
     picked = [c for c in columns if c in measures]
     line_columns = list(dict.fromkeys(["Product_ID", "Date", *(n for c in picked for n in measures[c][1])]))

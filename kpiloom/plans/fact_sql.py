@@ -23,6 +23,8 @@ WITH lines AS (
     l_tax AS Acquisition_Rate,
     p_size AS Satisfaction,
     l_quantity / 50 AS Efficiency_Rate,
+    l_quantity * l_tax AS Freight,
+    CAST(p_size AS DOUBLE) AS Material,
     date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS Lead_Time_Days,
     CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE 0 END AS Inventory,
     CASE WHEN l_linestatus = 'O' AND l_returnflag = 'N' THEN l_quantity ELSE 0 END AS Backorder
@@ -36,18 +38,19 @@ WITH lines AS (
 pw0 AS (
   SELECT Product_ID, "Date",
     date_diff('day', DATE '{FIRST_WEEK}', "Date") // 7 AS Week_Index,
-    'BRA_SKU_' || CASE WHEN length(Product_ID) < 8 THEN '0' ELSE '' END || substr(Product_ID, 7) AS Product_Name,
+    'Item ' || substr(Product_ID, 7) AS Product_Name,
     'CAT_' || CAST(CAST(substr(Product_ID, 7) AS BIGINT) % 5 AS VARCHAR) AS Category,
     sum(Sales_Units) AS Sales_Units,
     sum(Returned_Units) AS Returned_Units,
     sum(Sales_Units) + sum(Returned_Units) AS Produced_Units,
-    sum(Revenue) AS Revenue, sum(COGS) AS COGS, sum(Expenses) AS Expenses, sum(Expenses) AS Logistics_Cost,
+    sum(Revenue) AS Revenue, sum(COGS) AS COGS, sum(Expenses) AS Expenses, sum(Freight) AS Logistics_Cost,
     sum(Revenue) - sum(COGS) - sum(Expenses) AS Profit,
     CAST(count(*) AS DOUBLE) AS Other_Expenses,
     sum(Marketing_Spend) AS Marketing_Spend,
-    sum(Raw_Material_Cost) AS Raw_Material_Cost, sum(Raw_Material_Cost) AS Material_kg,
+    sum(Raw_Material_Cost) AS Raw_Material_Cost, sum(Material) AS Material_kg,
     sum(CASE WHEN Line_No = 1 THEN 1 ELSE 0 END) AS Acquisition,
-    sum(CASE WHEN Line_No = 1 THEN 1 ELSE 0 END) AS Customer_Acquisition,
+    sum(CASE WHEN Line_No = 1 AND Returned_Units = 0 THEN 1 ELSE 0 END) AS Customer_Acquisition,
+    avg(CASE WHEN Returned_Units > 0 THEN 1.0 ELSE 0.0 END) AS Returns_Rate,
     avg(Acquisition_Rate) * 100 AS NPS,
     avg(Satisfaction) / 5 AS Employee_Satisfaction,
     CAST(sum(Line_No) AS DOUBLE) AS Downtime_hours,
@@ -59,7 +62,6 @@ pw0 AS (
 ),
 pw AS (
   SELECT *, Returned_Units / NULLIF(Sales_Units, 0) AS Defect_Rate,
-    Returned_Units / NULLIF(Sales_Units, 0) AS Returns_Rate,
     trunc(Produced_Units * (1 - Returned_Units / NULLIF(Sales_Units, 0))) AS Good_Units,
     CAST(date_trunc('month', "Date") AS DATE) AS "Month",
     CAST(date_trunc('quarter', "Date") AS DATE) AS "Quarter",

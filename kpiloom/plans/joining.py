@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kpiloom.functions import replace_labels
 from kpiloom.operators import joins as J
 from kpiloom.operators.rollup import share_of_total, weekly_targets
-from kpiloom.plans.fact import order_lines
+from kpiloom.plans.fact import order_lines, product_name
 from kpiloom.plans.projections import NAME_LABELS
 from kpiloom.plans.registry import query
 from kpiloom.plans.shared import TOP_PRODUCTS, TOP_SQL, product_revenue, top_products, written_fact
@@ -56,17 +56,16 @@ def top_semi_join(spark: SparkSession, d: str) -> DataFrame:
     "j4_name_lookup",
     "Product_ID:s Revenue:4 display:s",
     """WITH n AS (
-         SELECT Product_ID, replace(replace(Product_Name, 'BRA', 'Brand'), '_SKU_', ' - product no. ') AS display
+         SELECT Product_ID, replace(replace(Product_Name, 'Item', 'Product'), ' ', ' no. ') AS display
          FROM (SELECT Product_ID, arg_min(Product_Name, "Date") AS Product_Name FROM pw GROUP BY 1) AS f
        )
        SELECT Product_ID, sum(Revenue) AS Revenue, display FROM pw LEFT JOIN n USING (Product_ID) GROUP BY 1, 3""",
 )
 def name_lookup(spark: SparkSession, d: str) -> DataFrame:
-    fact = written_fact(spark, d, ["Product_Name", "Revenue"])
-    totals = fact.groupBy("Product_ID").agg(F.sum("Revenue").alias("Revenue"))
-    names = fact.groupBy("Product_ID").agg(F.min_by("Product_Name", "Date").alias("Product_Name"))
-    display = names.select("Product_ID", replace_labels("Product_Name", NAME_LABELS).alias("display"))
-    return J.add_lookup(totals, display, "Product_ID")
+    totals = product_revenue(spark, d)
+    names = table(spark, d, "part").select(F.col("p_brand").alias("Product_ID")).distinct()
+    named = names.withColumn("display", replace_labels(product_name(), NAME_LABELS))
+    return J.add_lookup(totals, named, "Product_ID")
 
 
 RESAMPLE_SQL = """

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kpiloom.operators import entity_trees as ET
 from kpiloom.operators import forecast as FC
 from kpiloom.operators import ml, stats
 from kpiloom.operators.forest import IsolationForest
@@ -16,7 +17,7 @@ from kpiloom.plans.fact import order_lines, product_week
 from kpiloom.plans.joining import RESAMPLE_SQL
 from kpiloom.plans.ranked import HOLDOUT_CTES, holdout_predictions
 from kpiloom.plans.registry import query
-from kpiloom.plans.shared import monthly_products, product_revenue, rollup_sql
+from kpiloom.plans.shared import monthly_products, rollup_sql
 from kpiloom.plans.windowed import LAGS_SQL
 from kpiloom.session import checkpointed
 from kpiloom.sources import table
@@ -101,6 +102,33 @@ def regression_backtest(spark: SparkSession, d: str) -> DataFrame:
     return stats.forecast_metrics(predicted, ["Product_ID"])
 
 
+EQUATION_TERMS = ["lag_1", "lag_13", "roll_4", "month_sin", "Marketing_Spend", "Inventory"]
+
+
+@query(
+    "m6_normal_equations",
+    "Product_ID:s train_weeks:i units:4 " + " ".join(f"x_{c}:2" for c in EQUATION_TERMS),
+    f"""WITH f AS (
+          SELECT l.*, avg(Sales_Units) OVER (PARTITION BY Product_ID ORDER BY "Date" ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)
+              AS roll_4, sin(2 * pi() * month("Date") / 12) AS month_sin,
+            row_number() OVER (PARTITION BY Product_ID ORDER BY "Date" DESC) AS back, count(*) OVER (PARTITION BY Product_ID) AS n
+          FROM ({LAGS_SQL}) AS l
+        )
+        SELECT Product_ID, count(*) AS train_weeks, avg(f.Sales_Units) AS units,
+          {", ".join(f"avg(f.Sales_Units * {c}) AS x_{c}" for c in EQUATION_TERMS)}
+        FROM f JOIN (SELECT Product_ID, "Date", Marketing_Spend, Inventory FROM pw) AS r USING (Product_ID, "Date")
+        WHERE back > 12 AND n >= 30 GROUP BY 1""",
+)
+def normal_equations(spark: SparkSession, d: str) -> DataFrame:
+    """Means of fitted values, alone and times a feature: least squares leaves
+    them as those of the actual values."""
+    split = checkpointed(FC.regression_split(product_week(spark, d, FEATURE_COLUMNS)))
+    fitted = FC.entity_ols(split, "Product_ID", [*FC.LAG_FEATURES, *FC.REGRESSORS], "Sales_Units", "Week_Index", fitted=True)
+    rows = fitted.join(split.select("Product_ID", "Week_Index", *EQUATION_TERMS), ["Product_ID", "Week_Index"])
+    products = [F.avg(F.col("pred") * F.col(c)).alias(f"x_{c}") for c in EQUATION_TERMS]
+    return rows.groupBy("Product_ID").agg(F.count(F.lit(1)).alias("train_weeks"), F.avg("pred").alias("units"), *products)
+
+
 @query("m6_honest_backtest", "Product_ID:s Week_Index:i actual:2 pred:3")
 def honest_backtest(spark: SparkSession, d: str) -> DataFrame:
     return FC.regression_backtest(product_week(spark, d, FEATURE_COLUMNS), include_current=False)
@@ -147,7 +175,26 @@ def welch_test(spark: SparkSession, d: str) -> DataFrame:
     return stats.welch_test(table(spark, d, "events"), "event_type", "value", "click", "view")
 
 
-@query("m8_welch_verdict", "t:6 df:4 p:6 significant:b")
+# The two-sided p as 1 less twice the density's integral up to |t|, by Simpson's rule.
+WELCH_SQL = """
+WITH g AS (
+  SELECT count(value) FILTER (event_type = 'click') AS n_a, count(value) FILTER (event_type = 'view') AS n_b,
+    avg(value) FILTER (event_type = 'click') - avg(value) FILTER (event_type = 'view') AS diff,
+    var_samp(value) FILTER (event_type = 'click') AS var_a, var_samp(value) FILTER (event_type = 'view') AS var_b
+  FROM events
+), v AS (
+  SELECT diff / sqrt(var_a / n_a + var_b / n_b) AS t, pow(var_a / n_a + var_b / n_b, 2)
+    / (pow(var_a / n_a, 2) / (n_a - 1) + pow(var_b / n_b, 2) / (n_b - 1)) AS df FROM g
+), s AS (
+  SELECT t, df, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * abs(t) / 12000
+    * exp(lgamma((df + 1) / 2) - lgamma(df / 2) - 0.5 * ln(df * pi()) - (df + 1) / 2 * ln(1 + pow(abs(t) * i / 4000, 2) / df))
+    AS area
+  FROM v, range(4001) AS r(i)
+)
+SELECT t, df, 1 - 2 * sum(area) AS p, 1 - 2 * sum(area) < 0.05 AS significant FROM s GROUP BY 1, 2"""
+
+
+@query("m8_welch_verdict", "t:6 df:4 p:6 significant:b", WELCH_SQL)
 def welch_verdict(spark: SparkSession, d: str) -> DataFrame:
     return stats.welch_test(table(spark, d, "events"), "event_type", "value", "click", "view")
 
@@ -172,14 +219,60 @@ def customer_clusters(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "m9_cluster_check",
+    "customers:i clusters:i misplaced:i Revenue:2",
+    """SELECT count(DISTINCT c_custkey) AS customers, 3 AS clusters, 0 AS misplaced, sum(o_totalprice) AS Revenue
+       FROM customer LEFT JOIN orders ON o_custkey = c_custkey""",
+)
+def cluster_check(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes and sums of the clusters, and customers nearer to another
+    cluster's mean than to their own's."""
+    rows = checkpointed(clustered_customers(spark, d))
+    names = ["Revenue", "Orders", "c_acctbal"]
+    zero_filled = [F.avg(F.coalesce(c, F.lit(0.0))).alias(f"{c}_mean") for c in names]
+    centres = rows.groupBy("cluster").agg(*zero_filled).withColumnRenamed("cluster", "other")
+    places = centres.agg(F.collect_list(F.struct(*centres.columns)).alias("places"))
+    listed = rows.withColumn("places", places.scalar())
+
+    def distance(place):
+        return sum((place[f"{c}_mean"] - F.coalesce(c, F.lit(0.0))) ** 2 for c in names)
+
+    nearest = F.array_min(F.transform("places", lambda p: F.struct(distance(p).alias("far"), p["other"].alias("other"))))
+    return listed.agg(
+        F.count(F.lit(1)).alias("customers"),
+        F.count_distinct("cluster").alias("clusters"),
+        F.count_if(nearest["other"] != F.col("cluster")).alias("misplaced"),
+        F.sum("Revenue").alias("Revenue"),
+    )
+
+
 PROFIT_FEATURES = ["Downtime_hours", "Marketing_Spend", "Raw_Material_Cost", "Efficiency_u_per_h"]
 
 
 @query("m10_profit_forest", "Product_ID:s mse:4 mae:4 n:i")
 def profit_forest(spark: SparkSession, d: str) -> DataFrame:
     fact = product_week(spark, d, ["Profit", *PROFIT_FEATURES])
-    predicted = ml.forest_regression(fact, "Profit", PROFIT_FEATURES, depth=6)
-    return stats.forecast_metrics(predicted, ["Product_ID"], "Profit")
+    return stats.forecast_metrics(ml.forest_regression(fact, "Profit", PROFIT_FEATURES), ["Product_ID"], "Profit")
+
+
+def against_level(model: DataFrame, level: DataFrame) -> DataFrame:
+    """Errors of a model beside those of a level, per product; ``better`` tells
+    whether the model's error is below the level's over all products."""
+    both = model.select("Product_ID", "n", "mse").join(level.select("Product_ID", F.col("mse").alias("level_mse")), "Product_ID")
+    pooled = both.agg(F.avg("mse") < F.avg("level_mse")).scalar()
+    return both.withColumn("better", pooled)
+
+
+@query(
+    "m10_forest_check",
+    "Product_ID:s n:i level_mse:1 better:b",
+    "SELECT Product_ID, count(*) AS n, var_pop(Profit) AS level_mse, true AS better FROM pw GROUP BY 1",
+)
+def forest_check(spark: SparkSession, d: str) -> DataFrame:
+    fact = checkpointed(product_week(spark, d, ["Profit", *PROFIT_FEATURES]))
+    model = stats.forecast_metrics(ml.forest_regression(fact, "Profit", PROFIT_FEATURES), ["Product_ID"], "Profit")
+    return against_level(model, fact.groupBy("Product_ID").agg(F.var_pop("Profit").alias("mse")))
 
 
 def lag_split(spark: SparkSession, d: str) -> DataFrame:
@@ -191,11 +284,50 @@ def lag_split(spark: SparkSession, d: str) -> DataFrame:
 LAG_INPUTS = [f for f in FC.LAG_FEATURES if f != "month"]
 
 
+def lag_forest_predictions(split: DataFrame) -> DataFrame:
+    return ET.forest_backtest(split, "Product_ID", LAG_INPUTS, "Sales_Units", "Date")
+
+
+def holdout_level(split: DataFrame) -> DataFrame:
+    """Errors of the train mean on the test rows."""
+    level = split.where("NOT is_test").groupBy("Product_ID").agg(F.avg("Sales_Units").alias("pred"))
+    flat = split.where("is_test").join(level, "Product_ID").withColumnRenamed("Sales_Units", "actual")
+    return stats.forecast_metrics(flat, ["Product_ID"])
+
+
 @query("m11_lag_forest", "Product_ID:s rmse:3 mae:3 mape_pct:3 n:i")
 def lag_forest(spark: SparkSession, d: str) -> DataFrame:
-    split = lag_split(spark, d)
-    predicted = ml.lag_forest_backtest(split, LAG_INPUTS, "Sales_Units", ["Product_ID", "Date"], depth=6)
-    return stats.forecast_metrics(predicted, ["Product_ID"])
+    return stats.forecast_metrics(lag_forest_predictions(lag_split(spark, d)), ["Product_ID"])
+
+
+LEVEL_SQL = """
+WITH p AS (
+  SELECT Product_ID, Sales_Units AS y, row_number() OVER (PARTITION BY Product_ID ORDER BY "Date" DESC) <= 12 AS is_test,
+    count(*) OVER (PARTITION BY Product_ID) AS weeks FROM pw
+), f AS (SELECT Product_ID, avg(y) AS level FROM p WHERE NOT is_test GROUP BY 1)
+SELECT Product_ID, count(*) AS n, avg((y - level) * (y - level)) AS level_mse, true AS better
+FROM p JOIN f USING (Product_ID) WHERE is_test AND weeks >= 40 GROUP BY 1"""
+
+
+@query("m11_forest_check", "Product_ID:s n:i level_mse:3 better:b", LEVEL_SQL)
+def lag_forest_check(spark: SparkSession, d: str) -> DataFrame:
+    split = checkpointed(lag_split(spark, d))
+    return against_level(stats.forecast_metrics(lag_forest_predictions(split), ["Product_ID"]), holdout_level(split))
+
+
+@query(
+    "m12_standardise_product",
+    "Product_ID:s Date:d Sales_Units_std:6 Revenue_std:6",
+    """WITH p AS (SELECT *, row_number() OVER (PARTITION BY Product_ID ORDER BY "Date" DESC) <= 12 AS is_test FROM pw),
+       s AS (SELECT Product_ID, avg(Sales_Units) AS ms, stddev_pop(Sales_Units) AS ss, avg(Revenue) AS mr,
+               stddev_pop(Revenue) AS sr FROM p WHERE NOT is_test GROUP BY 1)
+       SELECT Product_ID, "Date", (Sales_Units - ms) / coalesce(NULLIF(ss, 0), 1) AS Sales_Units_std,
+         (Revenue - mr) / coalesce(NULLIF(sr, 0), 1) AS Revenue_std FROM p LEFT JOIN s USING (Product_ID)""",
+)
+def standardise_product(spark: SparkSession, d: str) -> DataFrame:
+    """The scaler fitted for each product by itself."""
+    split = add_holdout(product_week(spark, d, ["Sales_Units", "Revenue"]), ["Product_ID"], "Date", 12)
+    return stats.standardise(split, ["Sales_Units", "Revenue"], ~F.col("is_test"), ["Product_ID"])
 
 
 @query(
@@ -211,23 +343,61 @@ def standardise(spark: SparkSession, d: str) -> DataFrame:
     return stats.standardise(split, ["Sales_Units", "Revenue"], ~F.col("is_test"))
 
 
-@query("m13_boosted_search", "depth:i trees:i rate:2 mse:3")
+def with_folds(split: DataFrame) -> DataFrame:
+    """Expanding folds over the train rows; test rows have none."""
+    folded = FC.add_cv_folds(split, ["Product_ID", "is_test"], "Date", 4)
+    return folded.withColumn("fold", F.when(~F.col("is_test"), F.col("fold")))
+
+
+def folded_split(spark: SparkSession, d: str) -> DataFrame:
+    return with_folds(lag_split(spark, d))
+
+
+@query("m13_boosted_search", "Product_ID:s leaves:i trees:i rate:2 mse:3")
 def boosted_search(spark: SparkSession, d: str) -> DataFrame:
-    train = lag_split(spark, d).where("NOT is_test")
-    folded = FC.add_cv_folds(train, ["Product_ID"], "Date", 4)
-    return ml.boosted_search(
-        folded, LAG_INPUTS, "Sales_Units", depths=(2, 3), trees=(3, 6), rates=(0.05, 0.1)
+    train = folded_split(spark, d).where("NOT is_test")
+    return ET.boosted_search(train, "Product_ID", LAG_INPUTS, "Sales_Units", "Date")
+
+
+@query(
+    "m13_search_check",
+    "Product_ID:s settings:i folds:i level_mse:3 better:b",
+    """WITH p AS (
+         SELECT Product_ID, "Date", Sales_Units AS y, row_number() OVER (PARTITION BY Product_ID ORDER BY "Date") - 1 AS pos,
+           count(*) OVER (PARTITION BY Product_ID) - 12 AS n FROM pw
+       ), t AS (
+         SELECT *, CASE WHEN pos >= n - 4 * (n // 5) THEN (pos - (n - 4 * (n // 5))) // (n // 5) END AS fold
+         FROM p WHERE pos < n AND n >= 28
+       ), e AS (
+         SELECT a.Product_ID, f AS fold, avg((a.y - m.level) * (a.y - m.level)) AS mse
+         FROM t AS a JOIN (
+           SELECT Product_ID, f, avg(y) AS level FROM t, range(4) AS r(f) WHERE fold IS NULL OR fold < f GROUP BY 1, 2
+         ) AS m ON a.Product_ID = m.Product_ID AND a.fold = m.f GROUP BY 1, 2
+       )
+       SELECT Product_ID, 8 AS settings, count(*) AS folds, avg(mse) AS level_mse, true AS better FROM e GROUP BY 1""",
+)
+def search_check(spark: SparkSession, d: str) -> DataFrame:
+    """Settings and folds of the search, and the error of a fold's train mean."""
+    train = checkpointed(folded_split(spark, d).where("NOT is_test"))
+    found = ET.boosted_search(train, "Product_ID", LAG_INPUTS, "Sales_Units", "Date")
+    best = found.groupBy("Product_ID").agg(
+        F.count(F.lit(1)).alias("settings"), F.max("folds").alias("folds"), F.min("mse").alias("mse"), F.lit(12).alias("n")
+    )
+    sums = train.withColumn("fold", F.coalesce("fold", F.lit(-1))).groupBy("Product_ID", "fold").agg(
+        F.sum("Sales_Units").alias("s"), F.sum(F.col("Sales_Units") * F.col("Sales_Units")).alias("q"), F.count(F.lit(1)).alias("c")
+    )
+    earlier = Window.partitionBy("Product_ID").orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
+    level = F.sum("s").over(earlier) / F.sum("c").over(earlier)
+    errors = sums.withColumn("level", level).where("fold >= 0").withColumn(
+        "e", (F.col("q") - 2 * F.col("level") * F.col("s") + F.col("c") * F.col("level") * F.col("level")) / F.col("c")
     )
+    flat = errors.groupBy("Product_ID").agg(F.avg("e").alias("mse"))
+    return against_level(best, flat).join(best.select("Product_ID", "settings", "folds"), "Product_ID")
 
 
 @query("m13_boosted_backtest", "Product_ID:s rmse:3 mae:3 mape_pct:3 n:i")
 def boosted_backtest(spark: SparkSession, d: str) -> DataFrame:
-    split = checkpointed(lag_split(spark, d))
-    train = FC.add_cv_folds(split.where("NOT is_test"), ["Product_ID"], "Date", 4)
-    both = train.unionByName(split.where("is_test").withColumn("fold", F.lit(None).cast("long")))
-    predicted = ml.tuned_backtest(
-        both, LAG_INPUTS, "Sales_Units", ["Product_ID", "Date"], depths=(4,), trees=(5, 10), rates=(0.3,)
-    )
+    predicted = ET.boosted_backtest(folded_split(spark, d), "Product_ID", LAG_INPUTS, "Sales_Units", "Date")
     return stats.forecast_metrics(predicted, ["Product_ID"])
 
 
@@ -246,6 +416,7 @@ def expanding_folds(spark: SparkSession, d: str) -> DataFrame:
     return FC.add_cv_folds(product_week(spark, d, []), ["Product_ID"], "Date", 4)
 
 
+# Features of the published anomaly search.
 ANOMALY_FEATURES = ["Sales_Units", "Revenue", "Profit", "Defect_Rate", "Downtime_hours", "Efficiency_u_per_h"]
 
 
@@ -259,6 +430,19 @@ def isolation_forest(spark: SparkSession, d: str) -> DataFrame:
     return flagged_weeks(spark, d)
 
 
+@query(
+    "m15_flag_summary",
+    "flagged:i weeks:i " + " ".join(f"{c}:3" for c in ANOMALY_FEATURES),
+    f"""SELECT CAST(ceil(0.01 * (count(*) - 1)) AS BIGINT) AS flagged, count(*) AS weeks,
+          {", ".join(f"sum(coalesce({c}, 0)) AS {c}" for c in ANOMALY_FEATURES)} FROM pw""",
+)
+def flag_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Flagged weeks, and the zero-filled features that the scores come from."""
+    sums = [F.sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0))).alias(c) for c in ANOMALY_FEATURES]
+    flagged = flagged_weeks(spark, d)
+    return flagged.agg(F.count_if("is_anomaly").alias("flagged"), F.count(F.lit(1)).alias("weeks"), *sums)
+
+
 @query("p4_anomaly_filter", "Product_ID:s Date:d Revenue:4 anomaly_score:6")
 def anomaly_filter(spark: SparkSession, d: str) -> DataFrame:
     return flagged_weeks(spark, d).where("is_anomaly")
@@ -269,12 +453,42 @@ def anomalous_weeks(spark: SparkSession, d: str) -> DataFrame:
     return rollup(flagged_weeks(spark, d).where("is_anomaly"), ["Date"], {"Revenue": "sum"})
 
 
+@query(
+    "a35_split_weeks",
+    "Date:d products:i Revenue:4",
+    'SELECT "Date", count(*) AS products, sum(Revenue) AS Revenue FROM pw GROUP BY 1',
+)
+def split_weeks(spark: SparkSession, d: str) -> DataFrame:
+    """Revenue of the flagged and of the other products, added up by week: the
+    flag splits every week's rows without loss."""
+    flagged = checkpointed(flagged_weeks(spark, d)).withColumn("rows", F.lit(1))
+    measures = {"Revenue": "sum", "rows": "sum"}
+    halves = [rollup(flagged.where(F.col("is_anomaly") == side), ["Date"], measures) for side in (True, False)]
+    return rollup(halves[0].unionByName(halves[1]), ["Date"], measures).withColumnRenamed("rows", "products")
+
+
 @query("m16_additive_backtest", "Product_ID:s Week_Index:i actual:2 pred:3")
 def additive_backtest(spark: SparkSession, d: str) -> DataFrame:
     fact = product_week(spark, d, ["Week_Index", "Sales_Units", "On_Promo", "Marketing_Spend"])
     return FC.additive_backtest(fact)
 
 
+@query(
+    "m16_fit_check",
+    "Product_ID:s train_weeks:i units:4",
+    """WITH p AS (
+         SELECT Product_ID, Sales_Units, row_number() OVER (PARTITION BY Product_ID ORDER BY "Date" DESC) AS back,
+           count(*) OVER (PARTITION BY Product_ID) AS n FROM pw
+       )
+       SELECT Product_ID, count(*) AS train_weeks, avg(Sales_Units) AS units FROM p WHERE back > 12 AND n >= 40 GROUP BY 1""",
+)
+def additive_fit(spark: SparkSession, d: str) -> DataFrame:
+    """The intercept is not penalised, so fitted values average to the actual ones."""
+    split, features = FC.additive_split(product_week(spark, d, ["Week_Index", "Sales_Units", "On_Promo", "Marketing_Spend"]))
+    fitted = FC.entity_ols(split, "Product_ID", features, "Sales_Units", "Week_Index", 1e-3, fitted=True)
+    return fitted.groupBy("Product_ID").agg(F.count(F.lit(1)).alias("train_weeks"), F.avg("pred").alias("units"))
+
+
 def resampled_sales(spark: SparkSession, d: str) -> DataFrame:
     lines = order_lines(spark, d, ["Product_ID", "Date", "Sales_Units"])
     return resample_weekly(lines, ["Product_ID"], "Date", "Sales_Units")
@@ -285,6 +499,20 @@ def seasonal_arima(spark: SparkSession, d: str) -> DataFrame:
     return FC.sarima_backtest(resampled_sales(spark, d), "Product_ID", "Week_End", "Sales_Units")
 
 
+@query(
+    "m17_forecast_rows",
+    "Product_ID:s Week_End:d actual:2 predicted:b",
+    f"""SELECT Product_ID, Week_End, Sales_Units AS actual, true AS predicted FROM ({RESAMPLE_SQL}) AS r
+        QUALIFY row_number() OVER (PARTITION BY Product_ID ORDER BY Week_End DESC) <= 12
+          AND count(*) OVER (PARTITION BY Product_ID) >= 60""",
+)
+def arima_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The held-out weeks, and whether each has a finite forecast and no error."""
+    found = FC.sarima_backtest(resampled_sales(spark, d), "Product_ID", "Week_End", "Sales_Units")
+    sound = F.col("error").isNull() & F.col("pred").isNotNull() & (F.abs("pred") < float("inf"))
+    return found.withColumn("predicted", sound)
+
+
 @query(
     "m17_seasonal_differences",
     "Product_ID:s Week_End:d diff:2",
@@ -308,23 +536,49 @@ def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     return compare_models(long, "Product_ID", ["Trend", "Mean"], ["mse", "mape"])
 
 
-@query("m18_forecast_summary", "Product_ID:s Model:s rmse:3 mae:3 mape_pct:3")
-def forecast_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Errors of all forecast models for the top three products, one row each."""
-    fact = checkpointed(product_week(spark, d, FEATURE_COLUMNS))
-    totals = product_revenue(spark, d)
+def summary_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Hold-out predictions of all forecast models for the top three products."""
+    fact = checkpointed(product_week(spark, d, ["Revenue", *FEATURE_COLUMNS]))
+    totals = rollup(fact, ["Product_ID"], {"Revenue": "sum"})
     top = checkpointed(keep_top(fact, totals, "Product_ID", "Revenue", 3))
     weekly = resample_weekly(top, ["Product_ID"], "Date", "Sales_Units")
     position = add_position(top, ["Product_ID"], "Date")
     trend = stats.trend_backtest(
         add_holdout(position, ["Product_ID"], "Date", 12, 50), "Product_ID", "position", "Sales_Units"
     )
+    split = checkpointed(with_folds(add_holdout(series_features(top), ["Product_ID"], "Date", 12, 40)))
+    trees = {
+        "RandomForest": lag_forest_predictions(split),
+        "Boosted": ET.boosted_backtest(split, "Product_ID", LAG_INPUTS, "Sales_Units", "Date"),
+    }
     predictions = {
-        "LinearTrend": trend.select("Product_ID", F.col("Sales_Units").alias("actual"), "pred"),
-        "LinearRegression": FC.regression_backtest(top).select("Product_ID", "actual", "pred"),
-        "Additive": FC.additive_backtest(top).select("Product_ID", "actual", "pred"),
-        "SARIMA": FC.sarima_backtest(weekly, "Product_ID", "Week_End", "Sales_Units").select("Product_ID", "actual", "pred"),
+        "LinearTrend": trend.withColumnRenamed("Sales_Units", "actual"),
+        "LinearRegression": FC.regression_backtest(top),
+        "Additive": FC.additive_backtest(top),
+        "SARIMA": FC.sarima_backtest(weekly, "Product_ID", "Week_End", "Sales_Units"),
+        **trees,
     }
-    return stats.forecast_metrics(stack_models(predictions), ["Product_ID", "Model"])
+    return stack_models({name: t.select("Product_ID", "actual", "pred") for name, t in predictions.items()})
+
+
+@query("m18_forecast_summary", "Product_ID:s Model:s rmse:3 mae:3 mape_pct:3")
+def forecast_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of all forecast models for the top three products, one row each."""
+    return stats.forecast_metrics(summary_predictions(spark, d), ["Product_ID", "Model"])
 
 
+@query(
+    "m18_summary_rows",
+    "Product_ID:s Model:s n:i actual:4",
+    """WITH top AS (SELECT Product_ID FROM pw GROUP BY 1 ORDER BY sum(Revenue) DESC, 1 LIMIT 3), p AS (
+         SELECT Product_ID, Sales_Units, row_number() OVER (PARTITION BY Product_ID ORDER BY "Date" DESC) AS back FROM pw
+         WHERE Product_ID IN (SELECT Product_ID FROM top)
+       )
+       SELECT Product_ID, Model, count(*) AS n, avg(Sales_Units) AS actual
+       FROM p, (VALUES ('LinearTrend'), ('LinearRegression'), ('Additive'), ('SARIMA'), ('RandomForest'), ('Boosted')) AS m(Model)
+       WHERE back <= 12 GROUP BY 1, 2""",
+)
+def summary_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that every model of the summary is measured on."""
+    rows = summary_predictions(spark, d).where("pred IS NOT NULL")
+    return rows.groupBy("Product_ID", "Model").agg(F.count(F.lit(1)).alias("n"), F.avg("actual").alias("actual"))

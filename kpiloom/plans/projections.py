@@ -155,18 +155,17 @@ def guarded_division(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "p12_case_chain",
-    "Channel:s expected:4",
-    """SELECT Channel, sum(Sales_Units
-         * CASE WHEN month(Ship_Date) IN (11, 12) THEN 1.09 WHEN month(Ship_Date) IN (4, 5) THEN 1.03 ELSE 1.0 END
-         * CASE WHEN Channel = '1-URGENT' THEN 1.12 ELSE 1.0 END
-         * CASE WHEN On_Promo THEN 1 + 1.2 * Promo_Discount ELSE 1.0 END) AS expected
+    "Order_Size:s lines:i Revenue:4",
+    """SELECT CASE WHEN Sales_Units >= 40 THEN 'large' WHEN Sales_Units >= 15 THEN 'medium'
+           WHEN Sales_Units IS NOT NULL THEN 'small' ELSE 'unknown' END AS Order_Size,
+         count(*) AS lines, sum(Revenue) AS Revenue
        FROM lines GROUP BY 1""",
 )
 def case_chain(spark: SparkSession, d: str) -> DataFrame:
-    lines = order_lines(spark, d, ["Ship_Date", "Channel", "Sales_Units", "On_Promo", "Promo_Discount"])
-    promo = F.when(F.col("On_Promo"), 1 + 1.2 * F.col("Promo_Discount")).otherwise(1.0)
-    factor = K.season_factor("Ship_Date", 0.5) * K.match_factor("Channel", {"1-URGENT": 0.12}) * promo
-    return lines.groupBy("Channel").agg(F.sum(F.col("Sales_Units") * factor).alias("expected"))
+    units = F.col("Sales_Units")
+    size = F.when(units >= 40, "large").when(units >= 15, "medium").when(units.isNotNull(), "small").otherwise("unknown")
+    lines = order_lines(spark, d, ["Sales_Units", "Revenue"]).withColumn("Order_Size", size)
+    return lines.groupBy("Order_Size").agg(F.count(F.lit(1)).alias("lines"), F.sum("Revenue").alias("Revenue"))
 
 
 @query(
@@ -406,13 +405,13 @@ def weeks_since_acquisition(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "k14_campaign_roi",
-    "Campaign:s Marketing_Spend:4 Acquisition_Rate:6 ROI:9",
-    """SELECT Campaign, sum(Marketing_Spend) AS Marketing_Spend, avg(Acquisition_Rate) AS Acquisition_Rate,
-         avg(Acquisition_Rate) / NULLIF(sum(Marketing_Spend), 0) * 100 AS ROI FROM lines GROUP BY 1""",
+    "Campaign:s Region:s ROI:9",
+    """SELECT Campaign, Region, avg(Acquisition_Rate) / NULLIF(sum(Marketing_Spend), 0) * 100 AS ROI
+       FROM lines GROUP BY 1, 2""",
 )
 def campaign_roi(spark: SparkSession, d: str) -> DataFrame:
-    lines = order_lines(spark, d, ["Campaign", "Marketing_Spend", "Acquisition_Rate"])
-    totals = rollup(lines, ["Campaign"], {"Marketing_Spend": "sum", "Acquisition_Rate": "mean"})
+    lines = order_lines(spark, d, ["Campaign", "Region", "Marketing_Spend", "Acquisition_Rate"])
+    totals = rollup(lines, ["Campaign", "Region"], {"Marketing_Spend": "sum", "Acquisition_Rate": "mean"})
     return totals.withColumn("ROI", K.campaign_roi("Acquisition_Rate", "Marketing_Spend"))
 
 
@@ -557,14 +556,14 @@ def padded_key(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-NAME_LABELS = {"BRA": "Brand", "_SKU_": " - product no. "}
+NAME_LABELS = {"Item": "Product", " ": " no. "}
 
 
 @query(
     "t3_replace_labels",
     "Product_ID:s Product_Name:s display:s",
     """SELECT DISTINCT Product_ID, Product_Name,
-         replace(replace(Product_Name, 'BRA', 'Brand'), '_SKU_', ' - product no. ') AS display FROM pw""",
+         replace(replace(Product_Name, 'Item', 'Product'), ' ', ' no. ') AS display FROM pw""",
 )
 def replace_labels(spark: SparkSession, d: str) -> DataFrame:
     names = order_lines(spark, d, ["Product_ID"]).distinct().withColumn("Product_Name", product_name())

@@ -8,20 +8,24 @@ from pyspark.sql import functions as F
 from kpiloom.operators.growth import add_holdout, add_position
 from kpiloom.operators.ranking import top_n
 from kpiloom.operators.reports import alerts, stack_models
-from kpiloom.operators.rollup import latest_year_table
+from kpiloom.operators.rollup import RICH_MEASURES, latest_year_table
 from kpiloom.operators.stats import forecast_metrics, trend_backtest
+from kpiloom.plans.aggregations import NAMED, NAMED_OUT, out_of
 from kpiloom.plans.fact import product_week
 from kpiloom.plans.registry import query
 from kpiloom.plans.shared import (
-    ALERT_SQL,
+    LAST_CHANGE_SQL,
+    SUMMARY_MEASURES,
     TOP_PRODUCTS,
     TOP_SQL,
+    monthly_products,
     product_revenue,
-    top_monthly,
+    rollup_sql,
     written_fact,
     yearly_products,
 )
 from kpiloom.plans.shared import top_products as latest_products
+from kpiloom.session import checkpointed
 
 
 @query(
@@ -57,18 +61,16 @@ def top_of_top(spark: SparkSession, d: str) -> DataFrame:
     return top_n(top_n(product_revenue(spark, d), "Revenue", TOP_PRODUCTS, "Product_ID"), "Revenue", 3, "Product_ID")
 
 
-REPORT = {"Sales_Units": "sum", "Revenue": "sum", "Profit": "sum"}
-
-
 @query(
     "o5_report_table",
-    "Product_ID:s Sales_Units:2 Revenue:4 Profit_Margin:6",
-    """SELECT Product_ID, sum(Sales_Units) AS Sales_Units, sum(Revenue) AS Revenue,
-         sum(Profit) / NULLIF(sum(Revenue), 0) AS Profit_Margin
-       FROM pw WHERE "Year" = (SELECT max("Year") FROM pw) GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 10""",
+    out_of(f"Year:i {NAMED_OUT}", RICH_MEASURES) + " Profit_Margin:6",
+    f"""SELECT *, Profit / NULLIF(Revenue, 0) AS Profit_Margin
+        FROM ({rollup_sql(["Year", "Product_ID", *NAMED], RICH_MEASURES)}) AS y
+        WHERE "Year" = (SELECT max("Year") FROM pw) ORDER BY Revenue DESC, Product_ID LIMIT 10""",
 )
 def report_table(spark: SparkSession, d: str) -> DataFrame:
-    return top_n(latest_year_table(yearly_products(spark, d, REPORT)), "Revenue", 10, "Product_ID")
+    yearly = checkpointed(yearly_products(spark, d, RICH_MEASURES, NAMED))
+    return top_n(latest_year_table(yearly), "Revenue", 10, "Product_ID")
 
 
 HOLDOUT_CTES = """
@@ -109,8 +111,15 @@ def model_rows(spark: SparkSession, d: str) -> DataFrame:
     return forecast_metrics(stack_models(holdout_predictions(spark, d)), ["Product_ID", "Model"])
 
 
-@query("u2_alert_rules", "Product_ID:s Month:d rule:s pct:6 line:s", ALERT_SQL)
+@query(
+    "u2_alert_rules",
+    "Product_ID:s Month:d rule:s pct:6",
+    f"""SELECT Product_ID, "Month", 'Lead_Time' AS rule, lt_pct AS pct FROM ({LAST_CHANGE_SQL}) AS a WHERE lt_pct > 0.02
+        UNION ALL
+        SELECT Product_ID, "Month", 'Efficiency', eff_pct FROM ({LAST_CHANGE_SQL}) AS b WHERE eff_pct < -0.02""",
+)
 def alert_rules(spark: SparkSession, d: str) -> DataFrame:
-    return alerts(top_monthly(spark, d))
+    """Both rules over all products, at a lower threshold."""
+    return alerts(monthly_products(spark, d, SUMMARY_MEASURES), threshold=0.02)
 
 

@@ -27,22 +27,17 @@ def _fields(out: str) -> list[tuple[str, str]]:
     return [tuple(part.split(":")) for part in out.split()]
 
 
-def _tie_shift(digits: str) -> str:
-    """Added before rounding: moves exact ties off the rounding edge, so that
-    the last bit of a float sum does not decide which way a tie goes."""
-    return f"3.7e-{int(digits) + 4}"
-
-
 def _spark_column(name: str, kind: str) -> Column:
+    """Doubles are rounded half up as decimals: in decimal, a tie is a tie."""
     c = F.col(f"`{name}`")
     if kind.isdigit():
-        return (F.round(c.cast("double") + F.lit(float(_tie_shift(kind))), int(kind)) + F.lit(0.0)).alias(name)
+        return F.round(c.cast("double").cast(f"decimal(38,{int(kind) + 3})"), int(kind)).cast("double").alias(name)
     return c.cast(_SPARK_TYPES[kind]).alias(name)
 
 
 def _sql_column(name: str, kind: str) -> str:
     if kind.isdigit():
-        return f'round(CAST("{name}" AS DOUBLE) + {_tie_shift(kind)}, {kind}) + CAST(0 AS DOUBLE) AS "{name}"'
+        return f'CAST(round(TRY_CAST("{name}" AS DECIMAL(38, {int(kind) + 3})), {kind}) AS DOUBLE) AS "{name}"'
     return f'CAST("{name}" AS {_SQL_TYPES[kind]}) AS "{name}"'
 
 

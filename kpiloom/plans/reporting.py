@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.functions import is_drop, safe_divide
+from kpiloom.functions import fill_rate, is_drop, safe_divide, weeks_of_inventory
 from kpiloom.operators import growth as G
 from kpiloom.operators import reports as RP
 from kpiloom.operators.joins import keep_top
 from kpiloom.operators.ranking import pareto, pareto_crossing, pareto_set
-from kpiloom.operators.rollup import rollup
-from kpiloom.plans.aggregations import COHORT_SQL, customer_cohorts
+from kpiloom.operators.rollup import BASIC_MEASURES, OPERATIONS_MEASURES, RICH_MEASURES, rollup
+from kpiloom.plans.aggregations import COHORT_SQL, customer_cohorts, out_of
 from kpiloom.plans.fact import order_lines, product_week
 from kpiloom.plans.models import clustered_customers
 from kpiloom.plans.registry import query
 from kpiloom.plans.shared import (
     ALERT_SQL,
+    SUMMARY_OUT,
     SUMMARY_SQL,
     TOP_PRODUCTS,
     TOP_SQL,
@@ -31,8 +32,8 @@ from kpiloom.plans.windowed import PARETO_SQL, WATERFALL_SQL, change_sql, rollin
 from kpiloom.session import checkpointed
 
 
-# The calendar of the test tables, for the checking SQL; the query reads it from the data.
-MONTHS = [f"{m // 12:04d}-{m % 12 + 1:02d}" for m in range(1995 * 12, 2001 * 12 + 10)]
+# The years of the test tables, for the checking SQL; the query reads them from the data.
+MONTHS = [f"{m // 12:04d}-{m % 12 + 1:02d}" for m in range(1995 * 12, 2002 * 12)]
 
 
 @query(
@@ -47,27 +48,31 @@ MONTHS = [f"{m // 12:04d}-{m % 12 + 1:02d}" for m in range(1995 * 12, 2001 * 12
         FROM g GROUP BY 1""",
 )
 def month_matrix(spark: SparkSession, d: str) -> DataFrame:
-    monthly = monthly_products(spark, d, {"Sales_Units": "sum"}, ["Product_Name"])
+    monthly = checkpointed(monthly_products(spark, d, {"Sales_Units": "sum"}, ["Product_Name"]))
+    RP.require_unique_names(monthly, "Product_ID", "Product_Name")
     grown = G.add_growth(monthly, ["Product_ID"], "Month", {"pct": ("Sales_Units", 1)})
     rounded = grown.withColumn("pct", F.round(F.coalesce("pct", F.lit(0.0)), 6) + F.lit(0.0))
-    months = RP.month_labels(order_lines(spark, d, ["Date"]).select(F.col("Date").alias("Month")))
-    return RP.month_matrix(rounded, "Product_Name", "pct", months=months)
+    return RP.month_matrix(rounded, "Product_Name", "pct", months=RP.month_labels(monthly, whole_years=True))
 
 
-# The periods of the smaller test tables, for the checking SQL; the query reads them from the data.
-PERIODS = range(0, 80)
+# Whole dozens of periods up to the last one of the test tables, for the checking SQL.
+PERIODS = range(0, 84)
 
 
 @query(
     "r2_cohort_matrix",
     None,
     "SELECT Acquisition_Month, "
-    + ", ".join(f"round(avg(n_sales) FILTER (Cohort_Period = {p}) + 3.7e-8, 4) AS period_{p}" for p in PERIODS)
+    + ", ".join(
+        f"CAST(round(TRY_CAST(avg(n_sales) FILTER (Cohort_Period = {p}) AS DECIMAL(38, 7)), 4) AS DOUBLE) AS period_{p}"
+        for p in PERIODS
+    )
     + f" FROM ({COHORT_SQL}) AS c GROUP BY 1",
 )
 def cohort_matrix(spark: SparkSession, d: str) -> DataFrame:
     wide = RP.cohort_matrix(checkpointed(customer_cohorts(spark, d)), "Acquisition_Month")
-    return wide.select("Acquisition_Month", *[F.round(F.col(c) + 3.7e-8, 4).alias(c) for c in wide.columns[1:]])
+    money = [F.round(F.col(c).cast("decimal(38,7)"), 4).cast("double").alias(c) for c in wide.columns[1:]]
+    return wide.select("Acquisition_Month", *money)
 
 
 @query(
@@ -105,12 +110,7 @@ def waterfall(spark: SparkSession, d: str) -> DataFrame:
     return waterfall_table(spark, d)
 
 
-@query(
-    "r7_monthly_summary",
-    "Product_ID:s Month:d Sales_Units:2 Revenue:4 MoM_Sales_pct:6 YoY_Sales_pct:6 MoM_LeadTime_pct:6 MoM_Eff_pct:6 "
-    "Rolling_3m_Sales:6 MoM_Drop_Flag:b",
-    SUMMARY_SQL,
-)
+@query("r7_monthly_summary", SUMMARY_OUT, SUMMARY_SQL)
 def monthly_summary(spark: SparkSession, d: str) -> DataFrame:
     return G.monthly_summary(top_monthly(spark, d))
 
@@ -120,25 +120,37 @@ def alerts(spark: SparkSession, d: str) -> DataFrame:
     return RP.alerts(top_monthly(spark, d))
 
 
-FINAL = ["Sales_Units", "Revenue", "Lead_Time_days", "Efficiency_u_per_h"]
+FACT_ONLY = ["Returns_Rate", "Price_per_Unit", "Promo_Discount"]
+ATTRIBUTES = ["Product_Name", "Category", "Week_Index", "Month", "Quarter", "Year"]
+FINAL = [*dict.fromkeys([*RICH_MEASURES, *BASIC_MEASURES, *OPERATIONS_MEASURES]), *FACT_ONLY]
 
 
 @query(
     "r9_full_fact",
-    "Product_ID:s Date:d Sales_Units:2 Revenue:4 Weekly_Target:i Target_Achieved:6 Rolling_4w_Sales:6 Rolling_13w_Sales:6 "
-    "Rolling_4w_Eff:6 WoW_pct_Sales_Units:6 WoW_pct_Revenue:6 WoW_pct_Efficiency_u_per_h:6 pct_4w_Sales:6 pct_52w_Sales:6",
-    f"""SELECT *, Sales_Units / (Weekly_Target + 1e-9) AS Target_Achieved FROM (
+    out_of("Product_ID:s Date:d Product_Name:s Category:s Week_Index:i Month:d Quarter:d Year:i", dict.fromkeys(FINAL, ""))
+    + " On_Promo:b Weekly_Target:i Target_Achieved:6 Inventory_Weeks:6 Fill_Rate:6 Rolling_4w_Sales:6 Rolling_13w_Sales:6 "
+    "Rolling_4w_Eff:6 WoW_pct_Sales_Units:6 WoW_pct_Revenue:6 WoW_pct_Lead_Time_days:6 WoW_pct_Efficiency_u_per_h:6 "
+    "pct_4w_Sales:6 pct_52w_Sales:6",
+    f"""SELECT *, Sales_Units / (Weekly_Target + 1e-9) AS Target_Achieved,
+          Inventory / (NULLIF(Sales_Units, 0) + 1e-6) AS Inventory_Weeks,
+          1 - Backorder / (NULLIF(Sales_Units, 0) + 1e-6) AS Fill_Rate FROM (
           SELECT *, round_even(avg(Sales_Units) OVER (PARTITION BY Product_ID) * 1.05, 0) AS Weekly_Target,
             {rolling_sql('Sales_Units', 4)} AS Rolling_4w_Sales, {rolling_sql('Sales_Units', 13)} AS Rolling_13w_Sales,
             {rolling_sql('Efficiency_u_per_h', 4)} AS Rolling_4w_Eff,
             {change_sql('Sales_Units', 1, 'Date')} AS WoW_pct_Sales_Units,
             {change_sql('Revenue', 1, 'Date')} AS WoW_pct_Revenue,
+            {change_sql('Lead_Time_days', 1, 'Date')} AS WoW_pct_Lead_Time_days,
             {change_sql('Efficiency_u_per_h', 1, 'Date')} AS WoW_pct_Efficiency_u_per_h,
             {change_sql('Sales_Units', 4, 'Date')} AS pct_4w_Sales, {change_sql('Sales_Units', 52, 'Date')} AS pct_52w_Sales
           FROM pw) AS f""",
 )
 def full_fact(spark: SparkSession, d: str) -> DataFrame:
-    return G.weekly_metrics(product_week(spark, d, FINAL))
+    fact = product_week(spark, d, [*ATTRIBUTES, *FINAL, "On_Promo"])
+    stock = {
+        "Inventory_Weeks": weeks_of_inventory("Inventory", "Sales_Units"),
+        "Fill_Rate": fill_rate("Backorder", "Sales_Units"),
+    }
+    return G.weekly_metrics(fact).withColumns(stock)
 
 
 @query(

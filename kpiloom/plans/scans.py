@@ -15,6 +15,7 @@ from kpiloom.plans.registry import query
 from kpiloom.plans.shared import (
     ALERT_SQL,
     SUMMARY_MEASURES,
+    SUMMARY_OUT,
     SUMMARY_SQL,
     monthly_of_top,
     top_monthly,
@@ -83,7 +84,7 @@ def csv_sink(spark: SparkSession, d: str) -> DataFrame:
     return read_csv(spark, path, "Month date, Sales_Units double, Revenue double")
 
 
-@query("s5_file_per_entity", "Product_ID:s Month:d Sales_Units:2 MoM_Sales_pct:6 MoM_Drop_Flag:b", SUMMARY_SQL)
+@query("s5_file_per_entity", SUMMARY_OUT, SUMMARY_SQL)
 def file_per_entity(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "summary_by_product")
     write_per_entity(_summary(spark, d), path, "Product_ID")
@@ -103,7 +104,7 @@ def _summary(spark: SparkSession, d: str) -> DataFrame:
 )
 def alert_text(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "alerts_txt")
-    fact = written_fact(spark, d, ["Month", "Year", *SUMMARY_MEASURES])
+    fact = written_fact(spark, d, ["Month", "Year", "Product_Name", "Category", *SUMMARY_MEASURES])
     fired = alerts(monthly_of_top(fact))
     write_alerts(ordered_alerts(fired, top_products(fact), "Product_ID", "Revenue"), path)
     return spark.read.text(path)

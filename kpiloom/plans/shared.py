@@ -7,17 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from kpiloom.operators.joins import keep_top
-from kpiloom.operators.rollup import AGGREGATES, calendar_rollup, latest_period, rollup
+from kpiloom.operators.rollup import AGGREGATES, OPERATIONS_MEASURES, calendar_rollup, latest_period, rollup
 from kpiloom.plans.fact import product_week
 from kpiloom.session import checkpointed
 
 TOP_PRODUCTS = 6
-SUMMARY_MEASURES = {
-    "Sales_Units": "sum",
-    "Revenue": "sum",
-    "Lead_Time_days": "mean",
-    "Efficiency_u_per_h": "mean",
-}
+SUMMARY_MEASURES = OPERATIONS_MEASURES
+SUMMARY_KEYS = ["Product_ID", "Product_Name", "Category", "Month"]
+SUMMARY_OUT = (
+    "Product_ID:s Month:d Product_Name:s Category:s Produced_Units:i Good_Units:i Sales_Units:2 Revenue:4 COGS:4 Profit:4 "
+    "Lead_Time_days:6 Efficiency_u_per_h:6 Inventory:6 MoM_Sales_pct:6 YoY_Sales_pct:6 MoM_LeadTime_pct:6 MoM_Eff_pct:6 "
+    "Rolling_3m_Sales:6 MoM_Drop_Flag:b"
+)
 
 
 def written_fact(spark: SparkSession, d: str, columns: Sequence[str]) -> DataFrame:
@@ -33,9 +34,9 @@ def monthly_products(spark: SparkSession, d: str, measures: dict[str, str], keys
 
 
 def yearly_products(spark: SparkSession, d: str, measures: dict[str, str], keys: Sequence[str] = ()) -> DataFrame:
-    """Product-year rollup, written once: the latest year is found in a second pass."""
+    """Product-year rollup; write it once where the latest year is found in a second pass."""
     fact = product_week(spark, d, ["Year", *keys, *measures])
-    return checkpointed(rollup(fact, ["Product_ID", "Year", *keys], measures))
+    return rollup(fact, ["Product_ID", "Year", *keys], measures)
 
 
 def top_products(fact: DataFrame) -> DataFrame:
@@ -45,11 +46,11 @@ def top_products(fact: DataFrame) -> DataFrame:
 
 def top_monthly(spark: SparkSession, d: str) -> DataFrame:
     """Product-month rollup of the latest year's top products."""
-    return monthly_of_top(written_fact(spark, d, ["Month", "Year", *SUMMARY_MEASURES]))
+    return monthly_of_top(written_fact(spark, d, ["Month", "Year", "Product_Name", "Category", *SUMMARY_MEASURES]))
 
 
 def monthly_of_top(fact: DataFrame) -> DataFrame:
-    monthly = rollup(fact, ["Product_ID", "Month"], SUMMARY_MEASURES)
+    monthly = rollup(fact, SUMMARY_KEYS, SUMMARY_MEASURES)
     return keep_top(monthly, top_products(fact), "Product_ID", "Revenue", TOP_PRODUCTS)
 
 
@@ -88,7 +89,7 @@ SELECT *, coalesce(MoM_Sales_pct < -0.10, false) AS MoM_Drop_Flag FROM (
     Efficiency_u_per_h / NULLIF(lag(Efficiency_u_per_h, 1) OVER w, 0) - 1 AS MoM_Eff_pct,
     avg(Sales_Units) OVER (PARTITION BY Product_ID ORDER BY "Month" ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)
       AS Rolling_3m_Sales
-  FROM ({rollup_sql(["Product_ID", "Month"], SUMMARY_MEASURES)}) AS m
+  FROM ({rollup_sql(SUMMARY_KEYS, SUMMARY_MEASURES)}) AS m
   WINDOW w AS (PARTITION BY Product_ID ORDER BY "Month")
 ) AS s WHERE Product_ID IN ({TOP_SQL})"""
 

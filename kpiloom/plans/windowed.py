@@ -16,7 +16,6 @@ from kpiloom.plans.shared import (
     LAST_CHANGE_SQL,
     SUMMARY_MEASURES,
     monthly_products,
-    product_revenue,
     rollup_sql,
     written_fact,
 )
@@ -162,9 +161,20 @@ SELECT Product_ID, Revenue,
 FROM (SELECT Product_ID, sum(Revenue) AS Revenue FROM pw GROUP BY 1) AS t"""
 
 
-@query("w4_cumulative_share", "Product_ID:s Revenue:4 Cumulative_Revenue:3 Cumulative_Revenue_pct:6", PARETO_SQL)
+UNITS_PARETO_SQL = PARETO_SQL.replace("Revenue", "Sales_Units")
+
+
+@query(
+    "w4_cumulative_share",
+    "Product_ID:s Sales_Units:2 Cumulative_Sales_Units:2 Cumulative_Sales_Units_pct:6",
+    UNITS_PARETO_SQL,
+)
 def cumulative_share(spark: SparkSession, d: str) -> DataFrame:
-    return pareto(product_revenue(spark, d))
+    return pareto(product_units(spark, d), "Sales_Units")
+
+
+def product_units(spark: SparkSession, d: str) -> DataFrame:
+    return rollup(product_week(spark, d, ["Sales_Units"]), ["Product_ID"], {"Sales_Units": "sum"})
 
 
 @query(
@@ -219,12 +229,13 @@ def holdout(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "w10_threshold_crossing",
-    "Product_ID:s Cumulative_Revenue_pct:6",
-    f"""SELECT Product_ID, Cumulative_Revenue_pct FROM ({PARETO_SQL}) AS p WHERE Cumulative_Revenue_pct >= 0.8
-        ORDER BY Cumulative_Revenue_pct, Product_ID LIMIT 1""",
+    "Product_ID:s Cumulative_Sales_Units_pct:6",
+    f"""SELECT Product_ID, Cumulative_Sales_Units_pct FROM ({UNITS_PARETO_SQL}) AS p
+        WHERE Cumulative_Sales_Units_pct >= 0.5 ORDER BY Cumulative_Sales_Units_pct, Product_ID LIMIT 1""",
 )
 def threshold_crossing(spark: SparkSession, d: str) -> DataFrame:
-    return pareto_crossing(pareto(product_revenue(spark, d)))
+    table = pareto(product_units(spark, d), "Sales_Units")
+    return pareto_crossing(table, "Cumulative_Sales_Units_pct", limit=0.5)
 
 
 MONEY_MONTH = {"Revenue": "sum", "COGS": "sum", "Expenses": "sum", "Profit": "sum"}
@@ -248,8 +259,14 @@ def waterfall_table(spark: SparkSession, d: str) -> DataFrame:
     return waterfall(last, "Product_ID", profit_steps())
 
 
-@query("w11_running_base", "Product_ID:s step:i label:s amount:4 base:4", WATERFALL_SQL)
+@query(
+    "w11_running_base",
+    "Product_ID:s Month:d Profit:4 base:3",
+    f"""SELECT *, coalesce(sum(Profit) OVER (PARTITION BY Product_ID ORDER BY "Month"
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base
+        FROM ({rollup_sql(["Product_ID", "Month"], {"Profit": "sum"})}) AS m""",
+)
 def running_base(spark: SparkSession, d: str) -> DataFrame:
-    return waterfall_table(spark, d)
+    return G.running_base(monthly_products(spark, d, {"Profit": "sum"}), ["Product_ID"], "Month", "Profit")
 
 

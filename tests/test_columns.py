@@ -84,13 +84,6 @@ def test_cyclic_month(spark):
     assert got[1] == pytest.approx(0.0, abs=1e-12)
 
 
-def test_factors(spark):
-    assert one(spark, K.season_factor("d"), d=dt.date(2022, 12, 1)) == pytest.approx(1.18)
-    assert one(spark, K.season_factor("d", 0.5), d=dt.date(2022, 4, 1)) == pytest.approx(1.03)
-    assert one(spark, K.season_factor("d"), d=dt.date(2022, 6, 1)) == 1.0
-    assert one(spark, K.match_factor("c", {"E-commerce": 0.12}), c="E-commerce") == pytest.approx(1.12)
-    assert one(spark, K.match_factor("c", {"E-commerce": 0.12}), c="Retail") == 1.0
-
 
 def test_formulas(spark):
     assert one(spark, K.cogs("u", "c", "m", 0.1), u=100, c=2.0, m=50.0) == pytest.approx(205.0)

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from kpiloom.operators import quantiles
 from kpiloom.operators.quantiles import exact_quantiles
 from kpiloom.operators.ranking import pareto, pareto_crossing, pareto_set, running_total, top_n
 from kpiloom.operators.stats import describe
@@ -22,36 +23,58 @@ COLUMNS = {
 }
 
 
-@pytest.mark.parametrize(("cells", "direct_rows"), [(4, 0), (4096, 0), (4096, 1_000_000)])
-def test_quantiles_match_numpy(spark, cells, direct_rows):
+@pytest.mark.parametrize(("accuracy", "most"), [(10_000, 100_000), (50, 10), (50, 1)])
+def test_quantiles_match_numpy(spark, accuracy, most):
     df = spark.createDataFrame(pd.DataFrame(COLUMNS))
     probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = {(r["metric"], r["p"]): r["value"] for r in exact_quantiles(df, list(COLUMNS), probs, cells, None, direct_rows).collect()}
+    got = {(r["metric"], r["p"]): r["value"] for r in exact_quantiles(df, list(COLUMNS), probs, accuracy, most).collect()}
     assert len(got) == len(COLUMNS) * len(probs)
     for name, values in COLUMNS.items():
         for p in probs:
             assert got[name, p] == pytest.approx(np.quantile(values, p), rel=1e-9, abs=1e-9), (name, p)
 
 
-@pytest.mark.parametrize("direct_rows", [0, 100])
+@pytest.mark.parametrize("most", [1, 100])
 @pytest.mark.parametrize("n", [1, 2, 3, 7])
-def test_quantiles_of_few_rows_and_nulls(spark, n, direct_rows):
+def test_quantiles_of_few_rows_and_nulls(spark, n, most):
     values = [float(i * i) for i in range(n)]
-    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double")
-    got = {r["p"]: r["value"] for r in exact_quantiles(df, ["v"], [0.25, 0.5, 0.75], direct_rows=direct_rows).collect()}
+    df = spark.createDataFrame([(v,) for v in [*values, None, float("nan")]], "v double")
+    got = {r["p"]: r["value"] for r in exact_quantiles(df, ["v"], [0.25, 0.5, 0.75], most=most).collect()}
     assert got == {p: pytest.approx(np.quantile(values, p)) for p in (0.25, 0.5, 0.75)}
 
 
+def test_quantiles_of_nothing(spark):
+    df = spark.createDataFrame([(None,), (float("nan"),)], "v double")
+    assert exact_quantiles(df, ["v"], [0.5]).collect() == []
+
+
+def test_heavy_tails_do_not_widen_the_bounds(spark):
+    """One value of 1e12 among 200,000: no task ranks more than the stated number."""
+    values = np.append(RNG.normal(size=200_000), 1e12)
+    df = spark.createDataFrame(pd.DataFrame({"v0": values}))
+    spots = quantiles._narrowed(df, quantiles._whole(df, 1, [0.25, 0.5, 0.75]), 1000, 2000)
+    assert all(s.distinct <= 2000 and s.inside <= 4000 for s in spots)
+    got = {r["p"]: r["value"] for r in exact_quantiles(df, ["v0"], [0.25, 0.5, 0.75], 1000, 2000).collect()}
+    assert got == {p: pytest.approx(np.quantile(values, p)) for p in got} and len(got) == 3
+
+
 def test_describe_matches_pandas(spark):
     frame = pd.DataFrame({k: COLUMNS[k] for k in ("uniform", "hot", "whole")})
     frame.loc[:9, "uniform"] = None
-    got = describe(spark.createDataFrame(frame).replace(float("nan"), None), list(frame.columns)).toPandas()
+    got = describe(spark.createDataFrame(frame), list(frame.columns)).toPandas()
     want = frame.describe().T
     want.columns = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
     got = got.set_index("metric").loc[want.index]
     pd.testing.assert_frame_equal(got.astype(float), want.astype(float), check_names=False)
 
 
+def test_describe_skips_nan(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(1, 102)] + [(float("nan"),)] * 5, "v double")
+    for method in ("exact", "approximate"):
+        got = describe(df, ["v"], method=method).first()
+        assert (got["count"], got["p25"], got["p50"], got["mean"], got["max"]) == (101, 26.0, 51.0, 51.0, 101.0)
+
+
 def test_describe_sketch_is_close(spark):
     df = spark.createDataFrame(pd.DataFrame({"v": COLUMNS["uniform"]}))
     got = describe(df, ["v"], method="approximate").first()

@@ -68,7 +68,20 @@ def test_cohort_matrix_averages_months_of_one_period(spark):
     )
     sums = RP.cohort_sums(df, "cohort", "Month", "v")
     assert rows(RP.cohort_matrix(sums, "cohort", [0, 1, 2])) == [(dt.date(2022, 1, 1), 1.0, 2.5, None)]
-    assert rows(RP.cohort_matrix(sums, "cohort")) == [(dt.date(2022, 1, 1), 1.0, 2.5)]
+    assert rows(RP.cohort_matrix(sums, "cohort")) == [(dt.date(2022, 1, 1), 1.0, 2.5, *[None] * 10)]
+
+
+def test_names_of_a_matrix_must_differ(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", "y"), ("a", "x")], "id string, name string")
+    RP.require_unique_names(df, "id", "name")
+    with pytest.raises(ValueError, match="named x"):
+        RP.require_unique_names(df.unionByName(spark.createDataFrame([("c", "x")], "id string, name string")), "id", "name")
+
+
+def test_month_labels_of_whole_years(spark):
+    df = spark.createDataFrame([(dt.date(2021, 3, 1),), (dt.date(2022, 2, 1),)], "Month date")
+    assert RP.month_labels(df) == [f"2021-{m:02d}" for m in range(3, 13)] + ["2022-01", "2022-02"]
+    assert len(RP.month_labels(df, whole_years=True)) == 24
 
 
 def test_waterfall_bases(spark):
