@@ -121,6 +121,6 @@ def test_written_fact_gives_the_same_rows(spark, sf_dir, tmp_path):
         for n in names:
             df = QUERIES[n](spark, sf_dir)
             assert sorted(map(str, df.collect())) == want[n]
-            assert not scans(plan_text(df), "l_")
+            assert not scans(plan_text(df), "l_quantity")
     finally:
         spark.conf.unset(FACT_SETTING)
