@@ -31,6 +31,18 @@ def _balanced(df: DataFrame) -> DataFrame:
     return checkpointed(df.hint("rebalance"))
 
 
+#: Rows whose tree fits one task works on, at most.
+TASK_ROWS = 100_000
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Partitions for the tree fits, much work per row: as many as the session's
+    shuffle setting, and more as the table grows."""
+    data = _balanced(df)
+    setting = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return data.repartition(max(setting, -(-data.count() // TASK_ROWS)))
+
+
 def _in_parallel(spark: SparkSession, run: Callable, settings: Sequence, workers: int) -> list:
     """Independent fits as concurrent Spark jobs."""
     with ThreadPoolExecutor(max_workers=workers) as pool:
@@ -72,7 +84,7 @@ def forest_regression(
     """Random forest pooled over all rows: adds ``pred``. The default depth is
     the deepest that Spark grows, more than a leaf of one row needs in practice;
     a feature is cut at ``bins`` quantiles."""
-    data = _balanced(_vectors(df.dropna(subset=[target]), features))
+    data = _spread(_vectors(df.dropna(subset=[target]), features))
     model = RandomForestRegressor(
         featuresCol="_x",
         labelCol=target,
