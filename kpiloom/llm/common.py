@@ -34,6 +34,11 @@ def filled(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
+def whole_digest(text: str | Column) -> Column:
+    """SHA-256 of the text as it is; null stays null."""
+    return F.unhex(F.sha2((F.col(text) if isinstance(text, str) else text).cast("binary"), 256))
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of non-blank characters."""
     return F.size(F.regexp_extract_all(filled(text), F.lit(f"[^{BLANK}]+"), F.lit(0))).cast("long")
