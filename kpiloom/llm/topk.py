@@ -60,19 +60,20 @@ class ImpactIndex:
             self.segments.append(held)
             self.rest.append(np.sqrt((rest**2).sum(axis=1)))
 
-    def candidates(self, queries: np.ndarray, k: int) -> np.ndarray:
+    def candidates(self, queries: np.ndarray, k: int, own: np.ndarray | None = None) -> np.ndarray:
         """Vectors (rows) by queries (columns) that may be among the best k.
 
         ``queries`` are columns of whole numbers; sums stay exact in double up
-        to 2**53. One vector more than k is asked for, since a query's own row
-        may be among them."""
+        to 2**53. ``own`` marks the pairs that take no part, however many: they
+        neither count among the k nor raise the bound."""
         n = len(self.vectors)
         score = np.zeros((n, queries.shape[1]))
         norm = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=0))
         weights = queries.astype(np.float64)
-        if n <= k + 1:
-            return np.ones(score.shape, bool)
-        may = np.ones(score.shape, bool)
+        others = np.ones(score.shape, bool) if own is None else ~own
+        if n <= k:
+            return others
+        may = others
         looked = np.inf
         for left, held in zip(range(len(self.segments) - 1, -1, -1), self.segments):
             for d, at, weight in held:
@@ -82,8 +83,8 @@ class ImpactIndex:
                 continue
             looked = np.median(rest)
             slack = np.outer(rest, norm) * (1 + 1e-9) + 1e-6
-            proven = np.partition(score - slack, n - k - 1, axis=0)[n - k - 1]
-            may = score + slack >= proven
+            proven = np.partition(np.where(others, score - slack, -np.inf), n - k, axis=0)[n - k]
+            may = others & (score + slack >= proven)
             if may.sum() <= max(RESCORE * may.size, 8 * k * queries.shape[1]):
                 break
         return may
@@ -91,8 +92,8 @@ class ImpactIndex:
     def best(self, queries: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[tuple[int, int, int]]:
         """Query column, id and exact score of each query's best k but its own id."""
         out = []
-        for q, may in enumerate(self.candidates(queries, k).T):
-            at = np.flatnonzero(may & (ids != own[q]))
+        for q, may in enumerate(self.candidates(queries, k, ids[:, None] == own[None, :]).T):
+            at = np.flatnonzero(may)
             exact = self.vectors[at] @ queries[:, q]
             for i in np.lexsort((ids[at], -exact))[:k]:
                 out.append((q, int(ids[at[i]]), int(exact[i])))
@@ -107,6 +108,12 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
+def dealt(rows: DataFrame, by: list[str], own: str, parts: int, other: str, others: int) -> DataFrame:
+    """``rows`` in ``parts`` parts by a hash of ``by``, each for all ``others``."""
+    here = F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int").alias(own)
+    return rows.select("id", "v", here, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, id: str = "vec_id", vector: str = "embedding", k: int = 5) -> DataFrame:
     """The ``k`` highest integer inner products of every row of ``queries`` with
     the rows of ``vectors``: ``query_id``, ``rank`` (from 1), the candidate's id,
@@ -123,7 +130,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, id: str = "vec_id", vector: st
     def sound(rows: DataFrame) -> DataFrame:
         return rows.select(F.col(f"`{id}`").cast("long").alias("id"), quantised(F.col(f"`{vector}`")).alias("v")).where("id is not null and v is not null")
 
-    held = written(sound(vectors), "vectors")
+    held = written(sound(vectors).withColumn("nth", F.monotonically_increasing_id()), "vectors")  # deals repeated rows out
     asked = written(sound(queries).distinct(), "queries")
     n = held.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     m = asked.agg(F.count("*"), F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
@@ -132,10 +139,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, id: str = "vec_id", vector: st
         raise OverflowError("inner products exceed 52 bits")
     blocks, batches = max(1, -(-n[0] // BLOCK)), max(1, -(-m[0] // QUERIES))
 
-    def dealt(rows: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
-        here = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias(own)
-        return rows.select("id", "v", here, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
-
     def answer(block: pa.Table, batch: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int]] = []
         own = np.array(batch["id"].to_pylist(), np.int64)
@@ -149,8 +152,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, id: str = "vec_id", vector: st
         columns = list(zip(*out)) if out else [()] * 3
         return pa.table({c: pa.array(list(x), pa.int64()) for c, x in zip(("query_id", "id", "score"), columns)})
 
-    left = dealt(held, "block", blocks, "batch", batches).groupBy("block", "batch")
-    right = dealt(asked, "batch", batches, "block", blocks).groupBy("block", "batch")
+    left = dealt(held, ["id", "nth"], "block", blocks, "batch", batches).groupBy("block", "batch")
+    right = dealt(asked, ["id", "v"], "batch", batches, "block", blocks).groupBy("block", "batch")
     found = left.cogroup(right).applyInArrow(answer, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from kpiloom.llm import topk
-from kpiloom.llm.topk import ImpactIndex, top_k
+from kpiloom.llm.topk import ImpactIndex, dealt, top_k
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -69,3 +69,39 @@ def test_edges(docs):
 def test_ties_go_to_the_smaller_id(docs):
     rows = [(i, [random.Random(i % 2).random()], 0) for i in range(60)]
     assert result(docs(rows, VECTORS), 10) == by_hand(rows, step=10)
+
+
+@pytest.mark.parametrize("copies", [1, 2, 5, 8, 40])
+def test_own_copies_hide_no_neighbour(copies):
+    draw = np.random.default_rng(5)
+    unit = draw.normal(size=(4000, 64))
+    vectors = np.floor(256 * unit / np.linalg.norm(unit, axis=1)[:, None]).astype(np.int64)
+    ids = np.arange(4000)
+    for q in range(3):
+        vectors[100 * q : 100 * q + copies], ids[100 * q : 100 * q + copies] = vectors[100 * q], 100 * q
+    own = np.array([0, 100, 200])
+    queries = vectors[own].T
+    want = []
+    for q in range(3):
+        at = np.flatnonzero(ids != own[q])
+        scores = vectors[at] @ queries[:, q]
+        want += [(q, int(ids[at[i]]), int(scores[i])) for i in np.lexsort((ids[at], -scores))[:5]]
+    index = ImpactIndex(vectors)
+    assert index.best(queries, ids, own, 5) == want
+    assert index.candidates(queries, 5, ids[:, None] == own[None, :]).mean() < 0.2
+
+
+def test_own_copies_in_a_block_of_thousands(docs):
+    draw = np.random.default_rng(6)
+    unit = draw.normal(size=(2000, 32))
+    rows = [(i + 1, [float(x) for x in v / np.linalg.norm(v)], 0) for i, v in enumerate(unit)]
+    rows += [(500, rows[499][1], 0)] * 7
+    assert result(docs(rows, VECTORS), 500) == by_hand(rows, step=500)
+
+
+def test_repeated_rows_are_dealt_out(docs):
+    from pyspark.sql import functions as F
+
+    held = docs([(1, [1.0], 0)] * 4000, VECTORS).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.monotonically_increasing_id().alias("nth"))
+    sizes = [r["count"] for r in dealt(held, ["id", "nth"], "block", 8, "batch", 1).groupBy("block").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 650
