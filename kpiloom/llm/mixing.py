@@ -3,25 +3,25 @@
 Every source has a word target. Each of its documents gets the same expected
 number of copies, target over size; the whole part is allocated for certain,
 and the rest is the inclusion odds of a sample: documents are ranked by random
-odds over inclusion odds, and taken in that order while their words fit what is
-left. Behind that point, of each power of two of size the first document in that
-order and the smallest one may fill the gap, the largest first; at last one that
-exceeds the gap, if that comes nearer to the target.
-
-Random numbers are digests of the id, so that reruns agree. The point where a
-source's sample ends is found by counting words per digit of the rank key, digit
-after digit, so that no source gathers in one task.
+odds over inclusion odds, and each is taken in that order if its words fit what
+is left, until no document fits; at last the smallest one left, if that comes
+nearer to the target.
+
+Random numbers are digests of id, text and repeat number, so that reruns agree
+and null or repeated ids are drawn one by one. The point where a document first
+does not fit is found by counting words per digit of the rank key, digit after
+digit, so that no source gathers in one task; the same goes on behind it with
+the documents that still fit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kpiloom.llm.common import null_safe, word_count, written
+from kpiloom.llm.common import null_safe, whole_digest, word_count, written
 
 #: Bits of the rank key that one counting pass resolves, and passes.
 DIGIT_BITS = 10
@@ -58,9 +58,9 @@ def word_targets(sizes: DataFrame, weights: Sequence[int], most: float) -> DataF
     )
 
 
-def random_share(id: Column) -> Column:
-    """A number above 0 and below 1 for each id, from 52 bits of its digest."""
-    digits = F.substring(F.md5(F.coalesce(id.cast("string"), F.lit(""))), 1, 13)
+def random_share(name: Column) -> Column:
+    """A number above 0 and below 1 for each name, from 52 bits of its digest."""
+    digits = F.substring(F.md5(F.coalesce(name.cast("string"), F.lit(""))), 1, 13)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -75,46 +75,75 @@ def sample_ends(rows: DataFrame, quotas: DataFrame) -> DataFrame:
     """Per source the rank key up to which documents fit the quota (``at``), and
     the words still missing there (``gap``). ``rows`` has source_no, key, words;
     ``quotas`` has source_no, quota. Each pass counts the words by the next digit
-    of the key, within the digits that the quota has led to so far."""
+    of the key, within the digits that the quota has led to so far, and the last
+    one is that which finds a single key there in every source."""
     prefix = quotas.select("source_no", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"), "quota")
     for step in range(DIGITS):
         shift = KEY_BITS - DIGIT_BITS * (step + 1)
-        inside = rows.join(prefix, "source_no").where(F.shiftright("key", shift + DIGIT_BITS) == F.col("prefix"))
-        by_digit = inside.groupBy("source_no", "before", "quota", F.shiftright("key", shift).alias("digit")).agg(F.sum("words").alias("words"))
+        inside = rows.join(prefix.select("source_no", "prefix", "before", "quota"), "source_no").where(F.shiftright("key", shift + DIGIT_BITS) == F.col("prefix"))
+        by_digit = inside.groupBy("source_no", "before", "quota", F.shiftright("key", shift).alias("digit")).agg(
+            F.sum("words").alias("words"), F.min("key").alias("low"), F.max("key").alias("high")
+        )
         upto = F.sum("words").over(Window.partitionBy("source_no").orderBy("digit"))
         crossed = by_digit.withColumn("after", F.col("before") + upto).where("after > quota")
-        first = crossed.groupBy("source_no").agg(F.min(F.struct("digit", (F.col("after") - F.col("words")).alias("before"), "quota")).alias("f"))
-        prefix = written(first.select("source_no", F.col("f.digit").alias("prefix"), "f.before", "f.quota"), "digits")
-    return prefix.select("source_no", (F.col("prefix") - 1).alias("at"), (F.col("quota") - F.col("before")).alias("gap"))
-
-
-def _fill(candidates: pd.DataFrame) -> pd.DataFrame:
-    """Of one source's candidates, those that fill its gap: the largest that
-    fits, again and again, and one that exceeds it if that comes nearer."""
-    rows = candidates.drop_duplicates(["key", "size"]).sort_values(["size", "key"], ascending=False)
-    gap, chosen, over = int(rows["gap"].iloc[0]), [], None
-    for i, size in zip(rows.index, rows["size"]):
-        if size <= gap:
-            chosen.append(i)
-            gap -= size
-    for i, size in zip(rows.index, rows["size"]):
-        if i not in chosen and size - gap < gap:
-            over = i
-    return rows.loc[chosen + ([over] if over is not None else []), ["source_no", "key", "size"]]
-
-
-def fillers(rows: DataFrame, ends: DataFrame) -> DataFrame:
-    """Rank keys and sizes of the documents behind the ends that fill the gaps.
-    A source has two candidates for each power of two of size."""
-    behind = rows.where("size > 0").join(ends, "source_no").where("key > at")
-    bits = F.length(F.bin("size"))
-    candidates = (
-        behind.groupBy("source_no", "gap", bits.alias("bits"))
-        .agg(F.min(F.struct("key", "size")).alias("first"), F.min(F.struct("size", "key")).alias("least"))
-        .select("source_no", "gap", F.explode(F.array(F.struct("first.key", "first.size"), F.struct("least.key", "least.size"))).alias("c"))
-        .select("source_no", "gap", "c.key", "c.size")
+        first = crossed.groupBy("source_no").agg(F.min(F.struct("digit", (F.col("after") - F.col("words")).alias("before"), "quota", "low", "high")).alias("f"))
+        prefix = written(first.select("source_no", F.col("f.digit").alias("prefix"), "f.before", "f.quota", "f.low", "f.high"), "digits")
+        if prefix.where("low < high").isEmpty():
+            break
+    return prefix.select("source_no", (F.col("low") - 1).alias("at"), (F.col("quota") - F.col("before")).alias("gap"))
+
+
+def sample_spans(rows: DataFrame, quotas: DataFrame) -> DataFrame:
+    """Per source the ``spans`` of rank keys in which documents are taken: those
+    above ``after``, up to ``upto``, of at most ``fits`` words. Arguments are
+    those of ``sample_ends``. A span ends at the first document that does not
+    fit; the next one goes on behind it with those that fit what is left there,
+    until none does. Documents without words are of the first span only."""
+    left = quotas.select("source_no", "quota", F.lit(-1).cast("long").alias("after"), F.lit((1 << 63) - 1).alias("fits"))
+    spans, rest = None, rows
+    while spans is None or not rest.isEmpty():
+        ends = written(sample_ends(rest, left), "ends")
+        upto = F.coalesce("at", F.lit(1 << KEY_BITS))
+        found = left.join(ends, "source_no", "left").select("source_no", F.struct("after", upto.alias("upto"), "fits").alias("span"))
+        spans = found if spans is None else spans.unionByName(found)
+        left = ends.select("source_no", F.col("gap").alias("quota"), (F.col("at") + 1).alias("after"), F.col("gap").alias("fits"))
+        behind = rest.join(left.select("source_no", "after", "fits"), "source_no").where("key > after and words > 0 and words <= fits")
+        rest = written(behind.select("source_no", "key", "words"), "behind")
+    return written(spans.groupBy("source_no").agg(F.collect_list("span").alias("spans")), "spans")
+
+
+def drawn(docs: DataFrame, id: str, text: str, source: str, weights: Sequence[int], most: int) -> DataFrame:
+    """The rows of ``mix`` with its columns, ``id`` as "id", and the ``source``
+    and ``digest`` (``whole_digest``) of each."""
+    body = F.col(f"`{text}`")
+    raw = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{source}`").alias("source"), word_count(body).alias("size"), whole_digest(body).alias("digest"))
+    sized = raw.groupBy("id", "source", "size", "digest").agg(F.count("*").alias("n"))
+    sized = written(sized.select("id", "source", "size", "digest", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("repeat")), "sizes")
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    rate = F.when(F.col("source_size") == 0, F.lit(1.0)).otherwise(F.col("target") / F.col("source_size"))
+    certain = F.floor(F.col("rate") + 1e-9).cast("long")
+    targets = word_targets(totals, weights, most).withColumn("rate", rate).withColumn("certain", certain)
+    targets = targets.withColumn("odds", F.greatest(F.col("rate") - F.col("certain"), F.lit(0.0)))
+    targets = written(targets.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long")), "targets")
+    name = F.concat_ws("/", F.coalesce(F.col("id").cast("string"), F.lit("")), F.hex("digest"), "repeat")
+    key = F.when(F.col("odds") > 1e-9, pareto_key(random_share(name), F.col("odds")))
+    rows = sized.join(targets, null_safe(sized, targets, ["source"]), "inner").drop(targets["source"])
+    rows = written(rows.withColumn("key", key), "ranked")
+    quota = F.round(F.col("target") - F.col("certain") * F.col("source_size")).cast("long").alias("quota")
+    quotas = targets.where("odds > 1e-9").select("source_no", quota)
+    spans = sample_spans(rows.where("key is not null").select("source_no", "key", F.col("size").alias("words")), quotas)
+    within = F.exists("spans", lambda s: (F.col("key") > s["after"]) & (F.col("key") <= s["upto"]) & (F.col("size") <= s["fits"]) & ((F.col("size") > 0) | (s["after"] < 0)))
+    placed = written(rows.join(spans, "source_no", "left").withColumn("taken", F.coalesce(within, F.lit(False))).drop("spans"), "placed")
+    filled = placed.where("key is not null").groupBy("source_no").agg(
+        F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0)).alias("words"),
+        F.min(F.when(~F.col("taken") & (F.col("size") > 0), F.struct("size", "key"))).alias("least"),
+    )
+    gap = F.col("quota") - F.col("words")
+    over = filled.join(quotas, "source_no").where(F.col("least.size") - gap < gap).select("source_no", "least.size", "least.key", F.lit(True).alias("over"))
+    copies = F.col("certain") + (F.col("taken") | F.coalesce("over", F.lit(False))).cast("long")
+    return placed.join(written(over, "over"), ["source_no", "size", "key"], "left").select(
+        "id", "source", "digest", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")
     )
-    return candidates.groupBy("source_no").applyInPandas(_fill, "source_no long, key long, size long")
 
 
 def mix(
@@ -130,38 +159,8 @@ def mix(
 
     Sizes count runs of non-blank characters; null and empty texts have none. A
     null source is a source of its own; a source without words keeps one copy of
-    each row. Rows of one id and size are drawn together, but of those that fill
-    a gap only one is taken. Other columns are not read. An empty table gives an
-    empty result.
+    each row. Every row is drawn on its own, also those of null and repeated ids.
+    Other columns are not read. An empty table gives an empty result.
     """
-    raw = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"))
-    sized = written(raw, "sizes").groupBy("id", "source", "size").agg(F.count("*").alias("n"))
-    sized = written(sized, "distinct-sizes")
-    totals = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
-    rate = F.when(F.col("source_size") == 0, F.lit(1.0)).otherwise(F.col("target") / F.col("source_size"))
-    certain = F.floor(F.col("rate") + 1e-9).cast("long")
-    targets = word_targets(totals, weights, most).withColumn("rate", rate).withColumn("certain", certain)
-    targets = targets.withColumn("odds", F.greatest(F.col("rate") - F.col("certain"), F.lit(0.0)))
-    targets = written(targets.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long")), "targets")
-    drawn = F.when(F.col("odds") > 1e-9, pareto_key(random_share(F.col("id")), F.col("odds")))
-    rows = sized.join(targets, null_safe(sized, targets, ["source"]), "inner").drop(targets["source"])
-    rows = written(rows.withColumn("key", drawn).withColumn("words", F.col("size") * F.col("n")), "ranked")
-    quotas = targets.where("odds > 1e-9").select("source_no", F.round(F.col("target") - F.col("certain") * F.col("source_size")).cast("long").alias("quota"))
-    sampled = rows.where("key is not null").select("source_no", "key", "size", "words")
-    ends = written(sample_ends(sampled, quotas), "ends")
-    extra = written(fillers(sampled, ends), "fillers").withColumn("fills", F.lit(1))
-    placed = rows.join(ends, "source_no", "left").join(extra, ["source_no", "key", "size"], "left")
-    within = F.col("key").isNotNull() & (F.col("at").isNull() | (F.col("key") <= F.col("at")))
-    one = within | (F.col("fills").isNotNull() & (F.col("row") == 1))
-    copies = F.col("certain") + one.cast("long")
-    return (
-        placed.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("row"))
-        .select(
-            F.col("id").alias(id),
-            "size",
-            "source_size",
-            "target",
-            copies.alias("copies"),
-            (F.col("size") * copies).alias("taken"),
-        )
-    )
+    rows = drawn(docs, id, text, source, weights, most)
+    return rows.select(F.col("id").alias(id), "size", "source_size", "target", "copies", "taken")

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from kpiloom.llm.mixing import mix, random_share, sample_ends, word_targets
+from kpiloom.llm.mixing import mix, random_share, sample_ends, sample_spans, word_targets
 
 
 def targets_by_hand(sizes, weights=(5, 2, 1), most=3):
@@ -99,3 +99,39 @@ def test_edges(docs, edge_rows):
 def test_no_words_at_all(docs):
     got = mix(docs([(1, "", "", "a", 0), (2, None, "", None, 0)])).collect()
     assert [(r["size"], r["target"], r["taken"]) for r in got] == [(0, 0.0, 0)] * 2
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_spans_against_taking_one_by_one(spark, seed):
+    draw = random.Random(seed)
+    rows = [(s, k, draw.choice([0, 1, 3, 5, 40, 700])) for s in (1, 2, 3) for k in draw.sample(range(1 << 50), 300)]
+    quotas = {1: 5000, 2: 0, 3: 10**6}
+    df = spark.createDataFrame(rows, "source_no long, key long, words long")
+    spans = sample_spans(df, spark.createDataFrame(list(quotas.items()), "source_no long, quota long")).collect()
+    got = {(r["source_no"], k, n) for r in spans for a, upto, fits in r["spans"] for s, k, n in rows if s == r["source_no"] and a < k <= upto and n <= fits and (n or a < 0)}
+    want, left, crossed = set(), dict(quotas), set()
+    for s, k, n in sorted(rows):
+        if n <= left[s] and (n or s not in crossed):
+            want.add((s, k, n))
+            left[s] -= n
+        elif n:
+            crossed.add(s)
+    assert got == want
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_short_documents_fill_behind_a_long_one(docs, hot):
+    rows = [(None if hot else i, f"{i} " + "w " * (i % 20 + 1), "en", "b", 0) for i in range(1000)]
+    rows += [(5000 + i, "w " * 20_000 + str(i), "en", "b", 0) for i in range(4)] + [(9000, "w " * 75_000, "en", "a", 0)]
+    got = mix(docs(rows)).collect()
+    mine = [r for r in got if r["source_size"] != 75_000]
+    assert len(mine) == 1004 and abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 2
+
+
+def test_repeated_ids_are_drawn_one_by_one(docs):
+    rows = [(None, f"w {i}", "en", "ab"[i % 2], 0) for i in range(1000)] + [(1, "w w", "en", "a", 0)] * 200
+    got = mix(docs(rows)).collect()
+    assert {r["copies"] for r in got if r["doc_id"] == 1} in ({0, 1}, {1, 2})
+    for size in {r["source_size"] for r in got}:
+        mine = [r for r in got if r["source_size"] == size]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 2
