@@ -1,7 +1,7 @@
 """Exact dedup against an index of historical digests under a minimal perfect hash.
 
-The distinct digests of the historical rows are dealt into shards of about
-``SHARD_KEYS`` by hash. Each shard gets a minimal perfect hash function (levels
+The distinct digests are dealt by hash into shards of about ``SHARD_KEYS`` of the
+historical or the newer rows, whichever are more. Each shard gets a minimal perfect hash function (levels
 of bit arrays: a key owns the slot of the first level where it alone hit its
 bit), and its slots hold the full digest and the locator of the group's best
 row. Digests of newer rows look up their slot; a slot counts only when its
@@ -183,10 +183,10 @@ def digest_table(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
 
 def exact_groups(rows: DataFrame, history: DataFrame) -> DataFrame:
     """Group of every digest of ``rows`` and ``history`` (both ``digest_table``)."""
-    old = written(best_rows(history), "history")
-    shards = max(1, -(-old.count() // SHARD_KEYS))
+    old, new = written(best_rows(history), "history"), written(best_rows(rows), "newer")
+    shards = max(1, -(-max(old.count(), new.count()) // SHARD_KEYS))
     index = written(build_index(old, shards), "digest-index")
-    return written(merge_newer(index, best_rows(rows), shards), "digest-groups")
+    return written(merge_newer(index, new, shards), "digest-groups")
 
 
 def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", newer_share: float = 0.5) -> DataFrame:
@@ -196,12 +196,12 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", newer_s
     Texts are equal when they differ in ASCII blanks only; null counts as
     empty. The row with the most code points stays, then the smallest id (null
     ids last). Of repeated equal rows exactly one is kept. All rows take part:
-    a share of ``newer_share``, dealt by a hash of the id, is looked up in the
+    a share of ``newer_share``, dealt by a hash of id and digest, is looked up in the
     index that the others make; the split changes no result. Other columns are
     not read. An empty table gives an empty result.
     """
     digests = written(digest_table(docs, id, text), "digests")
-    newer = F.pmod(F.xxhash64("id"), F.lit(1000)) < int(1000 * newer_share)
+    newer = F.pmod(F.xxhash64("id", "digest"), F.lit(1000)) < int(1000 * newer_share)
     groups = exact_groups(digests.where(newer), digests.where(~newer))
     groups = groups.select("digest", F.col("length").alias("best_length"), F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
     repeated = digests.groupBy("id", "length", "digest").agg(F.count("*").alias("repeats"))

@@ -67,3 +67,15 @@ def test_slots_are_checked_byte_by_byte(spark):
     hits = slots >= 0
     assert hits.any()
     assert not (keys[slots[hits]] == strangers[hits]).all(axis=1).any()
+
+
+def test_shards_follow_the_larger_side(docs, monkeypatch):
+    seen, merge = [], exact.merge_newer
+    monkeypatch.setattr(exact, "SHARD_KEYS", 10)
+    monkeypatch.setattr(exact, "merge_newer", lambda index, newer, shards: seen.append((newer.count(), shards)) or merge(index, newer, shards))
+    rows = [(None, f"text {i}", "en", "a", 1) for i in range(200)]
+    assert exact.exact_dedup(docs(rows)).where("kept").count() == 200
+    newer, shards = seen.pop()
+    assert 60 < newer < 140 and shards >= 10
+    assert exact.exact_dedup(docs(rows), newer_share=1.0).where("kept").count() == 200
+    assert seen == [(200, 20)]
