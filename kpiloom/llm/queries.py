@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from kpiloom.llm.common import table
 from kpiloom.llm.exact import exact_dedup
 from kpiloom.llm.licenses import NOTICES, scan_licenses
+from kpiloom.llm.minhash import minhash_duplicates
 from kpiloom.llm.mixing import mix
 from kpiloom.llm.packing import pack
 from kpiloom.llm.quality import score_quality
@@ -91,6 +92,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), spec, limit=2048)
 
 
+def op12_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share four fifths of their word pairs."""
+    return minhash_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash_neardup,
@@ -103,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_topk,
         op9_warc_round_trip,
         op10_token_counts,
+        op12_minhash_neardup,
     )
 }
 
