@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiloom.llm.common import table
+from kpiloom.llm.divergence import source_divergence
 from kpiloom.llm.exact import exact_dedup
 from kpiloom.llm.licenses import NOTICES, scan_licenses
 from kpiloom.llm.minhash import minhash_duplicates
@@ -97,6 +98,11 @@ def op12_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are apart, and by which terms."""
+    return source_divergence(table(spark, sf_dir, "documents"), documents=3, ranks=200)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash_neardup,
@@ -110,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_warc_round_trip,
         op10_token_counts,
         op12_minhash_neardup,
+        op13_source_divergence,
     )
 }
 
@@ -187,4 +194,39 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN response IS DISTINCT FROM page_id AND response IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN response IS DISTINCT FROM page_id THEN response END AS refers_to
 FROM p LEFT JOIN g USING (payload_digest)""",
+    "op13_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), t AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), k AS (
+  SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 3
+), l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang
+), c AS (
+  SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL
+), g AS (
+  SELECT s.lang, s.source, coalesce(sum(c.n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) AS s LEFT JOIN c ON s.lang = c.lang AND s.source = c.source GROUP BY ALL
+), p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // CAST(g.total + l.v AS HUGEINT) AS p,
+    1 + CAST(1000000000 AS HUGEINT) * (k.n + 1) // CAST(l.total + l.v AS HUGEINT) AS q
+  FROM g JOIN k ON g.lang = k.lang JOIN l ON l.lang = g.lang
+    LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p AS a JOIN p AS b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM o WHERE part = 'pair' OR rank <= 200""",
 }
