@@ -21,6 +21,7 @@ from kpiloom.llm.tokens import count_tokens
 from kpiloom.llm.topk import top_k
 from kpiloom.llm.urlrules import Rule, judge_urls
 from kpiloom.llm.warc import archive_round_trip
+from kpiloom.llm.whitening import whiten
 
 #: The rules of the URL filter.
 URL_RULES = (
@@ -93,6 +94,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), spec, limit=2048)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the eight largest principal components, whitened."""
+    scores = whiten(table(spark, sf_dir, "embeddings"), components=8)
+    return scores.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op12_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that share four fifths of their word pairs."""
     return minhash_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
@@ -115,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_topk,
         op9_warc_round_trip,
         op10_token_counts,
+        op11_embedding_whitening,
         op12_minhash_neardup,
         op13_source_divergence,
     )
