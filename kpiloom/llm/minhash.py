@@ -180,16 +180,13 @@ def _pairs(entries: DataFrame, percent: int, different: str) -> DataFrame:
 
 
 def _stars(entries: DataFrame, order: Column, different: str, percent: int) -> DataFrame:
-    """For every node one pair with a node whose column ``different`` is not its
-    own: of all its buckets the one that comes first in ``order``."""
-    ranked = entries.withColumn("entry", F.struct(order.alias("order"), F.col("node"), F.col("n"), F.col(different).alias("part")))
-    first = written(ranked.groupBy("bucket").agg(F.max("entry").alias("first")), "first-nodes")
-    offered = ranked.join(first, "bucket")
-    others = offered.where("entry.part <> first.part").groupBy("bucket").agg(F.max("entry").alias("next"))
-    offered = offered.join(written(others, "next-nodes"), "bucket")
-    hub = F.when(F.col("entry.part") == F.col("first.part"), F.col("next")).otherwise(F.col("first"))
-    met = offered.select("node", "n", "entry", hub.alias("hub")).where(_large_enough("n", "hub.n", percent))
-    picked = met.groupBy("node").agg(F.max("hub").alias("hub"))
+    """In each bucket the node that comes first in ``order`` is offered to those
+    whose column ``different`` is not its own; a node takes the first it is
+    offered, so that each has one pair at most."""
+    entry = F.struct(order.alias("order"), F.col("node"), F.col("n"), F.col(different).alias("part"))
+    first = written(entries.groupBy("bucket").agg(F.max(entry).alias("first")), "first-nodes")
+    offered = entries.join(first, "bucket").where(F.col(different) != F.col("first.part"))
+    picked = offered.where(_large_enough("n", "first.n", percent)).groupBy("node").agg(F.max("first").alias("hub"))
     return picked.select(F.col("hub.node").alias("u"), F.col("node").alias("v"))
 
 
@@ -211,15 +208,15 @@ def confirmed_links(nodes: DataFrame, raw: DataFrame, words: int, percent: int)
     if crowded:
         tested = tested.unionByName(_stars(large, F.col("rank"), "node", percent)).distinct()
     found = written(_confirmed(written(tested, "pairs"), texts, words, percent), "links")
-    star = 0
+    star, left = 0, large
     while crowded:
         roots = components(found).select(F.col("u").alias("node"), F.col("v").alias("root"))
-        rooted = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = left.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         left = written(rooted.join(open_.select("bucket"), "bucket"), "open-buckets")
-        per_root = left.groupBy("bucket", "root").agg(F.count("*").cast("double").alias("c"))
-        per_bucket = per_root.groupBy("bucket").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"), F.sum("c").alias("c"))
-        pairs, rows = per_bucket.agg(F.sum("pairs"), F.sum("c")).first()
+        shares = left.groupBy("bucket", "root").agg(F.count("*").cast("double").alias("c")).groupBy("bucket")
+        crossing = ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")
+        pairs, rows = shares.agg(crossing, F.sum("c").alias("c")).agg(F.sum("pairs"), F.sum("c")).first()
         if not rows:
             break
         last = pairs <= 4 * rows or star >= STARS
