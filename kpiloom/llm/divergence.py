@@ -3,7 +3,8 @@
 Identical texts of a language are collapsed into one, with the number of copies
 that each source holds. Each distinct text is tokenised once; its terms count
 for a source as often as the source holds the text. So a text that fills a third
-of the rows is one tokenised text and one row per source.
+of the rows is one tokenised text and one entry per source. A task sums its
+texts per term and source before anything is shuffled.
 
 Shares are integers, p = 1 + floor(SCALE * (count + 1) / (N + V)), so all sums
 are exact. A term that neither source of a pair uses adds the same value, one
@@ -13,15 +14,20 @@ over all V terms is found from the terms used (``pair_values``).
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kpiloom.llm.common import filled, whole_digest, written
 
-#: Runs of ASCII letters and characters beyond ASCII.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Terms are runs of ASCII letters and characters beyond ASCII.
+#: A-Z become a-z, every other ASCII character a blank; UTF-8 writes characters
+#: beyond ASCII in bytes from 0x80 on, which stay.
+PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 SCALE = 1_000_000_000
 
@@ -31,6 +37,12 @@ DOCUMENTS = 3
 #: Rows of part ``term`` per source.
 RANKS = 200
 
+#: Sources of one text in one row; a text of more is tokenised once for each so many.
+HOLDERS = 4096
+
+#: Sums that a task holds before it sends them on.
+HELD = 1 << 19
+
 
 def share(count: Column, total: Column, terms: Column) -> Column:
     """p of a term. In decimals of 38 digits: SCALE * count may exceed a long."""
@@ -43,18 +55,70 @@ def distance(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per language and term of the task's texts: the sources that use it, with
+    occurrences and documents."""
+    words: dict[tuple, Counter] = defaultdict(Counter)
+    documents: dict[tuple, Counter] = defaultdict(Counter)
+
+    def drained() -> Iterator[pa.RecordBatch]:
+        for lang in {lang for lang, _ in words}:
+            rows: dict[bytes, tuple[list, list, list]] = defaultdict(lambda: ([], [], []))
+            for at, source in [key for key in words if key[0] == lang]:
+                df = documents[at, source]
+                for term, n in words[at, source].items():
+                    row = rows[term]
+                    row[0].append(source)
+                    row[1].append(n)
+                    row[2].append(df[term])
+            lists = [pa.array([row[k] for row in rows.values()], pa.list_(pa.int64())) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(rows), pa.string()), pa.array(list(rows), pa.string()), *lists], names=["lang", "term", "group", "n", "df"])
+        words.clear()
+        documents.clear()
+
+    held = 0
+    for batch in batches:
+        for lang, text, holders in zip(*(c for c in batch.columns)):
+            lang, terms = lang.as_py(), text.as_py().translate(PLAIN).split()
+            if not terms:
+                continue
+            counts = None
+            for holder in holders.as_py():
+                key, copies = (lang, holder["group"]), holder["copies"]
+                n, df = words[key], documents[key]
+                held -= len(n)
+                if copies == 1:
+                    n.update(terms)
+                    df.update(set(terms))
+                else:
+                    counts = counts or Counter(terms)
+                    for term, c in counts.items():
+                        n[term] += c * copies
+                        df[term] += copies
+                held += len(n)
+                if held > HELD:
+                    yield from drained()
+                    held = 0
+    yield from drained()
+
+
 def term_counts(docs: DataFrame, lang: str, source: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """The groups (``lang``, ``source``) that occur, and per group and term its
-    occurrences ``n`` and the documents ``df`` it is in."""
+    """The groups that occur, as ``group``, ``lang`` and ``source``; and per
+    language and term its occurrences ``n`` and documents ``df`` in a group."""
     named = docs.select(filled(F.col(f"`{lang}`")).alias("lang"), filled(F.col(f"`{source}`")).alias("source"), filled(F.col(f"`{text}`")).alias("text"))
     keyed = named.withColumn("digest", whole_digest("text"))
     copies = written(keyed.groupBy("lang", "digest", "source").agg(F.count("*").alias("copies")), "copies")
-    texts = keyed.where(F.col("text").rlike(TERM)).groupBy("lang", "digest").agg(F.first("text").alias("text"))
-    terms = F.explode(F.regexp_extract_all(F.translate("text", UPPER, UPPER.lower()), F.lit(TERM), F.lit(0)))
-    once = texts.select("lang", "digest", terms.alias("term")).groupBy("lang", "digest", "term").agg(F.count("*").alias("n"))
-    weighted = once.join(copies, ["lang", "digest"]).groupBy("lang", "source", "term")
-    counts = weighted.agg(F.sum(F.col("n") * F.col("copies")).alias("n"), F.sum("copies").alias("df"))
-    return copies.select("lang", "source").distinct(), written(counts, "term-counts")
+    groups = written(copies.select("lang", "source").distinct().withColumn("group", F.monotonically_increasing_id()), "groups")
+    parts = F.ceil(F.count("*") / HOLDERS).cast("int").alias("parts")
+    sizes = copies.groupBy("lang", "digest").agg(parts)
+    part = F.pmod(F.xxhash64("group"), F.col("parts"))
+    spread = copies.join(groups, ["lang", "source"]).join(sizes, ["lang", "digest"]).withColumn("part", part)
+    holders = written(spread.groupBy("lang", "digest", "part").agg(F.collect_list(F.struct("group", "copies")).alias("holders")), "holders")
+    once = keyed.groupBy("lang", "digest").agg(F.first("text").alias("text"))
+    texts = once.join(holders, ["lang", "digest"]).select("lang", F.col("text").cast("binary").alias("text"), "holders")
+    sums = texts.mapInArrow(_sums, "lang string, term string, group array<long>, n array<long>, df array<long>").repartition("lang", "term")
+    flat = sums.select("lang", "term", F.inline(F.arrays_zip("group", "n", "df")))
+    return groups, flat.groupBy("lang", "term", "group").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
 def pair_values(used: DataFrame, groups: DataFrame) -> DataFrame:
@@ -105,16 +169,15 @@ def source_divergence(
     are not read. An empty table gives an empty result.
     """
     groups, counts = term_counts(docs, lang, source, text)
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("all"), F.sum("df").alias("df")).where(F.col("df") >= documents).drop("df")
-    kept = written(kept, "kept-terms")
-    langs = written(kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all").alias("lang_total")), "languages")
-    counts = written(counts.join(kept, ["lang", "term"]).drop("df"), "kept-counts")
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = groups.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["total", "v", "lang_total"])
+    whole = W.partitionBy("lang", "term")
+    kept = counts.withColumns({"all": F.sum("n").over(whole), "in_lang": F.sum("df").over(whole)}).where(F.col("in_lang") >= documents)
+    counts = written(kept.select("lang", "term", "group", "n", "all"), "kept-counts")
+    totals = counts.groupBy("group").agg(F.sum("n").alias("total"))
+    langs = counts.groupBy("lang", "term").agg(F.max("all").alias("all")).groupBy("lang").agg(F.count("*").alias("v"), F.sum("all").alias("lang_total"))
+    groups = groups.join(totals, "group", "left").join(langs, "lang", "left").fillna(0, ["total", "v", "lang_total"])
     p0 = F.when(F.col("v") > 0, share(F.lit(0), F.col("total"), F.col("v"))).otherwise(1)
     groups = written(groups.withColumn("p0", p0.cast("long")), "source-groups")
-    used = counts.join(groups, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("v")))
-    used = written(used, "used-terms")
+    used = counts.join(groups.drop("lang"), "group").withColumn("p", share(F.col("n"), F.col("total"), F.col("v")))
     pairs = pair_values(used, groups).select("lang", "source", F.lit("pair").alias("part"), "item", "value")
     q = share(F.col("all"), F.col("lang_total"), F.col("v"))
     above = used.withColumn("q", q).where("p > q")

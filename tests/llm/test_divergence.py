@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from kpiloom.llm import divergence
 from kpiloom.llm.divergence import share, source_divergence
 
 TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
@@ -79,6 +80,14 @@ def test_copies_of_one_text_in_many_sources(docs):
     assert result(docs(rows)) == by_hand(rows)
 
 
+@pytest.mark.parametrize(("holders", "held"), [(1, 1), (2, 10)])
+def test_parts_change_nothing(docs, monkeypatch, holders, held):
+    monkeypatch.setattr(divergence, "HOLDERS", holders)
+    monkeypatch.setattr(divergence, "HELD", held)
+    rows = drawn(4)
+    assert result(docs(rows)) == by_hand(rows)
+
+
 def test_large_counts_stay_exact(spark):
     n, total, v = 9 * 10**17, 9 * 10**18, 10**6
     got = spark.range(1).select(share(F.lit(n), F.lit(total), F.lit(v)).alias("p")).first()["p"]
