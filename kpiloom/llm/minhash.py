@@ -13,8 +13,11 @@ Bands of coordinates propose pairs, and the whole shingle sets decide. Copies
 with equal sets are one node. In a band's bucket of up to ``BUCKET`` nodes all
 pairs are tested. In a larger one every node is first tested against the node
 that shares most buckets with others, then against others outside its component
-while this still merges some; what is then left between components is tested
-pair by pair, so that no proposed link is lost.
+while this still merges some. What is then left between components is compared
+by way of the bucket's first node, its hub: two sets have in common what both
+share with the hub, at most the smaller of the two shares, and what they share
+outside it. Only pairs whose sum may suffice are tested, so that no proposed
+link is lost and sets just below the threshold are not paired with all others.
 """
 
 from __future__ import annotations
@@ -130,8 +133,8 @@ def sketched(docs: DataFrame, id: str, text: str, words: int, bands: int, rows:
     return source.mapInArrow(run, schema)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs ``u``, ``v`` whose whole sets are similar enough.
+def _met(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``u``, ``v`` with both texts.
 
     The text of ``v`` moves to that of ``u``, which should be the node of more
     pairs; a node of many pairs has its text in several groups.
@@ -146,6 +149,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
         .select("u", F.pmod(F.xxhash64("v"), F.col("groups")).cast("int").alias("part"), F.col("v").alias("node"))
         .join(texts, "node")
     )
+    return second.join(first, ["u", "part"]).select("u", F.col("node").alias("v"), "text_u", "text")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs ``u``, ``v`` whose whole sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @lru_cache(maxsize=8)
@@ -160,8 +168,32 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
                 keep.append(100 * common >= percent * (len(one) + len(other) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    both = second.join(first, ["u", "part"]).select("u", F.col("node").alias("v"), "text_u", "text")
-    return both.mapInArrow(run, "u long, v long")
+    return _met(pairs, texts).mapInArrow(run, "u long, v long")
+
+
+def _shares(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """For a hub ``u`` and a node ``v``: the node's ``n`` shingles, ``common`` ones
+    with the hub, and hashes of the ``others``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        @lru_cache(maxsize=8)
+        def shingles(raw: bytes) -> set[bytes]:
+            return shingle_set(raw, words)
+
+        for batch in batches:
+            sizes, common, others = [], [], []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                one, other = shingles(a.as_py()), shingle_set(b.as_py(), words)
+                rest = other - one
+                sizes.append(len(other))
+                common.append(len(other) - len(rest))
+                others.append(np.fromiter((xxh64_intdigest(s, SEED) for s in rest), np.uint64, len(rest)).view(np.int64))
+            columns = [pa.array(sizes, pa.int64()), pa.array(common, pa.int64()), pa.array(others, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["u", "v", "n", "common", "others"])
+
+    return _met(pairs, texts).mapInArrow(run, "u long, v long, n long, common long, others array<long>")
 
 
 def _large_enough(a: str, b: str, percent: int) -> Column:
@@ -190,6 +222,33 @@ def _stars(entries: DataFrame, order: Column, different: str, percent: int) -> D
     return picked.select(F.col("hub.node").alias("u"), F.col("node").alias("v"))
 
 
+def _through_hubs(entries: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs of nodes of different ``root`` that share a bucket's hub and may be
+    similar enough: all that are, and few others."""
+    first = written(entries.groupBy("bucket").agg(F.max(F.struct("rank", "node", "root")).alias("first")), "hub-nodes")
+    seen = entries.join(first, "bucket").select(F.col("first.node").alias("u"), F.col("first.root").alias("hub_root"), F.col("node").alias("v"), "root").distinct()
+    seen = written(seen, "hub-members")
+    shares = _shares(seen.select("u", "v"), texts, words)
+    members = written(shares.join(seen, ["u", "v"]).withColumn("outside", F.col("root") != F.col("hub_root")), "hub-shares")
+
+    def enough(common: Column, sizes: Column) -> Column:
+        return (100 + percent) * common >= percent * sizes
+
+    def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
+        return rows.select("u", *more, *[F.col(c).alias(f"{c}_{name}") for c in ("v", "n", "common", "root")])
+
+    least, sizes = F.least("common_a", "common_b"), F.col("n_a") + F.col("n_b")
+    fitting = (F.col("root_a") != F.col("root_b")) & _large_enough("n_a", "n_b", percent)
+    smallest = written(members.groupBy("u").agg(F.min("n").alias("smallest")), "smallest-members")
+    near = written(members.drop("others").join(smallest, "u").where(enough(F.col("common"), F.col("n") + F.col("smallest"))), "near-hub")
+    by_hub = side(near.where("outside"), "a").join(side(near, "b"), "u").where(fitting & enough(least, sizes)).select("v_a", "v_b")
+    posted = written(members.withColumn("shingle", F.explode("others")).drop("others"), "shingles-outside")
+    met = side(posted.where("outside"), "a", "shingle").join(side(posted, "b", "shingle"), ["u", "shingle"]).where(fitting)
+    by_rest = met.groupBy("u", "v_a", "v_b").agg(F.count("*").alias("more"), *[F.first(c).alias(c) for c in ("n_a", "n_b", "common_a", "common_b")])
+    by_rest = by_rest.where(enough(least + F.col("more"), sizes)).select("v_a", "v_b")
+    return by_hub.unionByName(by_rest).select(F.least("v_a", "v_b").alias("u"), F.greatest("v_a", "v_b").alias("v")).distinct()
+
+
 def confirmed_links(nodes: DataFrame, raw: DataFrame, words: int, percent: int) -> DataFrame:
     """Links ``u``, ``v`` with the same components as all similar pairs that
     share a band. ``nodes`` has ``node``, ``n``, ``sha`` and ``bands``; ``raw``
@@ -219,11 +278,16 @@ def confirmed_links(nodes: DataFrame, raw: DataFrame, words: int, percent: int)
         pairs, rows = shares.agg(crossing, F.sum("c").alias("c")).agg(F.sum("pairs"), F.sum("c")).first()
         if not rows:
             break
-        last = pairs <= 4 * rows or star >= STARS
+        few, last = pairs <= rows, star >= STARS
         star += 1
-        tested = _pairs(left, percent, "root") if last else _stars(left, F.xxhash64("node", F.lit(star)), "root", percent)
+        if few:
+            tested = _pairs(left, percent, "root")
+        elif last:
+            tested = _through_hubs(left, texts, words, percent)
+        else:
+            tested = _stars(left, F.xxhash64("node", F.lit(star)), "root", percent)
         more = written(_confirmed(written(tested, "pairs"), texts, words, percent), "links")
-        if last:
+        if few or last:
             return found.unionByName(more)
         if more.isEmpty():
             star = STARS

@@ -127,6 +127,21 @@ def test_large_group_of_near_copies(spark, docs, monkeypatch):
     assert order(minhash_duplicates(docs(rows)).select(*OUT).collect()) == order(slow_rows(rows))
 
 
+@pytest.mark.parametrize("seed", [11, 12])
+def test_no_similar_pair_is_lost_by_way_of_a_hub(spark, seed):
+    """All nodes in one bucket, each its own root."""
+    draw = random.Random(seed)
+    base = [f"w{draw.randrange(5000)}" for _ in range(60)]
+    other = edited(base, draw, 0.3)
+    texts = [" ".join(edited(draw.choice([base, other]), draw, draw.choice([0, 0.03, 0.05, 0.1]))) for _ in range(120)]
+    sets = [slow_set(t) for t in texts]
+    entries = spark.createDataFrame([(1, i, len(s), (i * 7) % 120, i) for i, s in enumerate(sets)], "bucket long, node long, n long, rank long, root long")
+    raw = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "node long, text binary")
+    got = {tuple(r) for r in minhash._through_hubs(entries, raw, 2, 80).collect()}
+    want = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 100 * len(a & b) >= 80 * len(a | b)}
+    assert want <= got and len(got) < 4 * len(want) < 120 * 119 / 2
+
+
 def test_edges(spark, docs, edge_rows):
     got = minhash_duplicates(docs(edge_rows))
     assert got.columns == list(OUT)
