@@ -118,16 +118,15 @@ def add_target(
     return weekly.withColumn("Weekly_Target", F.bround(mean * uplift, 0).cast("long"))
 
 
-def weekly_metrics(
-    fact: DataFrame,
-    key: str = "Product_ID",
-    date: str = "Date",
-    uplift: float = 1.05,
-    changes: Sequence[str] = ("Sales_Units", "Revenue", "Lead_Time_days", "Efficiency_u_per_h"),
-) -> DataFrame:
-    """The product-week table with target, rolling means and WoW changes: one exchange."""
+# Columns whose weekly change is shown.
+CHANGES = ("Sales_Units", "Revenue", "Lead_Time_days", "Efficiency_u_per_h")
+
+
+def weekly_history(fact: DataFrame, key: str = "Product_ID", date: str = "Date", changes: Sequence[str] = CHANGES) -> DataFrame:
+    """Rolling means and changes of the product-week table: what a row takes
+    from the rows before it, at most 52 back."""
     out = add_rolling(
-        add_target(fact, key, uplift=uplift),
+        fact,
         [key],
         date,
         {
@@ -136,7 +135,6 @@ def weekly_metrics(
             "Rolling_4w_Eff": ("Efficiency_u_per_h", 4),
         },
     )
-    out = out.withColumn("Target_Achieved", target_achieved("Sales_Units", "Weekly_Target"))
     return add_growth(
         out,
         [key],
@@ -149,6 +147,14 @@ def weekly_metrics(
     )
 
 
+def weekly_metrics(
+    fact: DataFrame, key: str = "Product_ID", date: str = "Date", uplift: float = 1.05, changes: Sequence[str] = CHANGES
+) -> DataFrame:
+    """The product-week table with target, rolling means and WoW changes: one exchange."""
+    out = weekly_history(add_target(fact, key, uplift=uplift), key, date, changes)
+    return out.withColumn("Target_Achieved", target_achieved("Sales_Units", "Weekly_Target"))
+
+
 def monthly_summary(monthly: DataFrame, key: str = "Product_ID", month: str = "Month", alert: float = 0.10) -> DataFrame:
     """MoM and YoY changes, 3-month mean and drop flag per entity and month."""
     out = add_growth(

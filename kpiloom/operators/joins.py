@@ -81,6 +81,18 @@ def resample_weekly(
     return filled.select(*keys, "Week_End", amount.alias(name))
 
 
+def fill_weeks(weekly: DataFrame, keys: Sequence[str], date: str, zero: Sequence[str]) -> DataFrame:
+    """Weekly rows with every week between an entity's first and last: in added
+    weeks the columns ``zero`` are 0 and the others null."""
+    following = F.lead(date).over(W.partitionBy(*keys).orderBy(date))
+    spans = weekly.withColumn("_until", F.coalesce(F.date_sub(following, 7), F.col(date)))
+    spread = spans.withColumn("_at", F.explode(F.sequence(date, "_until", F.make_dt_interval(F.lit(7)))))
+    added = F.col("_at") != F.col(date)
+    others = [c for c in weekly.columns if c not in (*keys, date)]
+    filled = [F.when(added, F.lit(0 if c in zero else None)).otherwise(F.col(c)).alias(c) for c in others]
+    return spread.select(*keys, F.col("_at").alias(date), *filled)
+
+
 def future_weeks(
     weekly: DataFrame, keys: Sequence[str], horizon: int, week: str = "Week_Index", date: str = "Date"
 ) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Clustering and pooled forests with Spark ML.
+"""Clustering, pooled forests and boosting with Spark ML.
 
 All fits are distributed over the rows of the table. Inputs that several fits
 read are checkpointed once.
@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from itertools import product
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kpiloom.operators.stats import standardise
 from kpiloom.session import checkpointed
 
 
@@ -97,3 +99,87 @@ def forest_regression(
         seed=seed,
     ).fit(data)
     return model.transform(data).drop("_x")
+
+
+def _scaled_series(split: DataFrame, key: str, features: Sequence[str], target: str, order: str, train: Column) -> DataFrame:
+    """Features and target of each entity in deviations of its train rows, so
+    that one model fits entities of any level; ``_mean`` and ``_spread`` undo the
+    target's scale. Entities without train rows are left out."""
+    spread = F.coalesce(F.nullif(F.stddev_pop(target), F.lit(0.0)), F.lit(1.0))
+    level = split.where(train).groupBy(key).agg(F.avg(target).alias("_mean"), spread.alias("_spread"))
+    scaled = standardise(split.where(F.col(target).isNotNull()), list(features), train, [key]).join(level, key)
+    y = (F.col(target) - F.col("_mean")) / F.col("_spread")
+    rows = scaled.select(key, order, F.col(target).cast("double").alias("actual"), train.alias("_train"), "_mean", "_spread", y.alias("_y"), *[f"{c}_std" for c in features])
+    return _vectors(rows, [f"{c}_std" for c in features], fill=True)
+
+
+def _unscaled(scored: DataFrame, key: str, order: str) -> DataFrame:
+    return scored.select(key, order, "actual", (F.col("pred") * F.col("_spread") + F.col("_mean")).alias("pred"))
+
+
+def series_forest(
+    split: DataFrame, key: str, features: Sequence[str], target: str, order: str, trees: int = 200, depth: int = 10, seed: int = 42, is_test: str = "is_test"
+) -> DataFrame:
+    """One random forest over the train rows of all entities, each scaled by
+    itself, evaluated on their test rows: key, order, actual, pred."""
+    data = _spread(_scaled_series(split, key, features, target, order, ~F.col(is_test)))
+    forest = RandomForestRegressor(
+        featuresCol="_x", labelCol="_y", predictionCol="pred", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", maxMemoryInMB=1024, seed=seed
+    ).fit(data.where("_train"))
+    return _unscaled(forest.transform(data.where("NOT _train")), key, order)
+
+
+# The searched settings of the boosted trees.
+BOOST_DEPTHS = (4, 5)
+BOOST_TREES = (20, 40)
+BOOST_RATES = (0.05, 0.1)
+
+
+def _boosting(depth: int, trees: int, rate: float, seed: int) -> GBTRegressor:
+    return GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="pred", maxDepth=depth, maxIter=trees, stepSize=rate, seed=seed)
+
+
+def boosted_search(
+    folded: DataFrame,
+    key: str,
+    features: Sequence[str],
+    target: str,
+    order: str,
+    fold: str = "fold",
+    depths: Sequence[int] = BOOST_DEPTHS,
+    trees: Sequence[int] = BOOST_TREES,
+    rates: Sequence[float] = BOOST_RATES,
+    seed: int = 42,
+    parallelism: int = 4,
+) -> list[tuple[float, int, int, float]]:
+    """(mean squared error, depth, trees, rate) of every setting, best first: one
+    pooled model per depth and rate is fitted on the rows before the last fold
+    and evaluated on that fold after each number of trees."""
+    last = folded.agg(F.max(fold)).first()[0]
+    if last is None:
+        raise ValueError("no series is long enough for a fold")
+    data = _spread(_scaled_series(folded, key, features, target, order, F.coalesce(F.col(fold) < last, F.lit(True))))
+    train, valid = data.where("_train").persist(), data.where("NOT _train").persist()
+
+    def run(setting: tuple[int, float]) -> list[tuple[float, int, int, float]]:
+        depth, rate = setting
+        errors = _boosting(depth, max(trees), rate, seed).fit(train).evaluateEachIteration(valid, "squared")
+        return [(errors[n - 1], depth, n, rate) for n in trees]
+
+    try:
+        return sorted(sum(_in_parallel(folded.sparkSession, run, list(product(depths, rates)), parallelism), []))
+    finally:
+        train.unpersist()
+        valid.unpersist()
+
+
+def boosted_series(
+    folded: DataFrame, key: str, features: Sequence[str], target: str, order: str, fold: str = "fold", seed: int = 42, is_test: str = "is_test", **grid: Sequence
+) -> DataFrame:
+    """Boosted trees pooled over all entities: the grid is searched on the last
+    fold of the train rows, the best setting is fitted on all of them and
+    evaluated on the test rows. Ties go to less depth, fewer trees, the lower rate."""
+    _, depth, trees, rate = boosted_search(folded.where(~F.col(is_test)), key, features, target, order, fold, seed=seed, **grid)[0]
+    data = _spread(_scaled_series(folded, key, features, target, order, ~F.col(is_test)))
+    model = _boosting(depth, trees, rate, seed).fit(data.where("_train"))
+    return _unscaled(model.transform(data.where("NOT _train")), key, order)

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kpiloom.operators import entity_trees as ET
+from kpiloom.functions import week_index
 from kpiloom.operators import forecast as FC
 from kpiloom.operators import ml, stats
 from kpiloom.operators.forest import IsolationForest
 from kpiloom.operators.growth import add_holdout, add_position, series_features
-from kpiloom.operators.joins import keep_top, resample_weekly
+from kpiloom.operators.joins import fill_weeks, keep_top, resample_weekly
 from kpiloom.operators.reports import compare_models, stack_models
 from kpiloom.operators.rollup import rollup
 from kpiloom.plans.fact import order_lines, product_week
+from kpiloom.plans.fact_sql import FIRST_WEEK
 from kpiloom.plans.joining import RESAMPLE_SQL
 from kpiloom.plans.ranked import HOLDOUT_CTES, holdout_predictions
 from kpiloom.plans.registry import query
@@ -289,7 +290,7 @@ LAG_INPUTS = [f for f in FC.LAG_FEATURES if f != "month"]
 
 
 def lag_forest_predictions(split: DataFrame) -> DataFrame:
-    return ET.forest_backtest(split, "Product_ID", LAG_INPUTS, "Sales_Units", "Date")
+    return ml.series_forest(split, "Product_ID", LAG_INPUTS, "Sales_Units", "Date")
 
 
 def holdout_level(split: DataFrame) -> DataFrame:
@@ -357,52 +358,42 @@ def folded_split(spark: SparkSession, d: str) -> DataFrame:
     return with_folds(lag_split(spark, d))
 
 
-@query("m13_boosted_search", "Product_ID:s leaves:i trees:i rate:2 mse:3")
+def boosted_errors(spark: SparkSession, train: DataFrame) -> DataFrame:
+    found = ml.boosted_search(train, "Product_ID", LAG_INPUTS, "Sales_Units", "Date")
+    return spark.createDataFrame(found, "mse double, depth int, trees int, rate double")  # a row per setting
+
+
+@query("m13_boosted_search", "depth:i trees:i rate:2 mse:4")
 def boosted_search(spark: SparkSession, d: str) -> DataFrame:
-    train = folded_split(spark, d).where("NOT is_test")
-    return ET.boosted_search(train, "Product_ID", LAG_INPUTS, "Sales_Units", "Date")
+    """Error of every setting, in units of a product's deviation."""
+    return boosted_errors(spark, checkpointed(folded_split(spark, d).where("NOT is_test")))
 
 
 @query(
     "m13_search_check",
-    "Product_ID:s settings:i folds:i level_mse:3 better:b",
+    "settings:i level_mse:3 better:b",
     """WITH p AS (
-         SELECT Product_ID, "Date", Sales_Units AS y, row_number() OVER (PARTITION BY Product_ID ORDER BY "Date") - 1 AS pos,
+         SELECT Product_ID, Sales_Units AS y, row_number() OVER (PARTITION BY Product_ID ORDER BY "Date") - 1 AS pos,
            count(*) OVER (PARTITION BY Product_ID) - 12 AS n FROM pw
-       ), t AS (
-         SELECT *, CASE WHEN pos >= n - 4 * (n // 5) THEN (pos - (n - 4 * (n // 5))) // (n // 5) END AS fold
-         FROM p WHERE pos < n AND n >= 28
-       ), e AS (
-         SELECT a.Product_ID, f AS fold, avg((a.y - m.level) * (a.y - m.level)) AS mse
-         FROM t AS a JOIN (
-           SELECT Product_ID, f, avg(y) AS level FROM t, range(4) AS r(f) WHERE fold IS NULL OR fold < f GROUP BY 1, 2
-         ) AS m ON a.Product_ID = m.Product_ID AND a.fold = m.f GROUP BY 1, 2
-       )
-       SELECT Product_ID, 8 AS settings, count(*) AS folds, avg(mse) AS level_mse, true AS better FROM e GROUP BY 1""",
+       ), t AS (SELECT *, pos >= n - n // 5 AS valid FROM p WHERE pos < n AND n >= 28),
+       s AS (SELECT Product_ID, avg(y) AS level, coalesce(NULLIF(stddev_pop(y), 0), 1) AS spread FROM t WHERE NOT valid GROUP BY 1)
+       SELECT 8 AS settings, avg(((y - level) / spread) * ((y - level) / spread)) AS level_mse, true AS better
+       FROM t JOIN s USING (Product_ID) WHERE valid""",
 )
 def search_check(spark: SparkSession, d: str) -> DataFrame:
-    """Settings and folds of the search, and the error of a fold's train mean."""
+    """Settings of the search, the error of the train mean on its fold, and
+    whether the best setting's error is below that."""
     train = checkpointed(folded_split(spark, d).where("NOT is_test"))
-    found = ET.boosted_search(train, "Product_ID", LAG_INPUTS, "Sales_Units", "Date")
-    best = found.groupBy("Product_ID").agg(
-        F.count(F.lit(1)).alias("settings"), F.max("folds").alias("folds"), F.min("mse").alias("mse"), F.lit(12).alias("n")
-    )
-    sums = train.withColumn("fold", F.coalesce("fold", F.lit(-1))).groupBy("Product_ID", "fold").agg(
-        F.sum("Sales_Units").alias("s"), F.sum(F.col("Sales_Units") * F.col("Sales_Units")).alias("q"), F.count(F.lit(1)).alias("c")
-    )
-    earlier = Window.partitionBy("Product_ID").orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
-    level = F.sum("s").over(earlier) / F.sum("c").over(earlier)
-    errors = sums.withColumn("level", level).where("fold >= 0").withColumn(
-        "e", (F.col("q") - 2 * F.col("level") * F.col("s") + F.col("c") * F.col("level") * F.col("level")) / F.col("c")
-    )
-    flat = errors.groupBy("Product_ID").agg(F.avg("e").alias("mse"))
-    return against_level(best, flat).join(best.select("Product_ID", "settings", "folds"), "Product_ID")
+    best = boosted_errors(spark, train).agg(F.count(F.lit(1)).alias("settings"), F.min("mse").alias("mse"))
+    scaled = stats.standardise(train, ["Sales_Units"], F.coalesce(F.col("fold") < 3, F.lit(True)), ["Product_ID"])
+    level = scaled.where("fold = 3").agg(F.avg(F.col("Sales_Units_std") * F.col("Sales_Units_std"))).scalar()
+    return best.withColumn("level_mse", level).withColumn("better", F.col("mse") < F.col("level_mse"))
 
 
 @query("m13_boosted_backtest", "Product_ID:s rmse:3 mae:3 mape_pct:3 n:i")
 def boosted_backtest(spark: SparkSession, d: str) -> DataFrame:
-    predicted = ET.boosted_backtest(folded_split(spark, d), "Product_ID", LAG_INPUTS, "Sales_Units", "Date")
-    return stats.forecast_metrics(predicted, ["Product_ID"])
+    split = checkpointed(folded_split(spark, d))
+    return stats.forecast_metrics(ml.boosted_series(split, "Product_ID", LAG_INPUTS, "Sales_Units", "Date"), ["Product_ID"])
 
 
 @query(
@@ -540,31 +531,43 @@ def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     return compare_models(long, "Product_ID", ["Trend", "Mean"], ["mse", "mape"])
 
 
+SUMMARY_MODELS = ("Mean", "LinearTrend", "LinearRegression", "Additive", "SARIMA", "RandomForest", "Boosted")
+
+
 def summary_predictions(spark: SparkSession, d: str) -> DataFrame:
-    """Hold-out predictions of all forecast models for the top three products."""
+    """Hold-out predictions of all forecast models for the top three products.
+
+    All models get the same series, weeks without sales included as 0, and hold
+    out the same last 12 weeks of it.
+    """
     fact = checkpointed(product_week(spark, d, ["Revenue", *FEATURE_COLUMNS]))
     totals = rollup(fact, ["Product_ID"], {"Revenue": "sum"})
-    top = checkpointed(keep_top(fact, totals, "Product_ID", "Revenue", 3))
-    weekly = resample_weekly(top, ["Product_ID"], "Date", "Sales_Units")
-    position = add_position(top, ["Product_ID"], "Date")
-    trend = stats.trend_backtest(
-        add_holdout(position, ["Product_ID"], "Date", 12, 50), "Product_ID", "position", "Sales_Units"
-    )
+    known = keep_top(fact, totals, "Product_ID", "Revenue", 3).drop("Week_Index")
+    filled = fill_weeks(known, ["Product_ID"], "Date", ["Revenue", "Sales_Units", "Marketing_Spend"])
+    top = checkpointed(filled.withColumn("Week_Index", week_index("Date", FIRST_WEEK)))
+    position = add_holdout(add_position(top, ["Product_ID"], "Date"), ["Product_ID"], "Date", 12, 50)
+    trend = stats.trend_backtest(position, "Product_ID", "position", "Sales_Units")
+    mean = F.avg(F.when(~F.col("is_test"), F.col("Sales_Units"))).over(Window.partitionBy("Product_ID"))
     split = checkpointed(with_folds(add_holdout(series_features(top), ["Product_ID"], "Date", 12, 40)))
-    trees = {
-        "RandomForest": lag_forest_predictions(split),
-        "Boosted": ET.boosted_backtest(split, "Product_ID", LAG_INPUTS, "Sales_Units", "Date"),
-    }
     predictions = {
+        "Mean": position.withColumn("pred", mean).where("is_test").withColumnRenamed("Sales_Units", "actual"),
         "LinearTrend": trend.withColumnRenamed("Sales_Units", "actual"),
         "LinearRegression": FC.regression_backtest(top),
         "Additive": FC.additive_backtest(top),
-        "SARIMA": FC.sarima_backtest(weekly, "Product_ID", "Week_End", "Sales_Units"),
-        **trees,
+        "SARIMA": FC.sarima_backtest(top, "Product_ID", "Date", "Sales_Units"),
+        "RandomForest": lag_forest_predictions(split),
+        "Boosted": ml.boosted_series(split, "Product_ID", LAG_INPUTS, "Sales_Units", "Date"),
     }
     return stack_models({name: t.select("Product_ID", "actual", "pred") for name, t in predictions.items()})
 
 
+@query("m18_wide_comparison", "Product_ID:s " + " ".join(f"{m}_mse:3 {m}_mape:4" for m in SUMMARY_MODELS))
+def wide_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """One row per top product, errors of every model side by side."""
+    long = stats.forecast_metrics(summary_predictions(spark, d), ["Product_ID", "Model"])
+    return compare_models(long, "Product_ID", SUMMARY_MODELS, ["mse", "mape"])
+
+
 @query("m18_forecast_summary", "Product_ID:s Model:s rmse:3 mae:3 mape_pct:3")
 def forecast_summary(spark: SparkSession, d: str) -> DataFrame:
     """Errors of all forecast models for the top three products, one row each."""
@@ -573,16 +576,21 @@ def forecast_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "m18_summary_rows",
-    "Product_ID:s Model:s n:i actual:4",
-    """WITH top AS (SELECT Product_ID FROM pw GROUP BY 1 ORDER BY sum(Revenue) DESC, 1 LIMIT 3), p AS (
-         SELECT Product_ID, Sales_Units, row_number() OVER (PARTITION BY Product_ID ORDER BY "Date" DESC) AS back FROM pw
-         WHERE Product_ID IN (SELECT Product_ID FROM top)
-       )
-       SELECT Product_ID, Model, count(*) AS n, avg(Sales_Units) AS actual
-       FROM p, (VALUES ('LinearTrend'), ('LinearRegression'), ('Additive'), ('SARIMA'), ('RandomForest'), ('Boosted')) AS m(Model)
+    "Product_ID:s Model:s n:i actual:4 level_mse:3",
+    f"""WITH top AS (SELECT Product_ID FROM pw GROUP BY 1 ORDER BY sum(Revenue) DESC, 1 LIMIT 3), p AS (
+         SELECT Product_ID, Sales_Units AS y, row_number() OVER (PARTITION BY Product_ID ORDER BY Week_End DESC) AS back
+         FROM ({RESAMPLE_SQL}) AS r WHERE Product_ID IN (SELECT Product_ID FROM top)
+       ), s AS (SELECT Product_ID, avg(y) AS level FROM p WHERE back > 12 GROUP BY 1)
+       SELECT Product_ID, Model, count(*) AS n, avg(y) AS actual,
+         CASE WHEN Model = 'Mean' THEN avg((y - level) * (y - level)) END AS level_mse
+       FROM p JOIN s USING (Product_ID), (VALUES {", ".join(f"('{m}')" for m in SUMMARY_MODELS)}) AS m(Model)
        WHERE back <= 12 GROUP BY 1, 2""",
 )
 def summary_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that every model of the summary is measured on."""
+    """Rows that every model of the summary is measured on, and the error of the
+    train mean on them."""
     rows = summary_predictions(spark, d).where("pred IS NOT NULL")
-    return rows.groupBy("Product_ID", "Model").agg(F.count(F.lit(1)).alias("n"), F.avg("actual").alias("actual"))
+    found = stats.forecast_metrics(rows, ["Product_ID", "Model"]).select("Product_ID", "Model", "mse")
+    level_mse = F.when(F.col("Model") == "Mean", F.col("mse")).alias("level_mse")
+    means = rows.groupBy("Product_ID", "Model").agg(F.count(F.lit(1)).alias("n"), F.avg("actual").alias("actual"))
+    return means.join(found, ["Product_ID", "Model"]).select("Product_ID", "Model", "n", "actual", level_mse)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kpiloom.functions import fill_rate, is_drop, safe_divide, weeks_of_inventory
 from kpiloom.operators import growth as G
 from kpiloom.operators import reports as RP
+from kpiloom.operators.incremental import extend_series, read_series, write_series
 from kpiloom.operators.joins import keep_top
 from kpiloom.operators.ranking import pareto, pareto_crossing, pareto_set
 from kpiloom.operators.rollup import BASIC_MEASURES, OPERATIONS_MEASURES, RICH_MEASURES, rollup
@@ -28,8 +29,8 @@ from kpiloom.plans.shared import (
     top_products,
     written_fact,
 )
-from kpiloom.plans.windowed import PARETO_SQL, WATERFALL_SQL, change_sql, rolling_sql, waterfall_table
-from kpiloom.session import checkpointed
+from kpiloom.plans.windowed import LAGS, LAGS_SQL, PARETO_SQL, WATERFALL_SQL, change_sql, rolling_sql, waterfall_table
+from kpiloom.session import checkpointed, scratch_path
 
 
 # The years of the test tables, for the checking SQL; the query reads them from the data.
@@ -125,13 +126,21 @@ ATTRIBUTES = ["Product_Name", "Category", "Week_Index", "Month", "Quarter", "Yea
 FINAL = [*dict.fromkeys([*RICH_MEASURES, *BASIC_MEASURES, *OPERATIONS_MEASURES]), *FACT_ONLY]
 
 
-@query(
-    "r9_full_fact",
+def with_stock(weekly: DataFrame) -> DataFrame:
+    stock = {
+        "Inventory_Weeks": weeks_of_inventory("Inventory", "Sales_Units"),
+        "Fill_Rate": fill_rate("Backorder", "Sales_Units"),
+    }
+    return weekly.withColumns(stock)
+
+
+FULL_OUT = (
     out_of("Product_ID:s Date:d Product_Name:s Category:s Week_Index:i Month:d Quarter:d Year:i", dict.fromkeys(FINAL, ""))
     + " On_Promo:b Weekly_Target:i Target_Achieved:6 Inventory_Weeks:6 Fill_Rate:6 Rolling_4w_Sales:6 Rolling_13w_Sales:6 "
     "Rolling_4w_Eff:6 WoW_pct_Sales_Units:6 WoW_pct_Revenue:6 WoW_pct_Lead_Time_days:6 WoW_pct_Efficiency_u_per_h:6 "
-    "pct_4w_Sales:6 pct_52w_Sales:6",
-    f"""SELECT *, Sales_Units / (Weekly_Target + 1e-9) AS Target_Achieved,
+    "pct_4w_Sales:6 pct_52w_Sales:6"
+)
+FULL_SQL = f"""SELECT *, Sales_Units / (Weekly_Target + 1e-9) AS Target_Achieved,
           Inventory / (NULLIF(Sales_Units, 0) + 1e-6) AS Inventory_Weeks,
           1 - Backorder / (NULLIF(Sales_Units, 0) + 1e-6) AS Fill_Rate FROM (
           SELECT *, round_even(avg(Sales_Units) OVER (PARTITION BY Product_ID) * 1.05, 0) AS Weekly_Target,
@@ -142,15 +151,31 @@ FINAL = [*dict.fromkeys([*RICH_MEASURES, *BASIC_MEASURES, *OPERATIONS_MEASURES])
             {change_sql('Lead_Time_days', 1, 'Date')} AS WoW_pct_Lead_Time_days,
             {change_sql('Efficiency_u_per_h', 1, 'Date')} AS WoW_pct_Efficiency_u_per_h,
             {change_sql('Sales_Units', 4, 'Date')} AS pct_4w_Sales, {change_sql('Sales_Units', 52, 'Date')} AS pct_52w_Sales
-          FROM pw) AS f""",
-)
+          FROM pw) AS f"""
+
+
+@query("r9_full_fact", FULL_OUT, FULL_SQL)
 def full_fact(spark: SparkSession, d: str) -> DataFrame:
     fact = product_week(spark, d, [*ATTRIBUTES, *FINAL, "On_Promo"])
-    stock = {
-        "Inventory_Weeks": weeks_of_inventory("Inventory", "Sales_Units"),
-        "Fill_Rate": fill_rate("Backorder", "Sales_Units"),
-    }
-    return G.weekly_metrics(fact).withColumns(stock)
+    return with_stock(G.weekly_metrics(fact))
+
+
+@query(
+    "r9_extended_fact",
+    FULL_OUT + " " + " ".join(f"lag_{n}:2" for n in LAGS),
+    f"""SELECT * FROM ({FULL_SQL}) AS w JOIN (SELECT * EXCLUDE (Sales_Units) FROM ({LAGS_SQL}) AS l) AS s USING (Product_ID, "Date")""",
+)
+def extended_fact(spark: SparkSession, d: str) -> DataFrame:
+    """The same table and its lags, written without the last quarter and then
+    extended by its weeks, a month at a time."""
+    fact = checkpointed(product_week(spark, d, [*ATTRIBUTES, *FINAL, "On_Promo"]))
+    path = scratch_path(spark, "weekly-table")
+    last = fact.agg(F.max("Quarter")).first()[0]
+    write_series(fact.where(F.col("Quarter") < last), path)
+    months = sorted(r[0] for r in fact.where(F.col("Quarter") == last).select("Month").distinct().collect())
+    for month in months:
+        extend_series(fact.where(F.col("Month") == month), path)
+    return with_stock(read_series(spark, path))
 
 
 @query(

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from kpiloom.operators import forecast as FC
 from kpiloom.operators import ml
-from kpiloom.operators import entity_trees as ET
 from kpiloom.operators.forest import IsolationForest, average_path, build_tree, draw_samples
 from kpiloom.operators.growth import add_holdout
 from kpiloom.operators.stats import standardise
@@ -175,7 +174,7 @@ def test_forest_learns_a_step(spark):
     assert error.first()[0] < 1.0
 
 
-# --- trees of one entity ------------------------------------------------------
+# --- pooled series models -----------------------------------------------------
 
 
 def step_series(n=120):
@@ -185,46 +184,43 @@ def step_series(n=120):
     return frame
 
 
-def test_tree_separates_a_step():
-    x = np.array([[1.0, 5.0], [2.0, 5.0], [np.nextafter(2.0, 3.0), 5.0], [4.0, 5.0]])
-    y = np.array([0.0, 0.0, 9.0, 9.0])
-    tree = ET.grow_tree(x, y)
-    assert tree.predict(x).tolist() == y.tolist()
-    assert len(tree.value) == 3
-    assert len(ET.grow_tree(x, y, leaves=1).value) == 1
-    assert len(ET.grow_tree(x, y, leaf_rows=3).value) == 1
+def two_scales(spark):
+    """Two products, one at a hundred times the other's level."""
+    large = step_series().assign(Product_ID="P2")
+    large["Sales_Units"] *= 100
+    return add_holdout(spark.createDataFrame(pd.concat([step_series(), large])), ["Product_ID"], "Date", 12)
 
 
-def test_trees_grown_together_are_those_grown_alone():
-    x, y = RNG.normal(size=(90, 3)), RNG.normal(size=90)
-    rows = np.random.default_rng(4).integers(0, 90, (1, 90))[0]
-    alone = ET.grow_tree(x[rows], y[rows]).predict(x)
-    together = ET.forest_predict(x, y, x, 1, 4)
-    assert np.mean(np.isclose(alone, together)) > 0.8  # splits of equal gain may differ
+def test_forest_of_series_of_any_level(spark):
+    got = ml.series_forest(two_scales(spark), "Product_ID", ["x", "z"], "Sales_Units", "Date", trees=20, depth=4).toPandas()
+    assert got.groupby("Product_ID").size().to_dict() == {"P1": 12, "P2": 12}
+    errors = np.abs(got["pred"] - got["actual"])
+    assert errors[got["Product_ID"] == "P1"].mean() < 0.5 and errors.mean() < 50.0
 
 
-def test_forest_backtest_per_entity(spark):
-    frame = pd.concat([step_series(), step_series().assign(Product_ID="P2")])
-    split = add_holdout(spark.createDataFrame(frame), ["Product_ID"], "Date", 12)
-    got = ET.forest_backtest(split, "Product_ID", ["x", "z"], "Sales_Units", "Date", trees=20).toPandas()
-    assert got.groupby("Product_ID").size().to_dict() == {"P1": 12, "P2": 12}
-    assert np.abs(got["pred"] - got["actual"]).max() < 1.0
+def folded_scales(spark):
+    folded = FC.add_cv_folds(two_scales(spark), ["Product_ID", "is_test"], "Date", 2)
+    return folded.withColumn("fold", F.when(~F.col("is_test"), F.col("fold")))
 
 
-def test_boosted_grid_has_every_setting(spark):
-    folded = FC.add_cv_folds(spark.createDataFrame(step_series()), ["Product_ID"], "Date", 4)
-    got = ET.boosted_search(folded, "Product_ID", ["x", "z"], "Sales_Units", "Date", trees=(5, 40), leaf_rows=5).collect()
-    assert len(got) == 8 and {r["folds"] for r in got} == {4}
-    by_trees = {(r["leaves"], r["rate"], r["trees"]): r["mse"] for r in got}
-    assert all(by_trees[l, r, 40] < by_trees[l, r, 5] for l, r, _ in by_trees)
+def test_boosted_search_has_every_setting(spark):
+    train = folded_scales(spark).where("NOT is_test")
+    got = ml.boosted_search(train, "Product_ID", ["x", "z"], "Sales_Units", "Date", depths=(1, 2), trees=(2, 8), rates=(0.1, 0.3))
+    assert len(got) == 8 and got == sorted(got)
+    errors = {setting: mse for mse, *at in got for setting in [tuple(at)]}
+    assert errors[1, 8, 0.1] < errors[1, 2, 0.1]
 
 
-def test_boosted_backtest_takes_the_best_setting(spark):
-    df = add_holdout(spark.createDataFrame(step_series()), ["Product_ID"], "Date", 12)
-    folded = FC.add_cv_folds(df, ["Product_ID", "is_test"], "Date", 2).withColumn("fold", F.when(~F.col("is_test"), F.col("fold")))
-    got = ET.boosted_backtest(folded, "Product_ID", ["x"], "Sales_Units", "Date", trees=(2, 60), rates=(0.1,), leaf_rows=5).toPandas()
-    assert len(got) == 12
-    assert np.abs(got["pred"] - got["actual"]).max() < 1.0
+def test_boosted_series_takes_the_best_setting(spark):
+    got = ml.boosted_series(folded_scales(spark), "Product_ID", ["x"], "Sales_Units", "Date", depths=(2,), trees=(1, 20), rates=(0.3,)).toPandas()
+    assert len(got) == 24
+    assert np.abs(got["pred"] - got["actual"])[got["Product_ID"] == "P1"].mean() < 0.5
+
+
+def test_search_needs_a_fold(spark):
+    train = folded_scales(spark).where("fold IS NULL AND NOT is_test")
+    with pytest.raises(ValueError, match="fold"):
+        ml.boosted_search(train, "Product_ID", ["x"], "Sales_Units", "Date")
 
 
 def test_additive_fit_does_not_see_the_test_rows(spark):

@@ -157,3 +157,11 @@ def test_bootstrap_interval_covers_the_normal_one(spark):
         assert r["mean"] == pytest.approx(n["mean"])
         assert r["low"] == pytest.approx(n["low"], abs=0.1)
         assert r["high"] == pytest.approx(n["high"], abs=0.1)
+
+
+def test_filled_weeks_keep_the_known_ones(spark):
+    df = weekly(spark, [1.0, 2.0, 3.0, 4.0], skip=(1, 2)).withColumn("Price", F.lit(7.0))
+    got = J.fill_weeks(df, ["Product_ID"], "Date", ["Sales_Units"])
+    assert column(got, "Sales_Units") == [1.0, 0.0, 0.0, 4.0]
+    assert column(got, "Price") == [7.0, None, None, 7.0]
+    assert got.agg(F.count_distinct("Date")).first()[0] == 4
