@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, IntegerType, StructField, StructType
 
+from kpiloom.llm.common import filled, whole_digest
+
 #: Labelled rows that the fit reads at most; a documented bound.
 FIT_ROWS = 12_000
 
@@ -199,8 +201,9 @@ def _features(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id: str, text: str, n_chars: str | None, label: str, fit_rows: int = FIT_ROWS) -> Machine:
-    """The machine fitted on at most ``fit_rows`` labelled rows that are not
-    held out, chosen by a hash of the id."""
+    """The machine fitted on at most ``fit_rows`` labelled ids that are not held
+    out, chosen by a hash of the id. Of the rows that share an id, that with the
+    smallest digest of its text, then the smallest recorded length, is learned."""
     known = (
         labels.select(F.col(f"`{id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("label"))
         .where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id")))
@@ -210,7 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, id: str, text: str, n_chars: str | N
         .limit(fit_rows)
     )
     body = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), _length(docs, n_chars))
-    chosen = body.join(F.broadcast(known), "id").dropDuplicates(["id"]) if fit_rows <= 100_000 else body.join(known, "id")
+    one = F.min(F.struct(whole_digest(filled("text")).alias("digest"), "n_chars", "text")).alias("row")
+    chosen = body.join(F.broadcast(known), "id").groupBy("id", "label").agg(one).select("row.*", "label")  # ``fit_rows`` ids
     schema = StructType(
         [StructField(n, BinaryType()) for n in ("cuts", "weights")] + [StructField("bias", DoubleType()), StructField("factors", BinaryType())]
     )

@@ -81,3 +81,35 @@ def test_carried_columns(spark, docs, edge_rows):
 def test_fit_depends_on_nothing_but_the_rows():
     rows = [(*hashed_words(t), np.array(statistics(t, n)), i % 2) for i, (_, t, _, _, n) in enumerate(rows_of(40)[0])]
     assert fit_machine(rows).packed() == fit_machine(rows).packed()
+
+
+@pytest.mark.parametrize("fit_rows", [12_000, 200_000])
+def test_repeated_ids_are_learned_alike_in_any_order(spark, docs, fit_rows):
+    rows, labels = rows_of(90)
+    rows = [(i % 30, *rest) for i, *rest in rows]  # three texts share an id
+    known = spark.createDataFrame(labels[:30], "doc_id long, quality int")
+    scores = []
+    for turn in (rows, rows[::-1], rows[31:] + rows[:31]):
+        got = score_quality(docs(turn).repartition(len(scores) + 1), known, fit_rows=fit_rows, carry=("text",)).collect()
+        scores.append({r["text"]: r["score"] for r in got})
+    assert scores[0] == scores[1] == scores[2] and len(set(scores[0].values())) > 10
+
+
+def test_query_against_a_plain_fit(spark, larger_dir):
+    """Every document's score from a machine fitted in this process."""
+    from kpiloom.llm.queries import QUERIES
+
+    rows = spark.read.parquet(f"{larger_dir}/documents.parquet").collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{larger_dir}/labels.parquet").collect() if r.quality is not None}
+    train = [(*hashed_words(r.text), np.array(statistics(r.text, r.n_chars)), labels[r.doc_id]) for r in rows
+             if r.doc_id in labels and zlib.crc32(str(r.doc_id).encode()) % 5]
+    train = [(np.asarray(at, np.int64), np.asarray(words, np.float64), stats, y) for at, words, stats, y in train]
+    train.sort(key=lambda r: (r[3], len(r[0]), r[0].tolist(), r[1].tolist(), r[2].tolist()))
+    machine = fit_machine(train)
+    got = {r["doc_id"]: r for r in QUERIES["op3_quality_classifier"](spark, larger_dir).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        at, value = hashed_words(r.text)
+        want = machine.score(*machine.vector(at, value, np.array(statistics(r.text, r.n_chars))))
+        assert got[r.doc_id]["score"] == pytest.approx(want, rel=1e-5)
+        assert got[r.doc_id]["predicted"] == int(got[r.doc_id]["score"] >= 0.3)
