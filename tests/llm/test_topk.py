@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from kpiloom.llm import topk
-from kpiloom.llm.topk import ImpactIndex, dealt, top_k
+from kpiloom.llm.topk import ImpactIndex, block_of, top_k
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -103,5 +103,31 @@ def test_repeated_rows_are_dealt_out(docs):
     from pyspark.sql import functions as F
 
     held = docs([(1, [1.0], 0)] * 4000, VECTORS).select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.monotonically_increasing_id().alias("nth"))
-    sizes = [r["count"] for r in dealt(held, ["id", "nth"], "block", 8, "batch", 1).groupBy("block").count().collect()]
+    sizes = [r["count"] for r in held.select(block_of(8)).groupBy("block").count().collect()]
     assert len(sizes) == 8 and max(sizes) < 650
+
+
+def test_large_components(docs):
+    """Products beyond 52 and beyond 63 bits, and components beyond the long range."""
+    draw = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in draw.normal(0, 10.0 ** draw.integers(0, 9), 12)], 0) for i in range(200)]
+    huge = [(300, [1e6] * 12, 0), (301, [1e300, *[0.5] * 11], 0), (302, [-1e300] * 12, 0), (350, [1e300, *[0.0] * 11], 0)]
+    rows += huge
+    kind = "vec_id long, embedding array<double>, label int"
+    most, ends = 1 << 53, (-(1 << 63), (1 << 63) - 1)
+    whole = {i: [max(-most, min(most, math.floor(256 * x))) for x in v] for i, v, _ in rows}
+    want = []
+    for q in [i for i in whole if i % 50 == 0]:
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), j) for j, v in whole.items() if j != q)
+        want += [(q, rank + 1, j, max(ends[0], min(ends[1], -s))) for rank, (s, j) in enumerate(scores[:5])]
+    assert result(docs(rows, kind)) == sorted(want)
+
+
+def test_each_vector_is_shuffled_once(docs, monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    rows = [(i, [float(i % 7), 1.0], 0) for i in range(60)]
+    df = docs(rows, VECTORS)
+    out = top_k(df, df.where("vec_id % 5 = 0"), k=2)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in text and text.count("Generate explode") == 1
+    assert sorted(tuple(r) for r in out.collect()) == by_hand(rows, k=2, step=5)
