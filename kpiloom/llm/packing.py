@@ -201,14 +201,15 @@ def pack(docs: DataFrame, spec: str, capacity: int = 2048, id: str = "doc_id", t
     the back. Repeated rows are packed as often as they occur; null ids stay.
     Other columns are not read. An empty table gives an empty result.
     """
-    made = written(pieces(docs, spec, capacity, id, text, end), "pieces")
-    rows = made.withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(BUCKETS)).cast("int"))
+    cut = pieces(docs, spec, capacity, id, text, end)
+    made = written(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    rows = made.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(BUCKETS)).cast("int"))  # equal rows too are dealt out
     counted = written(rows.groupBy("length", "bucket").agg(F.count("*").alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     places = placements(pack_counts(counts, capacity))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = written(counted.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "ranks")
-    within = Window.partitionBy("length", "bucket").orderBy("id", "piece", "start", "ids_crc32")
+    within = Window.partitionBy("length", "bucket").orderBy("row")
     ranked = (
         rows.withColumn("nth", F.row_number().over(within) - 1)
         .join(starts, ["length", "bucket"])
@@ -237,6 +238,6 @@ def pack(docs: DataFrame, spec: str, capacity: int = 2048, id: str = "doc_id", t
                 names=["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
             )
 
-    schema = StructType([*made.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    schema = StructType([*cut.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     placed = ranked.mapInArrow(run, schema)
     return placed.select(F.col("id").alias(id), *schema.names[1:])
