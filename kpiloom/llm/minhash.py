@@ -30,6 +30,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
@@ -235,17 +236,25 @@ def _through_hubs(entries: DataFrame, texts: DataFrame, words: int, percent: int
         return (100 + percent) * common >= percent * sizes
 
     def side(rows: DataFrame, name: str, *more: str) -> DataFrame:
-        return rows.select("u", *more, *[F.col(c).alias(f"{c}_{name}") for c in ("v", "n", "common", "root")])
+        columns = [c for c in ("v", "n", "common", "root", "rest") if c in rows.columns]
+        return rows.select("u", *more, *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
     least, sizes = F.least("common_a", "common_b"), F.col("n_a") + F.col("n_b")
     fitting = (F.col("root_a") != F.col("root_b")) & _large_enough("n_a", "n_b", percent)
     smallest = written(members.groupBy("u").agg(F.min("n").alias("smallest")), "smallest-members")
     near = written(members.drop("others").join(smallest, "u").where(enough(F.col("common"), F.col("n") + F.col("smallest"))), "near-hub")
     by_hub = side(near.where("outside"), "a").join(side(near, "b"), "u").where(fitting & enough(least, sizes)).select("v_a", "v_b")
-    posted = written(members.withColumn("shingle", F.explode("others")).drop("others"), "shingles-outside")
-    met = side(posted.where("outside"), "a", "shingle").join(side(posted, "b", "shingle"), ["u", "shingle"]).where(fitting)
-    by_rest = met.groupBy("u", "v_a", "v_b").agg(F.count("*").alias("more"), *[F.first(c).alias(c) for c in ("n_a", "n_b", "common_a", "common_b")])
-    by_rest = by_rest.where(enough(least + F.col("more"), sizes)).select("v_a", "v_b")
+    # Similar sets share at least ``fewest`` others. Ordered by how many members have
+    # them, two such sets meet among all but the last ``fewest`` - 1; what follows the
+    # first they share bounds how many it can be.
+    fewest = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100) - F.col("common"))
+    listed = members.withColumns({"fewest": fewest, "size": F.size("others")}).where("size >= fewest").withColumn("shingle", F.explode("others")).drop("others")
+    posted = listed.join(listed.groupBy("u", "shingle").agg(F.count("*").alias("held")), ["u", "shingle"])
+    place = F.row_number().over(W.partitionBy("u", "v").orderBy("held", "shingle"))
+    posted = posted.withColumn("place", place).where("place <= size - fewest + 1 AND held > 1").withColumn("rest", F.col("size") - F.col("place"))
+    posted = written(posted, "shingles-outside")
+    possible = enough(least + 1 + F.least("rest_a", "rest_b"), sizes)
+    by_rest = side(posted.where("outside"), "a", "shingle").join(side(posted, "b", "shingle"), ["u", "shingle"]).where(fitting & possible).select("v_a", "v_b")
     return by_hub.unionByName(by_rest).select(F.least("v_a", "v_b").alias("u"), F.greatest("v_a", "v_b").alias("v")).distinct()
 
 
