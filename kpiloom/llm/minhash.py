@@ -134,8 +134,8 @@ def sketched(docs: DataFrame, id: str, text: str, words: int, bands: int, rows:
     return source.mapInArrow(run, schema)
 
 
-def _met(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``u``, ``v`` with both texts.
+def _met(pairs: DataFrame, texts: DataFrame, *more: str) -> DataFrame:
+    """The pairs ``u``, ``v`` with both texts, and the columns ``more``.
 
     The text of ``v`` moves to that of ``u``, which should be the node of more
     pairs; a node of many pairs has its text in several groups.
@@ -147,10 +147,10 @@ def _met(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     )
     second = (
         pairs.join(hubs, "u")
-        .select("u", F.pmod(F.xxhash64("v"), F.col("groups")).cast("int").alias("part"), F.col("v").alias("node"))
+        .select("u", F.pmod(F.xxhash64("v"), F.col("groups")).cast("int").alias("part"), F.col("v").alias("node"), *more)
         .join(texts, "node")
     )
-    return second.join(first, ["u", "part"]).select("u", F.col("node").alias("v"), "text_u", "text")
+    return second.join(first, ["u", "part"]).select("u", F.col("node").alias("v"), "text_u", "text", *more)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -173,8 +173,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
 
 
 def _shares(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """For a hub ``u`` and a node ``v``: the node's ``n`` shingles, ``common`` ones
-    with the hub, and hashes of the ``others``."""
+    """For a hub ``u`` and a node ``v``: the node's ``root``, whether it is
+    ``outside`` the hub's, its ``n`` shingles, ``common`` ones with the hub, and
+    hashes of the ``others``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -192,9 +193,11 @@ def _shares(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 common.append(len(other) - len(rest))
                 others.append(np.fromiter((xxh64_intdigest(s, SEED) for s in rest), np.uint64, len(rest)).view(np.int64))
             columns = [pa.array(sizes, pa.int64()), pa.array(common, pa.int64()), pa.array(others, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["u", "v", "n", "common", "others"])
+            kept = [batch.column(i) for i in (0, 1, 4, 5)]
+            yield pa.RecordBatch.from_arrays([*kept, *columns], names=["u", "v", "root", "outside", "n", "common", "others"])
 
-    return _met(pairs, texts).mapInArrow(run, "u long, v long, n long, common long, others array<long>")
+    schema = "u long, v long, root long, outside boolean, n long, common long, others array<long>"
+    return _met(pairs, texts, "root", "outside").mapInArrow(run, schema)
 
 
 def _large_enough(a: str, b: str, percent: int) -> Column:
@@ -227,10 +230,9 @@ def _through_hubs(entries: DataFrame, texts: DataFrame, words: int, percent: int
     """Pairs of nodes of different ``root`` that share a bucket's hub and may be
     similar enough: all that are, and few others."""
     first = written(entries.groupBy("bucket").agg(F.max(F.struct("rank", "node", "root")).alias("first")), "hub-nodes")
-    seen = entries.join(first, "bucket").select(F.col("first.node").alias("u"), F.col("first.root").alias("hub_root"), F.col("node").alias("v"), "root").distinct()
-    seen = written(seen, "hub-members")
-    shares = _shares(seen.select("u", "v"), texts, words)
-    members = written(shares.join(seen, ["u", "v"]).withColumn("outside", F.col("root") != F.col("hub_root")), "hub-shares")
+    outside = (F.col("root") != F.col("first.root")).alias("outside")
+    seen = entries.join(first, "bucket").select(F.col("first.node").alias("u"), F.col("node").alias("v"), "root", outside).distinct()
+    members = written(_shares(written(seen, "hub-members"), texts, words), "hub-shares")
 
     def enough(common: Column, sizes: Column) -> Column:
         return (100 + percent) * common >= percent * sizes
@@ -241,13 +243,13 @@ def _through_hubs(entries: DataFrame, texts: DataFrame, words: int, percent: int
 
     least, sizes = F.least("common_a", "common_b"), F.col("n_a") + F.col("n_b")
     fitting = (F.col("root_a") != F.col("root_b")) & _large_enough("n_a", "n_b", percent)
-    smallest = written(members.groupBy("u").agg(F.min("n").alias("smallest")), "smallest-members")
-    near = written(members.drop("others").join(smallest, "u").where(enough(F.col("common"), F.col("n") + F.col("smallest"))), "near-hub")
-    by_hub = side(near.where("outside"), "a").join(side(near, "b"), "u").where(fitting & enough(least, sizes)).select("v_a", "v_b")
     # Similar sets share at least ``fewest`` others. Ordered by how many members have
     # them, two such sets meet among all but the last ``fewest`` - 1; what follows the
-    # first they share bounds how many it can be.
-    fewest = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100) - F.col("common"))
+    # first they share bounds how many it can be. Sets that need none meet at the hub.
+    least_common = F.ceil(F.col("n") * percent / 100)
+    near = members.where(F.col("common") >= least_common).drop("others")
+    by_hub = side(near.where("outside"), "a").join(side(near, "b"), "u").where(fitting & enough(least, sizes)).select("v_a", "v_b")
+    fewest = F.greatest(F.lit(1), least_common - F.col("common"))
     listed = members.withColumns({"fewest": fewest, "size": F.size("others")}).where("size >= fewest").withColumn("shingle", F.explode("others")).drop("others")
     posted = listed.join(listed.groupBy("u", "shingle").agg(F.count("*").alias("held")), ["u", "shingle"])
     place = F.row_number().over(W.partitionBy("u", "v").orderBy("held", "shingle"))
