@@ -251,7 +251,7 @@ def _through_hubs(entries: DataFrame, texts: DataFrame, words: int, percent: int
     by_hub = side(near.where("outside"), "a").join(side(near, "b"), "u").where(fitting & enough(least, sizes)).select("v_a", "v_b")
     fewest = F.greatest(F.lit(1), least_common - F.col("common"))
     listed = members.withColumns({"fewest": fewest, "size": F.size("others")}).where("size >= fewest").withColumn("shingle", F.explode("others")).drop("others")
-    posted = listed.join(listed.groupBy("u", "shingle").agg(F.count("*").alias("held")), ["u", "shingle"])
+    posted = listed.withColumn("held", F.count("*").over(W.partitionBy("u", "shingle")))
     place = F.row_number().over(W.partitionBy("u", "v").orderBy("held", "shingle"))
     posted = posted.withColumn("place", place).where("place <= size - fewest + 1 AND held > 1").withColumn("rest", F.col("size") - F.col("place"))
     posted = written(posted, "shingles-outside")
