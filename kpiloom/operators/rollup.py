@@ -7,14 +7,16 @@ per map task and group. Nothing here gathers the rows of a group.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpiloom.functions import month_start, quarter_start, safe_divide, week_start
+from kpiloom.operators.quantiles import known
 
 GRAINS = {
     "Week": week_start,
@@ -190,33 +192,71 @@ def mean_with_interval(df: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
-def mean_with_bootstrap(
-    df: DataFrame, key: str, value: str, row_key: Sequence[str], replicates: int = 1000, bags: int = 1000, seed: int = 42
-) -> DataFrame:
-    """Mean per group with a bootstrap 95 % interval over bags of rows.
+#: Modulus of the bootstrap's draws, a prime.
+PRIME = (1 << 31) - 1
+
+#: Draws from here on up weigh 1, 2, ... by the Poisson distribution of mean 1.
+POISSON = tuple(round(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(10))
+
+#: Replicate weights computed at once, and groups that a task holds.
+_WEIGHTS = 1 << 21
+_GROUPS = 256
 
-    Rows fall into ``bags`` by a hash of their key, and are summed there on the
-    map side. A replicate draws every bag, not every row, with a Poisson(1)
-    weight; a bag's weights depend on its number and the seed alone, so a re-run
-    gives the same interval. One task sees at most ``bags`` rows of a group.
-    """
-    bag = F.pmod(F.xxhash64(*row_key, F.lit(seed)), F.lit(bags)).cast("long")
-    bagged = (
-        df.dropna(subset=[key])
-        .withColumn("bag", bag)
-        .groupBy(key, "bag")
-        .agg(F.sum(value).cast("double").alias("s"), F.count(value).alias("n"))
-    )
 
-    def interval(pdf: pd.DataFrame) -> pd.DataFrame:
-        weights = np.stack([np.random.default_rng([seed, b]).poisson(1.0, replicates) for b in pdf["bag"]])
-        sums, counts = pdf["s"].fillna(0.0).to_numpy(), pdf["n"].to_numpy()
-        rows = weights.T @ counts
-        means = (weights.T @ sums)[rows > 0] / rows[rows > 0]
-        low, high = np.quantile(means, (0.025, 0.975)) if len(means) else (None, None)
-        n = int(counts.sum())
-        row = {key: pdf[key].iloc[0], "n": n, "mean": sums.sum() / n if n else None, "low": low, "high": high}
-        return pd.DataFrame([row])
-
-    kind = dict(df.dtypes)[key]
-    return bagged.groupBy(key).applyInPandas(interval, f"`{key}` {kind}, n long, mean double, low double, high double")
+def _draws(row_key: Sequence[str], seed: int) -> tuple[Column, Column]:
+    """Two numbers of a row, from a digest of its key: the draw for replicate r
+    is (first + r * second) modulo PRIME."""
+    digest = F.md5(F.concat_ws("-", F.lit(str(seed)), *[F.col(f"`{c}`").cast("string") for c in row_key]).cast("binary"))
+    parts = [F.conv(F.substring(digest, start, 8), 16, 10).cast("long") for start in (1, 9)]
+    return F.pmod(parts[0], F.lit(PRIME)), F.pmod(parts[1], F.lit(PRIME - 1)) + 1
+
+
+def mean_with_bootstrap(df: DataFrame, key: str, value: str, row_key: Sequence[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """Mean per group with a bootstrap 95 % interval over rows.
+
+    A replicate draws every row with a Poisson(1) weight, which depends on the
+    row's key, the replicate's number and the seed alone: any order, partitioning
+    or retry gives the same interval. A task adds its rows to one array of
+    ``replicates`` sums and counts per group; these arrays are what is shuffled.
+    Missing values are left out; a group without known values has nulls.
+    """
+    first, second = _draws(row_key, seed)
+    rows = df.dropna(subset=[key]).select(F.col(f"`{key}`").alias("key"), known(value).alias("value"), first.alias("a"), second.alias("b"))
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        numbers = np.arange(replicates, dtype=np.int64)
+
+        def drained() -> pa.RecordBatch:
+            columns = [pa.array([v[k].tolist() for v in held.values()], t) for k, t in ((0, pa.list_(pa.float64())), (1, pa.list_(pa.int64())))]
+            return pa.RecordBatch.from_arrays([pa.array(list(held), names_type), *columns], names=["key", "sums", "counts"])
+
+        for batch in batches:
+            names_type = batch.schema.field(0).type
+            batch = batch.filter(batch.column(1).is_valid())
+            codes = batch.column(0).dictionary_encode()
+            values, a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+            at = codes.indices.to_numpy(zero_copy_only=False)
+            for code, name in enumerate(codes.dictionary.to_pylist()):
+                mine = np.flatnonzero(at == code)
+                sums, counts = held.setdefault(name, (np.zeros(replicates), np.zeros(replicates, np.int64)))
+                for start in range(0, len(mine), max(1, _WEIGHTS // replicates)):
+                    part = mine[start : start + max(1, _WEIGHTS // replicates)]
+                    draws = (a[part, None] + b[part, None] * numbers) % PRIME
+                    weights = np.searchsorted(POISSON, draws, side="right")
+                    sums += values[part] @ weights
+                    counts += weights.sum(axis=0)
+                if len(held) >= _GROUPS:
+                    yield drained()
+                    held = {}
+        if held:
+            yield drained()
+
+    parts = rows.mapInArrow(run, f"key {kind}, sums array<double>, counts array<long>")
+    drawn = parts.select("key", F.posexplode(F.arrays_zip("sums", "counts")).alias("replicate", "part"))
+    means = drawn.groupBy("key", "replicate").agg(F.try_divide(F.sum("part.sums"), F.sum("part.counts")).alias("mean"))
+    ends = means.groupBy("key").agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("ends"))
+    whole = rows.groupBy("key").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+    out = whole.join(ends, "key", "left")
+    return out.select(F.col("key").alias(key), "n", "mean", F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high"))

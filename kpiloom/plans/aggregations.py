@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.functions import campaign_roi, weeks_of_inventory
+from kpiloom.functions import campaign_roi, month_start, weeks_of_inventory
 from kpiloom.operators import rollup as R
+from kpiloom.operators import sketches as SK
 from kpiloom.operators import stats
 from kpiloom.operators.forecast import REGRID
 from kpiloom.operators.growth import add_growth, first_of_group, long_enough
@@ -22,7 +25,7 @@ from kpiloom.plans.shared import (
     written_fact,
     yearly_products,
 )
-from kpiloom.session import checkpointed
+from kpiloom.session import checkpointed, scratch_path
 from kpiloom.sources import table
 
 MONEY = {
@@ -162,10 +165,28 @@ def channel_interval(spark: SparkSession, d: str) -> DataFrame:
     return R.mean_with_interval(order_lines(spark, d, ["Channel", "Efficiency_Rate"]), "Channel", "Efficiency_Rate")
 
 
-@query("a11_channel_bootstrap", "Channel:s n:i mean:6 low:6 high:6")
+REPLICATES = 200
+
+
+@query(
+    "a11_channel_bootstrap",
+    "Channel:s n:i mean:6 low:6 high:6",
+    f"""SELECT w.Channel, w.n, w.mean, quantile_cont(b.mean, 0.025) AS low, quantile_cont(b.mean, 0.975) AS high FROM (
+          SELECT Channel, r, sum(v * k) / NULLIF(sum(k), 0) AS mean FROM (
+            SELECT Channel, v, r, {" + ".join(f"CAST(u >= {t} AS INTEGER)" for t in R.POISSON)} AS k FROM (
+              SELECT Channel, v, r, (a + r * b) % {R.PRIME} AS u FROM (
+                SELECT Channel, v, CAST('0x' || substr(h, 1, 8) AS BIGINT) % {R.PRIME} AS a,
+                  CAST('0x' || substr(h, 9, 8) AS BIGINT) % {R.PRIME - 1} + 1 AS b
+                FROM (SELECT Channel, Efficiency_Rate AS v, md5('42-' || Order_Key || '-' || Line_No) AS h FROM lines) AS x
+              ) AS y, range({REPLICATES}) AS g(r)
+            ) AS z
+          ) AS d GROUP BY 1, 2
+        ) AS b JOIN (SELECT Channel, count(*) AS n, avg(Efficiency_Rate) AS mean FROM lines GROUP BY 1) AS w USING (Channel)
+        GROUP BY 1, 2, 3""",
+)
 def channel_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     lines = order_lines(spark, d, ["Channel", "Efficiency_Rate", "Order_Key", "Line_No"])
-    return R.mean_with_bootstrap(lines, "Channel", "Efficiency_Rate", ["Order_Key", "Line_No"])
+    return R.mean_with_bootstrap(lines, "Channel", "Efficiency_Rate", ["Order_Key", "Line_No"], REPLICATES)
 
 
 @query(
@@ -359,6 +380,31 @@ def describe_sketched(spark: SparkSession, d: str) -> DataFrame:
     return stats.describe(table(spark, d, "lineitem"), LINE_METRICS, method="approximate")
 
 
+STORED_MONTHS = (dt.date(1996, 3, 1), dt.date(1998, 10, 1))
+
+
+@query(
+    "a31_stored_months",
+    "metric:s count:i mean:6 std:6 min:4 max:4 within:b",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS metric, count({c}) AS "count", avg({c}) AS mean, stddev_samp({c}) AS std, min({c}) AS "min",
+              max({c}) AS "max", true AS within FROM lineitem
+            WHERE l_shipdate >= DATE '1996-03-01' AND l_shipdate < DATE '1998-11-01'"""
+        for c in LINE_METRICS
+    ),
+)
+def describe_stored(spark: SparkSession, d: str) -> DataFrame:
+    """A range of months from their written summaries, and whether the rank of
+    every quartile, counted in the rows, is within the stated error."""
+    lines = table(spark, d, "lineitem")
+    path = scratch_path(spark, "month-summaries")
+    SK.month_summaries(lines, LINE_METRICS, month_start("l_shipdate")).write.parquet(path)
+    described = SK.describe_months(spark.read.parquet(path), *STORED_MONTHS)
+    rows = lines.where(month_start("l_shipdate").between(*[F.lit(m) for m in STORED_MONTHS]))
+    off = SK.ranks_of(rows, described, LINE_METRICS)
+    return described.join(off, "metric").withColumn("within", F.col("off") <= SK.rank_error())
+
+
 @query(
     "a32_correlation_matrix",
     "x:s y:s corr:6",

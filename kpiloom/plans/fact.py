@@ -191,15 +191,28 @@ FACT_SETTING = "kpiloom.product.week"
 
 def write_product_week(spark: SparkSession, sf_dir: str, path: str) -> None:
     """Write the fact with all its columns once; set ``FACT_SETTING`` to the
-    folder, and the queries on the fact no longer read and join the raw tables."""
+    folder, and the queries on the fact no longer read and join the raw tables.
+    The tables' folder is kept beside it."""
     _built_week(spark, sf_dir, [*_week_measures(), *_week_attributes()]).write.parquet(path)
+    spark.createDataFrame([(_folder(sf_dir),)], "folder string").write.parquet(f"{path}-source")
+
+
+def _folder(sf_dir: str) -> str:
+    return sf_dir.rstrip("/").removeprefix("file://").removeprefix("file:")
+
+
+def _checked_source(spark: SparkSession, sf_dir: str, path: str) -> None:
+    source = spark.read.parquet(f"{path}-source").first()["folder"]
+    if source != _folder(sf_dir):
+        raise ValueError(f"{FACT_SETTING} names a fact of {source}, not of {sf_dir}")
 
 
 def product_week(spark: SparkSession, sf_dir: str, columns: Sequence[str]) -> DataFrame:
     """Product-week fact: Product_ID, Date and the named columns, from the
-    written fact where the session names one."""
+    written fact where the session names one; one of other tables raises."""
     path = spark.conf.get(FACT_SETTING, None)
     if path:
+        _checked_source(spark, sf_dir, path)
         return spark.read.parquet(path).select("Product_ID", "Date", *columns)
     return _built_week(spark, sf_dir, columns)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kpiloom.functions import week_index
 from kpiloom.operators import forecast as FC
+from kpiloom.operators import gram as GR
 from kpiloom.operators import ml, stats
 from kpiloom.operators.forest import IsolationForest
 from kpiloom.operators.growth import add_holdout, add_position, series_features
@@ -411,6 +412,52 @@ def expanding_folds(spark: SparkSession, d: str) -> DataFrame:
     return FC.add_cv_folds(product_week(spark, d, []), ["Product_ID"], "Date", 4)
 
 
+FOLDS_SQL = """WITH p AS (
+         SELECT Product_ID, Sales_Units AS y, CAST(Week_Index AS DOUBLE) AS x1, Price_per_Unit AS x2,
+           row_number() OVER (PARTITION BY Product_ID ORDER BY "Date") - 1 AS pos,
+           count(*) OVER (PARTITION BY Product_ID) AS n, count(*) OVER (PARTITION BY Product_ID) // 5 AS size
+         FROM pw
+       ), t AS (SELECT *, CASE WHEN size > 0 AND pos >= n - 4 * size THEN (pos - (n - 4 * size)) // size ELSE -1 END AS fold FROM p),
+       g AS (SELECT b.Product_ID, r.f, b.* EXCLUDE (Product_ID) FROM t AS b JOIN range(4) AS r(f) ON b.fold < r.f)"""
+
+
+@query(
+    "m14_fold_errors",
+    "Product_ID:s fold:i train:i n:i mse:4",
+    f"""{FOLDS_SQL}, s AS (
+         SELECT Product_ID, f, count(*) AS train, regr_slope(y, x1) AS b, regr_intercept(y, x1) AS a FROM g GROUP BY 1, 2
+       )
+       SELECT t.Product_ID, t.fold, any_value(train) AS train, count(*) AS n, avg((y - a - b * x1) * (y - a - b * x1)) AS mse
+       FROM t JOIN s ON t.Product_ID = s.Product_ID AND t.fold = s.f GROUP BY 1, 2""",
+)
+def fold_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Error of the straight line on each expanding fold."""
+    return GR.fold_errors(price_folds(spark, d), "Product_ID", ["Week_Index"], "Sales_Units")
+
+
+@query(
+    "m14_fold_errors_two",
+    "Product_ID:s fold:i train:i n:i mse:4",
+    f"""{FOLDS_SQL}, s AS (
+         SELECT Product_ID, f, count(*) AS train, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS s11, var_pop(x2) AS s22,
+           covar_pop(x1, x2) AS s12, covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y FROM g GROUP BY 1, 2
+       ), w AS (
+         SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM s
+       ), e AS (
+         SELECT t.Product_ID, t.fold, train, y - my - b1 * (x1 - m1) - b2 * (x2 - m2) AS e
+         FROM t JOIN w ON t.Product_ID = w.Product_ID AND t.fold = w.f
+       )
+       SELECT Product_ID, fold, any_value(train) AS train, count(*) AS n, avg(e * e) AS mse FROM e GROUP BY 1, 2""",
+)
+def fold_errors_two(spark: SparkSession, d: str) -> DataFrame:
+    """The same with trend and price."""
+    return GR.fold_errors(price_folds(spark, d), "Product_ID", ["Week_Index", "Price_per_Unit"], "Sales_Units")
+
+
+def price_folds(spark: SparkSession, d: str) -> DataFrame:
+    return FC.add_cv_folds(product_week(spark, d, ["Week_Index", "Price_per_Unit", "Sales_Units"]), ["Product_ID"], "Date", 4)
+
+
 # Features of the published anomaly search.
 ANOMALY_FEATURES = ["Sales_Units", "Revenue", "Profit", "Defect_Rate", "Downtime_hours", "Efficiency_u_per_h"]
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kpiloom.functions import is_drop
 from kpiloom.operators import growth as G
+from kpiloom.operators.halo import add_series_growth
 from kpiloom.operators.joins import align_to_spine, bounds, calendar_grid
 from kpiloom.operators.ranking import pareto, pareto_crossing
 from kpiloom.operators.reports import profit_steps, waterfall
@@ -19,6 +21,7 @@ from kpiloom.plans.shared import (
     rollup_sql,
     written_fact,
 )
+from kpiloom.sources import table
 
 
 def change_sql(value: str, lag: int, order: str, key: str | None = "Product_ID") -> str:
@@ -270,3 +273,34 @@ def running_base(spark: SparkSession, d: str) -> DataFrame:
     return G.running_base(monthly_products(spark, d, {"Profit": "sum"}), ["Product_ID"], "Month", "Profit")
 
 
+
+
+EVENT_SQL = "(ORDER BY ts, event_id)"
+
+
+@query(
+    "w2_event_growth",
+    "event_id:i position:i value_pct:6 value_4_pct:6 mean_7:6",
+    f"""SELECT event_id, row_number() OVER {EVENT_SQL} - 1 AS position,
+          (value - lag(value) OVER {EVENT_SQL}) / NULLIF(lag(value) OVER {EVENT_SQL}, 0) AS value_pct,
+          (value - lag(value, 4) OVER {EVENT_SQL}) / NULLIF(lag(value, 4) OVER {EVENT_SQL}, 0) AS value_4_pct,
+          avg(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS mean_7
+        FROM events""",
+)
+def event_growth(spark: SparkSession, d: str) -> DataFrame:
+    """Positions, changes and rolling means over all events in time, as one series."""
+    events = table(spark, d, "events").select("event_id", "ts", "value")
+    growth = {"value_pct": ("value", 1), "value_4_pct": ("value", 4)}
+    return add_series_growth(events, ["ts", "event_id"], growth, {"mean_7": ("value", 7)}, block=2000)
+
+
+@query(
+    "w2_day_growth",
+    "Day:d value:4 position:i day_pct:6 week_pct:6",
+    """SELECT *, row_number() OVER w - 1 AS position, (value - lag(value) OVER w) / NULLIF(lag(value) OVER w, 0) AS day_pct,
+         (value - lag(value, 7) OVER w) / NULLIF(lag(value, 7) OVER w, 0) AS week_pct
+       FROM (SELECT CAST(ts AS DATE) AS "Day", sum(value) AS value FROM events GROUP BY 1) AS e WINDOW w AS (ORDER BY "Day")""",
+)
+def day_growth(spark: SparkSession, d: str) -> DataFrame:
+    days = table(spark, d, "events").groupBy(F.col("ts").cast("date").alias("Day")).agg(F.sum("value").alias("value"))
+    return add_series_growth(days, ["Day"], {"day_pct": ("value", 1), "week_pct": ("value", 7)})

@@ -122,5 +122,7 @@ def test_written_fact_gives_the_same_rows(spark, sf_dir, tmp_path):
             df = QUERIES[n](spark, sf_dir)
             assert sorted(map(str, df.collect())) == want[n]
             assert not scans(plan_text(df), "l_quantity")
+        with pytest.raises(ValueError, match="names a fact of"):
+            QUERIES[names[0]](spark, sf_dir.replace("sf0.001", "sf0.01"))
     finally:
         spark.conf.unset(FACT_SETTING)

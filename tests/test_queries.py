@@ -34,7 +34,7 @@ def test_matches_sql(name, spark, duck, sf_dir):
     assert got == want
 
 
-LIGHT = ["a11_channel_bootstrap", "a31_describe_sketched", "m8_welch_verdict", "m6_honest_backtest", "m17_seasonal_arima"]
+LIGHT = ["a31_describe_sketched", "m8_welch_verdict", "m6_honest_backtest", "m17_seasonal_arima"]
 
 
 @pytest.mark.parametrize("name", LIGHT)
