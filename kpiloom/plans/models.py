@@ -9,6 +9,7 @@ from kpiloom.functions import week_index
 from kpiloom.operators import forecast as FC
 from kpiloom.operators import gram as GR
 from kpiloom.operators import ml, stats
+from kpiloom.operators import qr as QR
 from kpiloom.operators.forest import IsolationForest
 from kpiloom.operators.growth import add_holdout, add_position, series_features
 from kpiloom.operators.joins import fill_weeks, keep_top, resample_weekly
@@ -67,10 +68,7 @@ def line_fit(spark: SparkSession, d: str) -> DataFrame:
     return stats.simple_regression(monthly, "Lead_Time_days", "Efficiency_u_per_h", ["Product_ID"], min_rows=6)
 
 
-@query(
-    "m4_two_feature_ols",
-    "term:s coefficient:4",
-    """WITH s AS (
+TWO_FEATURE_SQL = """WITH s AS (
          SELECT covar_samp(r, q) AS rq, covar_samp(r, x) AS rx, covar_samp(q, x) AS qx, var_samp(q) AS qq, var_samp(x) AS xx,
            avg(r) AS mr, avg(q) AS mq, avg(x) AS mx
          FROM (SELECT l_extendedprice * (1 - l_discount) AS r, l_quantity AS q, l_discount AS x FROM lineitem) AS l
@@ -79,13 +77,22 @@ def line_fit(spark: SparkSession, d: str) -> DataFrame:
        )
        SELECT 'Sales_Units' AS term, b1 AS coefficient FROM b
        UNION ALL SELECT 'Promo_Discount', b2 FROM b
-       UNION ALL SELECT 'intercept', mr - b1 * mq - b2 * mx FROM b""",
-)
+       UNION ALL SELECT 'intercept', mr - b1 * mq - b2 * mx FROM b"""
+
+
+@query("m4_two_feature_ols", "term:s coefficient:4", TWO_FEATURE_SQL)
 def two_feature_ols(spark: SparkSession, d: str) -> DataFrame:
     lines = order_lines(spark, d, ["Revenue", "Sales_Units", "Promo_Discount"])
     return stats.ols(lines, "Revenue", ["Sales_Units", "Promo_Discount"])
 
 
+@query("m4_qr_ols", "term:s coefficient:4", TWO_FEATURE_SQL)
+def qr_ols(spark: SparkSession, d: str) -> DataFrame:
+    """The same weights by tree-reduced QR of the rows."""
+    lines = order_lines(spark, d, ["Revenue", "Sales_Units", "Promo_Discount"])
+    return QR.qr_ols(lines, "Revenue", ["Sales_Units", "Promo_Discount"])
+
+
 @query(
     "m5_trend_backtest",
     "Product_ID:s Date:d actual:2 pred:4",

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kpiloom.operators import forecast as FC
-from kpiloom.operators import gram, halo, rollup, sketches
+from kpiloom.operators import gram, halo, qr, rollup, sketches
 from tests.helpers import plan_text, rows
 
 RNG = np.random.default_rng(11)
@@ -164,3 +164,28 @@ def test_bootstrap_weights_are_poisson():
 def test_bootstrap_of_an_empty_table(spark):
     df = spark.createDataFrame([], "id long, k string, v double")
     assert rows(rollup.mean_with_bootstrap(df, "k", "v", ["id"])) == []
+
+
+# --- least squares by QR ------------------------------------------------------------
+
+
+@pytest.mark.parametrize(("rows_", "fan"), [(1 << 15, 64), (50, 1)])
+def test_nearly_collinear_features(spark, monkeypatch, rows_, fan):
+    monkeypatch.setattr(qr, "ROWS", rows_)
+    monkeypatch.setattr(qr, "FAN_IN", fan)
+    x = RNG.normal(size=2000)
+    twin = x + 1e-7 * RNG.normal(size=2000)
+    data = pd.DataFrame({"a": x, "b": twin, "c": RNG.normal(100, 5, 2000)})
+    data["y"] = 7 + 2 * data["a"] - 3 * data["b"] + 0.5 * data["c"]
+    df = spark.createDataFrame(data).repartition(6)
+    got = {r["term"]: r["coefficient"] for r in qr.qr_ols(df, "y", ["a", "b", "c"]).collect()}
+    for term, want in (("intercept", 7), ("a", 2), ("b", -3), ("c", 0.5)):
+        assert got[term] == pytest.approx(want, abs=1e-6)
+
+
+def test_qr_leaves_missing_rows_out(spark):
+    df = spark.createDataFrame([(0.0, 1.0), (1.0, 3.0), (2.0, 5.0), (None, 9.0), (3.0, float("nan"))], "x double, y double")
+    got = {r["term"]: r["coefficient"] for r in qr.qr_ols(df, "y", ["x"]).collect()}
+    assert got == {"intercept": pytest.approx(1), "x": pytest.approx(2)}
+    with pytest.raises(ValueError, match="two complete"):
+        qr.qr_ols(df.limit(0), "y", ["x"])
