@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kpiloom.llm.common import table
 from kpiloom.llm.divergence import source_divergence
 from kpiloom.llm.exact import exact_dedup
-from kpiloom.llm.licenses import NOTICES, scan_licenses
+from kpiloom.llm.licenses import TEMPLATES, scan_licenses
 from kpiloom.llm.minhash import minhash_duplicates
 from kpiloom.llm.mixing import mix
 from kpiloom.llm.packing import pack
@@ -61,8 +61,8 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence notices in all documents."""
-    found = scan_licenses(table(spark, sf_dir, "documents"), NOTICES, threshold=0.8)
+    """Licence notices, headers and texts anywhere in all documents."""
+    found = scan_licenses(table(spark, sf_dir, "documents"), TEMPLATES, threshold=0.8)
     return found.withColumn("dice", F.round("dice", 6))
 
 
@@ -128,7 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-_NOTICES = ", ".join(f"('{name}', '{text}')" for name, text in NOTICES.items())
+_TEMPLATES = ", ".join(f"('{name}', {i}, '{text}')" for name, texts in TEMPLATES.items() for i, text in enumerate(texts))
 _WORDS = (
     r"list_filter(string_split(regexp_replace(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
     r"'abcdefghijklmnopqrstuvwxyz'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
@@ -147,20 +147,37 @@ WITH d AS (
 )
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM r""",
     "op5_license_scan": rf"""
-WITH t AS (
-  SELECT license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pairs
-  FROM (SELECT license, {_WORDS.format(text="notice")} AS w FROM (VALUES {_NOTICES}) AS v(license, notice)) AS n
-), lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS segment FROM documents
-  UNION ALL SELECT doc_id, text FROM documents WHERE contains(text, chr(10))
+WITH tw AS (
+  SELECT license, template, {_WORDS.format(text="body")} AS w FROM (VALUES {_TEMPLATES}) AS v(license, template, body)
+), t AS (
+  SELECT license, template, floor(len(w) * 1.5 + 1e-9) - 1 AS longest,
+    list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pairs FROM tw
+), tp AS (SELECT license, template, longest, len(pairs) AS b, unnest(pairs) AS pair FROM t
 ), d AS (
-  SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS pairs
-  FROM (SELECT doc_id, {_WORDS.format(text="segment")} AS w FROM lines) AS n
+  SELECT row_number() OVER () AS r, doc_id, sha256(coalesce(text, '')) AS text_sha256, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents
+), p AS (SELECT r, unnest(range(1, len(w))) AS i, w FROM d WHERE len(w) > 1
+), pos AS MATERIALIZED (SELECT r, i, w[i] || ' ' || w[i + 1] AS pair FROM p
+), h AS MATERIALIZED (
+  SELECT pos.r, i, license, template, pair, b, longest FROM pos JOIN tp USING (pair)
+  QUALIFY count(DISTINCT pair) OVER (PARTITION BY pos.r, license, template) >= b / 1.5 - 1e-9
+), win AS (
+  SELECT x.r, x.license, x.template, x.b, x.i AS s, y.i AS e
+  FROM h AS x JOIN h AS y ON x.r = y.r AND x.license = y.license AND x.template = y.template
+    AND y.i BETWEEN x.i AND x.i + x.longest - 1
+), shared AS (
+  SELECT win.r, win.license, win.template, win.b, s, e, count(DISTINCT pair) AS c
+  FROM win JOIN h ON h.r = win.r AND h.license = win.license AND h.template = win.template AND h.i BETWEEN s AND e
+  GROUP BY ALL HAVING c >= win.b / 1.5 - 1e-9
+), sized AS (
+  SELECT shared.r, license, template, b, s, e, c, count(DISTINCT pair) AS a
+  FROM shared JOIN pos ON pos.r = shared.r AND pos.i BETWEEN s AND e GROUP BY ALL
+), judged AS (
+  SELECT *, CAST(2 * c AS DOUBLE) / CAST(a + b AS DOUBLE) AS dice FROM sized
 )
-SELECT doc_id, license, round(max(dice), 6) AS dice, count(*) AS segments FROM (
-  SELECT doc_id, license, 2 * len(list_intersect(d.pairs, t.pairs)) / CAST(len(d.pairs) + len(t.pairs) AS DOUBLE) AS dice
-  FROM d JOIN t ON len(d.pairs) BETWEEN len(t.pairs) / 2.0 AND len(t.pairs) * 2
-) AS p WHERE dice >= 0.8 GROUP BY doc_id, license""",
+SELECT doc_id, text_sha256, license, round(dice, 6) AS dice, CAST(template AS INTEGER) AS template, s - 1 AS start,
+  CAST(e - s + 2 AS INTEGER) AS words
+FROM judged JOIN d USING (r) WHERE dice >= 0.8
+QUALIFY row_number() OVER (PARTITION BY r, license ORDER BY dice DESC, template, s, e) = 1""",
     "op6_url_filter": r"""
 WITH rules(rule, verdict, host, path) AS (VALUES
   ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'),
