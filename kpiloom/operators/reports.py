@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kpiloom.functions import cohort_period, percent_text, year_month_label
@@ -139,11 +140,29 @@ def compare_models(long: DataFrame, key: str, models: Sequence[str], metrics: Se
 
 
 def scatter_points(
-    df: DataFrame, x: str, y: str, group: str | None = None, fraction: float | None = None, seed: int = 42
+    df: DataFrame,
+    x: str,
+    y: str,
+    group: str | None = None,
+    fraction: float | None = None,
+    seed: int = 42,
+    keys: Sequence[str] = (),
+    most: int | None = None,
 ) -> DataFrame:
-    """Points behind a scatter chart; all of them unless a fraction is asked for."""
-    points = df.select(*[c for c in (x, y, group) if c])
-    return points if fraction is None else points.sample(fraction, seed)
+    """Points behind a scatter chart: all of them, about a ``fraction``, or the
+    ``most`` of each group with the smallest hashes of their ``keys``, joined by
+    ``|``. The last is a random choice, but the same on every run and however the rows
+    are cut: every task keeps its own ``most`` before the shuffle. Rows with equal
+    keys count by their values."""
+    if most is None:
+        points = df.select(*[c for c in (x, y, group) if c])
+        return points if fraction is None else points.sample(fraction, seed)
+    if not keys:
+        raise ValueError("a bounded point set needs the keys of a row")
+    digest = F.md5(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]).cast("binary"))
+    ranked = W.partitionBy(group if group else F.lit(0)).orderBy("_hash", x, y)
+    points = df.select(*[c for c in (x, y, group) if c], digest.alias("_hash"))
+    return points.withColumn("_row", F.row_number().over(ranked)).where(F.col("_row") <= most).drop("_hash", "_row")
 
 
 def dashboard(

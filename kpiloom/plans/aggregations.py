@@ -11,6 +11,7 @@ from kpiloom.functions import campaign_roi, month_start, weeks_of_inventory
 from kpiloom.operators import rollup as R
 from kpiloom.operators import sketches as SK
 from kpiloom.operators import stats
+from kpiloom.operators.comoments import correlation_blocks
 from kpiloom.operators.forecast import REGRID
 from kpiloom.operators.growth import add_growth, first_of_group, long_enough
 from kpiloom.operators.reports import cohort_sums
@@ -444,6 +445,18 @@ def monthly_correlation(spark: SparkSession, d: str) -> DataFrame:
     return stats.correlation_matrix(monthly_products(spark, d, MONTH_METRICS), list(MONTH_METRICS))
 
 
+@query(
+    "a32_blocked_matrix",
+    "x:s y:s corr:6",
+    f"WITH c AS (SELECT {', '.join(f'CASE WHEN l_linenumber <> {i} THEN {c} END AS {c}' for i, c in enumerate(LINE_METRICS, 1))} FROM lineitem)\n"
+    + " UNION ALL ".join(f"SELECT '{x}' AS x, '{y}' AS y, corr({x}, {y}) AS corr FROM c" for x in LINE_METRICS for y in LINE_METRICS),
+)
+def blocked_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Each measure missing on the lines of one number, so that every pair has rows of its own."""
+    holes = {c: F.when(F.col("l_linenumber") != i, F.col(c)) for i, c in enumerate(LINE_METRICS, 1)}
+    return correlation_blocks(table(spark, d, "lineitem").withColumns(holes), LINE_METRICS)
+
+
 @query(
     "a33_price_sensitivity",
     "Product_ID:s corr:6 n:i",

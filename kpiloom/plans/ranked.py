@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpiloom.operators.growth import add_holdout, add_position
+from kpiloom.operators.heavy import top_sums
 from kpiloom.operators.ranking import top_n
 from kpiloom.operators.reports import alerts, stack_models
 from kpiloom.operators.rollup import RICH_MEASURES, latest_year_table
@@ -26,6 +27,7 @@ from kpiloom.plans.shared import (
 )
 from kpiloom.plans.shared import top_products as latest_products
 from kpiloom.session import checkpointed
+from kpiloom.sources import table
 
 
 @query(
@@ -56,6 +58,16 @@ def largest(spark: SparkSession, d: str) -> DataFrame:
     return top_n(product_revenue(spark, d), "Revenue", 5, "Product_ID")
 
 
+@query(
+    "o3_largest_customers",
+    "o_custkey:i o_totalprice:2",
+    "SELECT o_custkey, sum(o_totalprice) AS o_totalprice FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+)
+def largest_customers(spark: SparkSession, d: str) -> DataFrame:
+    """Of very many entities, the ten with the largest sums, from bounded summaries."""
+    return top_sums(table(spark, d, "orders"), "o_custkey", "o_totalprice", 10)
+
+
 @query("o4_top_of_top", "Product_ID:s Revenue:4", f"{LARGEST_SQL} 3")
 def top_of_top(spark: SparkSession, d: str) -> DataFrame:
     return top_n(top_n(product_revenue(spark, d), "Revenue", TOP_PRODUCTS, "Product_ID"), "Revenue", 3, "Product_ID")

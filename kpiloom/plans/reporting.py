@@ -216,6 +216,17 @@ def scatter_points(spark: SparkSession, d: str) -> DataFrame:
     return RP.scatter_points(fact, "Raw_Material_Cost", "Profit", "Category")
 
 
+@query(
+    "r11_bounded_points",
+    "Raw_Material_Cost:2 Profit:4 Category:s",
+    """SELECT Raw_Material_Cost, Profit, Category FROM pw QUALIFY row_number() OVER (
+         PARTITION BY Category ORDER BY md5(Product_ID || '|' || strftime("Date", '%Y-%m-%d')), Raw_Material_Cost, Profit) <= 40""",
+)
+def bounded_points(spark: SparkSession, d: str) -> DataFrame:
+    fact = product_week(spark, d, ["Raw_Material_Cost", "Profit", "Category"])
+    return RP.scatter_points(fact, "Raw_Material_Cost", "Profit", "Category", keys=["Product_ID", "Date"], most=40)
+
+
 # --- user functions ---------------------------------------------------------
 
 
