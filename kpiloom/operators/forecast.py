@@ -126,6 +126,98 @@ def additive_backtest(
     return entity_ols(split, key, features, "Sales_Units", "Week_Index", ridge)
 
 
+def changepoint_backtest(
+    fact: DataFrame, key: str = "Product_ID", horizon: int = 12, min_rows: int = 40, order: int = 10, changes: int = 25, prior: float = 0.05
+) -> DataFrame:
+    """``additive_backtest`` with a trend that may change its slope, a row per
+    held-out week; ``trend_changes`` gives the changes found."""
+    return _changepoints(fact, key, horizon, min_rows, order, changes, prior).where("part = 'test'").select(key, "Week_Index", "actual", "pred")
+
+
+def trend_changes(
+    fact: DataFrame, key: str = "Product_ID", horizon: int = 12, min_rows: int = 40, order: int = 10, changes: int = 25, prior: float = 0.05
+) -> DataFrame:
+    """Weeks at which the trend's slope changes, and by how many units a week."""
+    found = _changepoints(fact, key, horizon, min_rows, order, changes, prior).where("part = 'change'")
+    return found.select(key, "Week_Index", F.col("pred").alias("slope_change"))
+
+
+def _changepoints(fact: DataFrame, key: str, horizon: int, min_rows: int, order: int, changes: int, prior: float) -> DataFrame:
+    """Both results of one fit per entity.
+
+    The slope may change at ``changes`` even places in the first 80 % of the
+    train weeks. Changes have a Laplace prior of scale ``prior`` (in largest
+    values over the train range), so most of them are exactly zero; trend, waves
+    and regressors have wide normal ones."""
+    split, features = additive_split(fact, key, horizon, min_rows, order)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("Week_Index")
+        test = pdf["is_test"].to_numpy(bool)
+        y, week = pdf["Sales_Units"].to_numpy(float), pdf["Week_Index"].to_numpy(float)
+        x = pdf[features].to_numpy(float)
+        first, last = week[~test][0], week[~test][-1]
+        place = (week - first) / max(last - first, 1.0)
+        x[:, features.index("trend")] = place
+        spots = np.unique(np.quantile(place[~test], np.linspace(0, 0.8, changes + 1)[1:]))
+        hinges = np.maximum(place[:, None] - spots, 0.0)
+        unit = np.abs(y[~test]).max() or 1.0
+        wide = np.where(np.array(features) == "trend", 5.0, 10.0)
+        level, weights, bends = piecewise_fit(x[~test], hinges[~test], y[~test] / unit, wide, prior)
+        pred = unit * (level + x @ weights + hinges @ bends)
+        rows = [(k, w, "test", a, p) for k, w, a, p in zip(pdf.loc[test, key], pdf.loc[test, "Week_Index"], y[test], pred[test])]
+        slope = unit / max(last - first, 1.0)
+        kind = pdf["Week_Index"].dtype.type
+        rows += [(pdf[key].iloc[0], kind(round(first + s * (last - first))), "change", math.nan, b * slope) for s, b in zip(spots, bends) if b]
+        return pd.DataFrame(rows, columns=[key, "Week_Index", "part", "actual", "pred"])
+
+    types = dict(split.dtypes)
+    schema = f"{key} {types[key]}, Week_Index {types['Week_Index']}, part string, actual double, pred double"
+    known = split.select(key, "Week_Index", "Sales_Units", "is_test", *features).where("Sales_Units IS NOT NULL")
+    return known.groupBy(key).applyInPandas(fit, schema)
+
+
+def piecewise_fit(
+    x: np.ndarray, hinges: np.ndarray, y: np.ndarray, wide: np.ndarray, prior: float, rounds: int = 5, sweeps: int = 2000
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """(level, weights of ``x``, weights of ``hinges``), the latter sparse.
+
+    Least squares with penalties noise^2 / wide^2 on the squares of the first and
+    noise^2 / prior on the sizes of the second; the noise is that of the fit of
+    the round before. The first are solved out of the Gram matrix, and the second
+    found on what is left of it by coordinate descent."""
+    both = np.column_stack([x, hinges])
+    means, level, k = both.mean(axis=0), y.mean(), x.shape[1]
+    centred, target = both - means, y - level
+    gram, cross = centred.T @ centred, centred.T @ target
+    weights, noise = np.zeros(len(gram)), float(target @ target) / len(y)
+    for _ in range(rounds):
+        own = gram[:k, :k] + np.diag(noise / wide**2 + 1e-10)
+        solved = np.linalg.solve(own, np.column_stack([gram[:k, k:], cross[:k]]))
+        left, aim = gram[k:, k:] - gram[k:, :k] @ solved[:, :-1], cross[k:] - gram[k:, :k] @ solved[:, -1]
+        weights[k:] = lasso(left, aim, noise / prior, weights[k:], sweeps)
+        weights[:k] = solved[:, -1] - solved[:, :-1] @ weights[k:]
+        rest = target - centred @ weights
+        noise = max(float(rest @ rest) / len(y), 1e-12)
+    return level - float(means @ weights), weights[:k], weights[k:]
+
+
+def lasso(gram: np.ndarray, cross: np.ndarray, penalty: float, start: np.ndarray, sweeps: int = 2000) -> np.ndarray:
+    """Least w'Gw / 2 - c'w + penalty * sum |w| by coordinate descent."""
+    w = start.copy()
+    for _ in range(sweeps):
+        moved = 0.0
+        for j in range(len(w)):
+            if gram[j, j] <= 1e-12:
+                continue
+            pull = cross[j] - gram[j] @ w + gram[j, j] * w[j]
+            new = math.copysign(max(abs(pull) - penalty, 0.0), pull) / gram[j, j]
+            moved, w[j] = max(moved, abs(new - w[j])), new
+        if moved < 1e-9:
+            break
+    return w
+
+
 def seasonal_differences(
     weekly: DataFrame, keys: Sequence[str], order: str, value: str, season: int = 12, name: str = "diff"
 ) -> DataFrame:
@@ -151,7 +243,8 @@ def sarima_backtest(
 
     Estimated in two least-squares stages (Hannan and Rissanen 1982): a long
     autoregression gives the innovations, then the differenced series is
-    regressed on lags 1, season and season + 1 of itself and of them. A series
+    regressed on lags 1, season and season + 1 of itself and of them, the last
+    weight being the product of the two factors. A series
     that cannot be fitted gives rows with an ``error`` text and no prediction.
     """
     split = add_holdout(add_position(weekly, [key], order), [key], order, horizon, min_rows)
@@ -178,7 +271,11 @@ def sarima_backtest(
 
 
 def fit_arma(w: np.ndarray, lags: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(AR weights, MA weights, innovations) of a differenced series."""
+    """(AR weights, MA weights, innovations) of a differenced series.
+
+    Lags 1, s and s + 1 have the weights a, b and -ab of (1 - aB)(1 - bB^s), and
+    of the innovations c, d and cd of (1 + cB)(1 + dB^s): four numbers, found by
+    Gauss-Newton steps from the fit with free weights."""
     reach = max(lags)
     long_order = min(reach + 2, len(w) // 3)
     if len(w) < 2 * reach + 6:
@@ -192,9 +289,30 @@ def fit_arma(w: np.ndarray, lags: Sequence[int]) -> tuple[np.ndarray, np.ndarray
         [w[start - i : len(w) - i] for i in lags] + [noise[start - i : len(w) - i] for i in lags]
     )
     gram = design.T @ design
-    gram += np.eye(len(gram)) * 1e-6 * max(np.trace(gram), 1e-12)
-    weights = np.linalg.solve(gram, design.T @ w[start:])
-    return weights[: len(lags)], weights[len(lags) :], noise
+    ridge = 1e-6 * max(np.trace(gram), 1e-12)
+    cross, total = design.T @ w[start:], float(w[start:] @ w[start:])
+
+    def spread(p: np.ndarray) -> np.ndarray:
+        return np.array([p[0], p[1], -p[0] * p[1], p[2], p[3], p[2] * p[3]])
+
+    def loss(p: np.ndarray) -> float:
+        v = spread(p)
+        return float(v @ gram @ v - 2 * v @ cross + total + ridge * p @ p)
+
+    p = np.linalg.solve(gram + np.eye(6) * ridge, cross)[[0, 1, 3, 4]]
+    for _ in range(50):
+        slope = np.zeros((6, 4))
+        slope[[0, 1, 3, 4], range(4)] = 1.0
+        slope[2, :2], slope[5, 2:] = (-p[1], -p[0]), (p[3], p[2])
+        step = np.linalg.solve(slope.T @ gram @ slope + np.eye(4) * ridge, slope.T @ (cross - gram @ spread(p)) - ridge * p)
+        now, size = loss(p), 1.0
+        while size > 1e-6 and loss(p + size * step) > now:
+            size /= 2
+        if size <= 1e-6 or np.abs(size * step).max() < 1e-10:
+            break
+        p = p + size * step
+    weights = spread(p)
+    return weights[:3], weights[3:], noise
 
 
 def sarima_forecast(y: np.ndarray, w: np.ndarray, lags: Sequence[int], horizon: int) -> np.ndarray:

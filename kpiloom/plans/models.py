@@ -538,6 +538,30 @@ def additive_fit(spark: SparkSession, d: str) -> DataFrame:
     return fitted.groupBy("Product_ID").agg(F.count(F.lit(1)).alias("train_weeks"), F.avg("pred").alias("units"))
 
 
+@query("m16_changepoint_backtest", "Product_ID:s Week_Index:i actual:2 pred:3")
+def changepoint_backtest(spark: SparkSession, d: str) -> DataFrame:
+    """The additive model with a trend that may change its slope."""
+    return FC.changepoint_backtest(product_week(spark, d, ["Week_Index", "Sales_Units", "On_Promo", "Marketing_Spend"]))
+
+
+@query(
+    "m16_changepoint_rows",
+    "Product_ID:s Week_Index:i actual:2 places:b",
+    """WITH p AS (
+         SELECT Product_ID, Week_Index, Sales_Units, row_number() OVER (PARTITION BY Product_ID ORDER BY "Date" DESC) AS back,
+           count(*) OVER (PARTITION BY Product_ID) AS n FROM pw
+       )
+       SELECT Product_ID, Week_Index, Sales_Units AS actual, true AS places FROM p WHERE back <= 12 AND n >= 40""",
+)
+def changepoint_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The held-out weeks, and whether every change found lies before them."""
+    fact = checkpointed(product_week(spark, d, ["Week_Index", "Sales_Units", "On_Promo", "Marketing_Spend"]))
+    last = FC.trend_changes(fact).groupBy("Product_ID").agg(F.max("Week_Index").alias("_last"))
+    rows = FC.changepoint_backtest(fact).join(last, "Product_ID", "left")
+    sound = (F.coalesce("_last", F.lit(-1)) < F.col("Week_Index")) & (F.abs("pred") < float("inf"))
+    return rows.withColumn("places", sound)
+
+
 def resampled_sales(spark: SparkSession, d: str) -> DataFrame:
     lines = order_lines(spark, d, ["Product_ID", "Date", "Sales_Units"])
     return resample_weekly(lines, ["Product_ID"], "Date", "Sales_Units")

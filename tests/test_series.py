@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kpiloom.operators import forecast as FC
 from kpiloom.operators import growth as G
 from kpiloom.operators import joins as J
 from tests.helpers import rows
@@ -165,3 +167,61 @@ def test_filled_weeks_keep_the_known_ones(spark):
     assert column(got, "Sales_Units") == [1.0, 0.0, 0.0, 4.0]
     assert column(got, "Price") == [7.0, None, None, 7.0]
     assert got.agg(F.count_distinct("Date")).first()[0] == 4
+
+
+def bent_series(spark, bend: int, n: int = 160):
+    """Weekly units with a slope that changes at week ``bend`` and some noise."""
+    draw = np.random.default_rng(8)
+    week = np.arange(n)
+    units = 500 + 1.0 * week + 6.0 * np.maximum(week - bend, 0) + draw.normal(0, 8, n)
+    rows = [("p", int(w), dt.date(2020, 1, 6) + dt.timedelta(weeks=int(w)), float(u), 0, 0.0) for w, u in zip(week, units)]
+    return spark.createDataFrame(rows, "Product_ID string, Week_Index int, Date date, Sales_Units double, On_Promo int, Marketing_Spend double")
+
+
+def test_a_planted_slope_change_is_found(spark):
+    fact = bent_series(spark, 70)
+    changes = FC.trend_changes(fact).collect()
+    near = sum(r["slope_change"] for r in changes if abs(r["Week_Index"] - 70) <= 12)
+    assert near == pytest.approx(6.0, rel=0.25)
+    error = F.avg((F.col("actual") - F.col("pred")) ** 2)
+    bent, straight = (m(fact).agg(error).first()[0] for m in (FC.changepoint_backtest, FC.additive_backtest))
+    assert bent < straight / 4
+
+
+def test_a_straight_trend_has_no_large_change(spark):
+    assert all(abs(r["slope_change"]) < 0.5 for r in FC.trend_changes(bent_series(spark, 1_000)).collect())
+
+
+def test_coordinate_descent_meets_the_conditions_of_the_minimum():
+    draw = np.random.default_rng(2)
+    a, target = draw.normal(size=(60, 8)), draw.normal(size=60)
+    gram, cross, penalty = a.T @ a, a.T @ target, 3.0
+    w = FC.lasso(gram, cross, penalty, np.zeros(8))
+    slope = cross - gram @ w
+    assert 0 < np.count_nonzero(w) < 8
+    assert np.allclose(slope[w != 0], penalty * np.sign(w[w != 0]), atol=1e-5)
+    assert (np.abs(slope[w == 0]) <= penalty + 1e-9).all()
+    assert not FC.lasso(gram, cross, np.abs(cross).max() + 0.1, np.zeros(8)).any()
+
+
+def test_season_weights_are_products_of_two_factors():
+    draw = np.random.default_rng(4)
+    e, w = draw.normal(size=3_000), np.zeros(3_000)
+    for t in range(13, 3_000):
+        w[t] = 0.5 * w[t - 1] + 0.4 * w[t - 12] - 0.2 * w[t - 13] + e[t]
+    ar, ma, _ = FC.fit_arma(w[100:], (1, 12, 13))
+    assert ar[2] == pytest.approx(-ar[0] * ar[1]) and ma[2] == pytest.approx(ma[0] * ma[1])
+    assert ar[:2] == pytest.approx([0.5, 0.4], abs=0.12)
+
+
+def test_forecast_steps_rebuilt_from_the_weights():
+    draw = np.random.default_rng(9)
+    y = 100 + np.cumsum(draw.normal(size=120)) + 10 * np.sin(np.arange(120) * np.pi / 6)
+    w = (y[13:] - y[12:-1]) - (y[1:-12] - y[:-13])
+    ar, ma, noise = FC.fit_arma(w, (1, 12, 13))
+    got = FC.sarima_forecast(y, w, (1, 12, 13), 12)
+    whole, errors = np.concatenate([y, got]), np.concatenate([noise, np.zeros(12)])
+    diffs = (whole[13:] - whole[12:-1]) - (whole[1:-12] - whole[:-13])
+    for t in range(len(w), len(w) + 12):
+        lagged, shocks = diffs[[t - 1, t - 12, t - 13]], errors[[t - 1, t - 12, t - 13]]
+        assert diffs[t] == pytest.approx(ar @ lagged + ma @ shocks, abs=1e-8)
