@@ -8,5 +8,6 @@ from kpiloom.plans import (  # noqa: F401
     ranked,
     reporting,
     scans,
+    sql_functions,
     windowed,
 )
