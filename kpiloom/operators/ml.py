@@ -13,7 +13,7 @@ from itertools import product
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,16 +33,18 @@ def _balanced(df: DataFrame) -> DataFrame:
     return checkpointed(df.hint("rebalance"))
 
 
-#: Rows whose tree fits one task works on, at most.
-TASK_ROWS = 100_000
+#: Rows that a task of a tree fit holds. A fit runs a job per level of a tree, and
+#: every task of a job sends the statistics of all open nodes: few rows on many
+#: partitions cost more than they save, and independent fits fill the cores.
+TASK_ROWS = 20_000
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Partitions for the tree fits, much work per row: as many as the session's
-    shuffle setting, and more as the table grows."""
+def _spread(df: DataFrame, *order: str) -> DataFrame:
+    """Partitions for the tree fits by the number of rows alone, rows in a fixed
+    order, since the fits draw rows by their place."""
     data = _balanced(df)
-    setting = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return data.repartition(max(setting, -(-data.count() // TASK_ROWS)))
+    data = data.repartition(max(1, -(-data.count() // TASK_ROWS)))
+    return data.sortWithinPartitions(*order) if order else data
 
 
 def _in_parallel(spark: SparkSession, run: Callable, settings: Sequence, workers: int) -> list:
@@ -80,25 +82,46 @@ def cluster(df: DataFrame, features: Sequence[str], k: int = 3, starts: int = 10
     return model.transform(data).withColumn("cluster", number).drop("_x")
 
 
+#: Trees that are fitted together; the others of a forest are independent fits.
+FIT_TREES = 25
+
+
+def _forest(
+    train: DataFrame, label: str, trees: int, depth: int, bins: int, seed: int, parallelism: int = 8
+) -> Callable[[DataFrame], DataFrame]:
+    """One forest from concurrent fits of some of its trees; the returned function
+    adds ``pred``, the mean over all trees."""
+    fits = -(-trees // FIT_TREES)
+    sizes = [trees // fits + (i < trees % fits) for i in range(fits)]
+
+    def run(i: int) -> RandomForestRegressionModel:
+        return RandomForestRegressor(
+            featuresCol="_x", labelCol=label, predictionCol=f"_pred{i}", numTrees=sizes[i], maxDepth=depth, maxBins=bins, featureSubsetStrategy="all", seed=seed + i
+        ).fit(train)
+
+    train.persist()  # all fits read the same rows
+    try:
+        models = _in_parallel(train.sparkSession, run, range(fits), parallelism)
+    finally:
+        train.unpersist()
+
+    def score(df: DataFrame) -> DataFrame:
+        for model in models:
+            df = model.transform(df)
+        total = sum((F.col(f"_pred{i}") * n for i, n in enumerate(sizes)), F.lit(0.0))
+        return df.withColumn("pred", total / trees).drop(*[f"_pred{i}" for i in range(fits)])
+
+    return score
+
+
 def forest_regression(
     df: DataFrame, target: str, features: Sequence[str], trees: int = 100, depth: int = 30, bins: int = 32, seed: int = 42
 ) -> DataFrame:
     """Random forest pooled over all rows: adds ``pred``. The default depth is
     the deepest that Spark grows, more than a leaf of one row needs in practice;
     a feature is cut at ``bins`` quantiles."""
-    data = _spread(_vectors(df.dropna(subset=[target]), features))
-    model = RandomForestRegressor(
-        featuresCol="_x",
-        labelCol=target,
-        predictionCol="pred",
-        numTrees=trees,
-        maxDepth=depth,
-        maxBins=bins,
-        featureSubsetStrategy="all",
-        maxMemoryInMB=1024,
-        seed=seed,
-    ).fit(data)
-    return model.transform(data).drop("_x")
+    data = _spread(_vectors(df.dropna(subset=[target]), features), *features)
+    return _forest(data, target, trees, depth, bins, seed)(data).drop("_x")
 
 
 def _scaled_series(split: DataFrame, key: str, features: Sequence[str], target: str, order: str, train: Column) -> DataFrame:
@@ -122,11 +145,9 @@ def series_forest(
 ) -> DataFrame:
     """One random forest over the train rows of all entities, each scaled by
     itself, evaluated on their test rows: key, order, actual, pred."""
-    data = _spread(_scaled_series(split, key, features, target, order, ~F.col(is_test)))
-    forest = RandomForestRegressor(
-        featuresCol="_x", labelCol="_y", predictionCol="pred", numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", maxMemoryInMB=1024, seed=seed
-    ).fit(data.where("_train"))
-    return _unscaled(forest.transform(data.where("NOT _train")), key, order)
+    data = _spread(_scaled_series(split, key, features, target, order, ~F.col(is_test)), key, order)
+    score = _forest(data.where("_train"), "_y", trees, depth, 32, seed)
+    return _unscaled(score(data.where("NOT _train")), key, order)
 
 
 # The searched settings of the boosted trees.

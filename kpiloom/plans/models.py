@@ -310,7 +310,7 @@ def holdout_level(split: DataFrame) -> DataFrame:
 
 @query("m11_lag_forest", "Product_ID:s rmse:3 mae:3 mape_pct:3 n:i")
 def lag_forest(spark: SparkSession, d: str) -> DataFrame:
-    return stats.forecast_metrics(lag_forest_predictions(lag_split(spark, d)), ["Product_ID"])
+    return stats.forecast_metrics(lag_forest_predictions(checkpointed(lag_split(spark, d))), ["Product_ID"])
 
 
 LEVEL_SQL = """
