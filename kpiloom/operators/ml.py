@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from itertools import product
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,7 +161,15 @@ def _boosting(depth: int, trees: int, rate: float, seed: int) -> GBTRegressor:
     return GBTRegressor(featuresCol="_x", labelCol="_y", predictionCol="pred", maxDepth=depth, maxIter=trees, stepSize=rate, seed=seed)
 
 
-def boosted_search(
+def _first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The model after its first ``n`` trees."""
+    fitted = model._java_obj
+    jvm = SparkSession.active().sparkContext._jvm
+    first = jvm.org.apache.spark.ml.regression.GBTRegressionModel(f"{model.uid}_{n}", fitted.trees()[:n], fitted.treeWeights()[:n])
+    return GBTRegressionModel(first.setFeaturesCol(model.getFeaturesCol()).setPredictionCol(model.getPredictionCol()))
+
+
+def boosted_errors(
     folded: DataFrame,
     key: str,
     features: Sequence[str],
@@ -171,36 +180,71 @@ def boosted_search(
     trees: Sequence[int] = BOOST_TREES,
     rates: Sequence[float] = BOOST_RATES,
     seed: int = 42,
-    parallelism: int = 4,
-) -> list[tuple[float, int, int, float]]:
-    """(mean squared error, depth, trees, rate) of every setting, best first: one
-    pooled model per depth and rate is fitted on the rows before the last fold
-    and evaluated on that fold after each number of trees."""
-    last = folded.agg(F.max(fold)).first()[0]
-    if last is None:
+    parallelism: int = 8,
+) -> DataFrame:
+    """Errors of every setting on every expanding fold of every entity: key, fold,
+    depth, trees, rate, n, mse and scaled_mse (in units of the entity's deviation).
+
+    Per fold, depth and rate one pooled model is fitted on the rows before the
+    fold and evaluated on its rows after each number of trees.
+    """
+    folds = sorted(r[0] for r in folded.where(F.col(fold).isNotNull()).select(fold).distinct().collect())
+    if not folds:
         raise ValueError("no series is long enough for a fold")
-    data = _spread(_scaled_series(folded, key, features, target, order, F.coalesce(F.col(fold) < last, F.lit(True))))
-    train, valid = data.where("_train").persist(), data.where("NOT _train").persist()
-
-    def run(setting: tuple[int, float]) -> list[tuple[float, int, int, float]]:
-        depth, rate = setting
-        errors = _boosting(depth, max(trees), rate, seed).fit(train).evaluateEachIteration(valid, "squared")
-        return [(errors[n - 1], depth, n, rate) for n in trees]
-
+    spark = folded.sparkSession
+
+    def scaled(i: int) -> tuple[DataFrame, DataFrame]:
+        before = F.coalesce(F.col(fold) < i, F.lit(True))
+        rows = folded.where(before | (F.col(fold) == i))
+        data = _spread(_scaled_series(rows, key, features, target, order, before), key, order)
+        return data.where("_train").persist(), data.where("NOT _train")
+
+    def run(setting: tuple[int, int, float]) -> list[DataFrame]:
+        i, depth, rate = setting
+        train, valid = parts[i]
+        model = _boosting(depth, max(trees), rate, seed).fit(train)
+        named = [F.lit(v).alias(c) for c, v in ((fold, i), ("depth", depth))]
+        error = F.col("pred") - F.col("_y")
+        return [
+            _first_trees(model, n)
+            .transform(valid)
+            .select(key, *named, F.lit(n).alias("trees"), F.lit(rate).alias("rate"), error.alias("_error"), "_spread")
+            for n in trees
+        ]
+
+    parts = dict(zip(folds, _in_parallel(spark, scaled, folds, parallelism)))
     try:
-        return sorted(sum(_in_parallel(folded.sparkSession, run, list(product(depths, rates)), parallelism), []))
+        scored = sum(_in_parallel(spark, run, list(product(folds, depths, rates)), parallelism), [])
+        square = F.col("_error") * F.col("_error")
+        errors = reduce(DataFrame.unionAll, scored).groupBy(key, fold, "depth", "trees", "rate").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.avg(square * F.col("_spread") * F.col("_spread")).alias("mse"),
+            F.avg(square).alias("scaled_mse"),
+        )
+        return checkpointed(errors)
     finally:
-        train.unpersist()
-        valid.unpersist()
+        for train, _ in parts.values():
+            train.unpersist()
+
+
+def boosted_search(
+    folded: DataFrame, key: str, features: Sequence[str], target: str, order: str, fold: str = "fold", **grid: Sequence
+) -> list[tuple[float, int, int, float]]:
+    """(mean squared error, depth, trees, rate) of every setting, best first: the
+    mean over all expanding folds, in units of an entity's deviation."""
+    setting = ["depth", "trees", "rate"]
+    errors = boosted_errors(folded, key, features, target, order, fold, **grid)
+    per_fold = errors.groupBy(fold, *setting).agg((F.sum(F.col("scaled_mse") * F.col("n")) / F.sum("n")).alias("mse"))
+    return sorted(tuple(r) for r in per_fold.groupBy(*setting).agg(F.avg("mse").alias("mse")).select("mse", *setting).collect())
 
 
 def boosted_series(
     folded: DataFrame, key: str, features: Sequence[str], target: str, order: str, fold: str = "fold", seed: int = 42, is_test: str = "is_test", **grid: Sequence
 ) -> DataFrame:
-    """Boosted trees pooled over all entities: the grid is searched on the last
-    fold of the train rows, the best setting is fitted on all of them and
+    """Boosted trees pooled over all entities: the grid is searched on the
+    folds of the train rows, the best setting is fitted on all of them and
     evaluated on the test rows. Ties go to less depth, fewer trees, the lower rate."""
     _, depth, trees, rate = boosted_search(folded.where(~F.col(is_test)), key, features, target, order, fold, seed=seed, **grid)[0]
-    data = _spread(_scaled_series(folded, key, features, target, order, ~F.col(is_test)))
+    data = _spread(_scaled_series(folded, key, features, target, order, ~F.col(is_test)), key, order)
     model = _boosting(depth, trees, rate, seed).fit(data.where("_train"))
     return _unscaled(model.transform(data.where("NOT _train")), key, order)

@@ -366,36 +366,49 @@ def folded_split(spark: SparkSession, d: str) -> DataFrame:
     return with_folds(lag_split(spark, d))
 
 
-def boosted_errors(spark: SparkSession, train: DataFrame) -> DataFrame:
-    found = ml.boosted_search(train, "Product_ID", LAG_INPUTS, "Sales_Units", "Date")
-    return spark.createDataFrame(found, "mse double, depth int, trees int, rate double")  # a row per setting
-
-
 @query("m13_boosted_search", "depth:i trees:i rate:2 mse:4")
 def boosted_search(spark: SparkSession, d: str) -> DataFrame:
-    """Error of every setting, in units of a product's deviation."""
-    return boosted_errors(spark, checkpointed(folded_split(spark, d).where("NOT is_test")))
+    """Error of every setting over all folds, in units of a product's deviation."""
+    train = checkpointed(folded_split(spark, d).where("NOT is_test"))
+    found = ml.boosted_search(train, "Product_ID", LAG_INPUTS, "Sales_Units", "Date")
+    return spark.createDataFrame(found, "mse double, depth int, trees int, rate double")  # a row per setting
 
 
 @query(
     "m13_search_check",
-    "settings:i level_mse:3 better:b",
+    "Product_ID:s settings:i folds:i level_mse:3 better:b",
     """WITH p AS (
-         SELECT Product_ID, Sales_Units AS y, row_number() OVER (PARTITION BY Product_ID ORDER BY "Date") - 1 AS pos,
+         SELECT Product_ID, "Date", Sales_Units AS y, row_number() OVER (PARTITION BY Product_ID ORDER BY "Date") - 1 AS pos,
            count(*) OVER (PARTITION BY Product_ID) - 12 AS n FROM pw
-       ), t AS (SELECT *, pos >= n - n // 5 AS valid FROM p WHERE pos < n AND n >= 28),
-       s AS (SELECT Product_ID, avg(y) AS level, coalesce(NULLIF(stddev_pop(y), 0), 1) AS spread FROM t WHERE NOT valid GROUP BY 1)
-       SELECT 8 AS settings, avg(((y - level) / spread) * ((y - level) / spread)) AS level_mse, true AS better
-       FROM t JOIN s USING (Product_ID) WHERE valid""",
+       ), t AS (
+         SELECT *, CASE WHEN pos >= n - 4 * (n // 5) THEN (pos - (n - 4 * (n // 5))) // (n // 5) END AS fold
+         FROM p WHERE pos < n AND n >= 28
+       ), e AS (
+         SELECT a.Product_ID, f AS fold, avg((a.y - m.level) * (a.y - m.level)) AS mse
+         FROM t AS a JOIN (
+           SELECT Product_ID, f, avg(y) AS level FROM t, range(4) AS r(f) WHERE fold IS NULL OR fold < f GROUP BY 1, 2
+         ) AS m ON a.Product_ID = m.Product_ID AND a.fold = m.f GROUP BY 1, 2
+       )
+       SELECT Product_ID, 8 AS settings, count(*) AS folds, avg(mse) AS level_mse, true AS better FROM e GROUP BY 1""",
 )
 def search_check(spark: SparkSession, d: str) -> DataFrame:
-    """Settings of the search, the error of the train mean on its fold, and
-    whether the best setting's error is below that."""
+    """Settings and folds of the search, and the error of a fold's train mean."""
     train = checkpointed(folded_split(spark, d).where("NOT is_test"))
-    best = boosted_errors(spark, train).agg(F.count(F.lit(1)).alias("settings"), F.min("mse").alias("mse"))
-    scaled = stats.standardise(train, ["Sales_Units"], F.coalesce(F.col("fold") < 3, F.lit(True)), ["Product_ID"])
-    level = scaled.where("fold = 3").agg(F.avg(F.col("Sales_Units_std") * F.col("Sales_Units_std"))).scalar()
-    return best.withColumn("level_mse", level).withColumn("better", F.col("mse") < F.col("level_mse"))
+    found = ml.boosted_errors(train, "Product_ID", LAG_INPUTS, "Sales_Units", "Date")
+    settings = found.groupBy("Product_ID", "depth", "trees", "rate").agg(F.count(F.lit(1)).alias("folds"), F.avg("mse").alias("mse"))
+    best = settings.groupBy("Product_ID").agg(
+        F.count(F.lit(1)).alias("settings"), F.max("folds").alias("folds"), F.min("mse").alias("mse"), F.lit(12).alias("n")
+    )
+    sums = train.withColumn("fold", F.coalesce("fold", F.lit(-1))).groupBy("Product_ID", "fold").agg(
+        F.sum("Sales_Units").alias("s"), F.sum(F.col("Sales_Units") * F.col("Sales_Units")).alias("q"), F.count(F.lit(1)).alias("c")
+    )
+    earlier = Window.partitionBy("Product_ID").orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
+    level = F.sum("s").over(earlier) / F.sum("c").over(earlier)
+    errors = sums.withColumn("level", level).where("fold >= 0").withColumn(
+        "e", (F.col("q") - 2 * F.col("level") * F.col("s") + F.col("c") * F.col("level") * F.col("level")) / F.col("c")
+    )
+    flat = errors.groupBy("Product_ID").agg(F.avg("e").alias("mse"))
+    return against_level(best, flat).join(best.select("Product_ID", "settings", "folds"), "Product_ID")
 
 
 @query("m13_boosted_backtest", "Product_ID:s rmse:3 mae:3 mape_pct:3 n:i")

@@ -30,6 +30,26 @@ def folded_scales(spark):
     return folded.withColumn("fold", F.when(~F.col("is_test"), F.col("fold")))
 
 
+def test_boosted_errors_of_every_fold_and_entity(spark):
+    train = folded_scales(spark).where("NOT is_test")
+    grid = {"depths": (1, 2), "trees": (2, 8), "rates": (0.3,)}
+    got = ml.boosted_errors(train, "Product_ID", ["x", "z"], "Sales_Units", "Date", **grid).toPandas()
+    assert sorted(set(zip(got["Product_ID"], got["fold"]))) == [("P1", 0), ("P1", 1), ("P2", 0), ("P2", 1)]
+    assert len(got) == 16 and set(got["n"]) == {36}
+    units = (got["mse"] / got["scaled_mse"]).groupby([got["Product_ID"], got["fold"]]).mean()
+    assert list(units["P2"] / units["P1"]) == pytest.approx([1e4, 1e4])  # in units of the target
+    best = ml.boosted_search(train, "Product_ID", ["x", "z"], "Sales_Units", "Date", **grid)
+    mean = got.groupby(["depth", "trees"])["scaled_mse"].mean()
+    assert best[0][0] == pytest.approx(mean.min())
+
+
+def test_first_trees_are_a_shorter_fit(spark):
+    data = ml._vectors(spark.createDataFrame(step_series().assign(_y=lambda f: f["Sales_Units"])), ["x", "z"])
+    long, short = (ml._boosting(2, n, 0.1, 42).fit(data) for n in (9, 4))
+    pair = ml._first_trees(long, 4).transform(data).select("x", "pred").join(short.transform(data).select("x", F.col("pred").alias("want")), "x")
+    assert pair.count() == 120 and pair.where("abs(pred - want) > 1e-9").count() == 0
+
+
 def test_tree_fits_get_partitions_by_rows_alone(spark):
     """Whatever the session's shuffle setting is, few rows make one task."""
     setting = spark.conf.get("spark.sql.shuffle.partitions")
