@@ -53,6 +53,9 @@ BUCKET = 16
 #: Rounds in which a large bucket's nodes are tested against one other each.
 STARS = 8
 
+#: Rounds in which crowded buckets with common nodes agree on a hub.
+MEETINGS = 2
+
 #: Pairs of one hub that are tested in one group.
 PARTNERS = 2048
 
@@ -230,6 +233,12 @@ def _through_hubs(entries: DataFrame, texts: DataFrame, words: int, percent: int
     """Pairs of nodes of different ``root`` that share a bucket's hub and may be
     similar enough: all that are, and few others."""
     first = written(entries.groupBy("bucket").agg(F.max(F.struct("rank", "node", "root")).alias("first")), "hub-nodes")
+    # Any set serves as a bucket's hub, if all its nodes take the same one. Buckets take the
+    # highest that their nodes meet elsewhere, so that a node has few hubs, not one a band.
+    for _ in range(MEETINGS):
+        met = entries.select("bucket", "node").join(first, "bucket")
+        best = met.groupBy("node").agg(F.max("first").alias("first"))
+        first = written(entries.select("bucket", "node").join(best, "node").groupBy("bucket").agg(F.max("first").alias("first")), "hub-nodes")
     outside = (F.col("root") != F.col("first.root")).alias("outside")
     seen = entries.join(first, "bucket").select(F.col("first.node").alias("u"), F.col("node").alias("v"), "root", outside).distinct()
     members = written(_shares(written(seen, "hub-members"), texts, words), "hub-shares")
